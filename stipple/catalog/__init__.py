@@ -6,7 +6,7 @@ import importlib
 
 from stipple.catalog.registry import ENTRIES, Entry
 
-MODULES = ("displacement",)
+MODULES = ("displacement", "hierarchy", "groups")
 
 
 def load() -> dict[str, Entry]:

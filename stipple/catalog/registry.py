@@ -71,7 +71,8 @@ points AS (
          CASE l_returnflag WHEN 'A' THEN 'On' WHEN 'N' THEN 'Not-on' ELSE 'unknown' END AS grp,
          l_extendedprice AS photons_e
   FROM lineitem),
-selected AS (SELECT * FROM points WHERE qc)
+selected AS (SELECT * FROM points WHERE qc),
+movies AS (SELECT * REPLACE (sample_id % 20 AS sample_id) FROM selected)
 """
 INVENTORY = """
 inventory AS (

@@ -7,17 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stipple.functions.columns import ratio
+from stipple.operators.decompose import MASS_EPSILON
 from stipple.operators.skew import with_totals
 
 WINDOW_UM = 0.3  # Fixed value: the near window of the positive-part summary.
 SHAPE_UM = 0.5  # Fixed value: the window of the shape comparison.
 
 
-def area_normalized(curves: DataFrame, keys: Sequence[str], value: str, width: float) -> DataFrame:
-    """Signed curve divided by its own signed area, as ``area_value``."""
-    w = Window.partitionBy(*keys)
-    return curves.withColumn("area_value", ratio(F.col(value), F.sum(F.col(value) * width).over(w)))
+def area_normalized(
+    curves: DataFrame, keys: Sequence[str], value: str, width: float, *, min_area: float = MASS_EPSILON
+) -> DataFrame:
+    """Signed curve divided by its own signed area, as ``area_value``; NULL when the area is numerically zero."""
+    area = F.sum(F.col(value) * width).over(Window.partitionBy(*keys))
+    return curves.withColumn("area_value", F.when(F.abs(area) > min_area, F.col(value) / area))
 
 
 def peak_normalized(curves: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

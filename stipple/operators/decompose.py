@@ -141,15 +141,14 @@ def field_status(summary: DataFrame) -> DataFrame:
     derived = F.when(supported & fitted, F.lit("available")).when(
         ~supported, F.lit("unavailable_sparse_tail")
     ).otherwise("unavailable_invalid_distribution")
-    fields = F.array(
-        F.struct(F.lit("total").alias("field"),
-                 F.when(F.col("total_pairs") > 0, "available").otherwise("unavailable_empty_total").alias("field_status")),
-        F.struct(F.lit("background"),
-                 F.when(F.col("background_pairs") > 0, "available").otherwise("unavailable_empty_background")),
-        F.struct(F.lit("inter"), derived),
-        F.struct(F.lit("intra"), derived),
-        F.struct(F.lit("shape"), F.col("status")),
-    )
+    whole = lambda n, name: F.when(F.col(n) > 0, "available").otherwise(f"unavailable_empty_{name}")
+    per_field = {
+        "total": whole("total_pairs", "total"), "background": whole("background_pairs", "background"),
+        "inter": derived, "intra": derived, "shape": F.col("status"),
+    }
+    fields = F.array(*[
+        F.struct(F.lit(n).alias("field"), c.alias("field_status")) for n, c in per_field.items()
+    ])
     return summary.withColumn("__f", F.explode(fields)).select("*", "__f.field", "__f.field_status").drop("__f")
 
 

@@ -54,6 +54,11 @@ class Tables:
         """Points that pass QC: the rows every grouped analysis starts from."""
         return self.points.where("qc")
 
+    @cached_property
+    def movies(self) -> DataFrame:
+        """Selected points pooled into twenty dense movies, for grouped pair statistics."""
+        return self.selected.withColumn("sample_id", F.col("sample_id") % 20)
+
     @cached_property
     def inventory(self) -> DataFrame:
         """Expected samples: every replicate (nation) of every condition (region), cells where present."""
