@@ -293,7 +293,7 @@ def uid_duplicates(t):
           WHEN 'frame_in_range' THEN count(*) FILTER (frame < 0 OR frame > 300) WHEN 'error_semantics' THEN count(*) FILTER (us = 'partial')
           WHEN 'strict_flag' THEN count(*) FILTER (NOT qc) ELSE 0 END AS violations
        FROM q CROSS JOIN (VALUES ('finite_position'), ('positive_error'), ('known_label'), ('frame_in_range'), ('time_matches_frame'), ('error_semantics'), ('strict_flag')) c("check")
-       GROUP BY sample_id, "check" """")
+       GROUP BY sample_id, c."check" """)
 def selected_row_violations(t):
     p = t.points.withColumns({
         "time_s": F.col("frame") * F.lit(FRAME_S), "x_se_nm": F.when(F.col("x_se_nm") > 50, F.col("x_se_nm")).otherwise(-1.0),
@@ -307,7 +307,7 @@ def selected_row_violations(t):
        j AS (SELECT p.sample_id, d.uid AS du FROM points p LEFT JOIN d USING (uid))
        SELECT sample_id, count(*) AS rows_n, "check", CASE WHEN "check" IN ('detection_exists', 'same_frame', 'same_position')
          THEN count(*) FILTER (du IS NULL) ELSE 0 END AS violations
-       FROM j CROSS JOIN (VALUES ('uid_suffix'), ('detection_exists'), ('same_frame'), ('same_position'), ('selected_implies_qc')) c("check") GROUP BY sample_id, "check" """")
+       FROM j CROSS JOIN (VALUES ('uid_suffix'), ('detection_exists'), ('same_frame'), ('same_position'), ('selected_implies_qc')) c("check") GROUP BY sample_id, c."check" """)
 def localization_table_violations(t):
     detections = t.points.where("photons_e > 5000").select(
         "uid", F.col("frame").alias("d_frame"), F.col("x_px").alias("d_x_px"), F.col("y_px").alias("d_y_px"))

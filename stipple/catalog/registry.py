@@ -42,7 +42,7 @@ def runnable(entry: Entry) -> Callable[[SparkSession, str], DataFrame]:
 
 def R(expr: str, digits: int = 9) -> str:
     """Rounded SQL value; adding zero removes a negative zero."""
-    return f"(round({expr}, {digits}) + 0.0)"
+    return f"(round(CAST({expr} AS DOUBLE), {digits}) + 0.0)"
 
 
 def sql_bin(d: str, n: int, upper: float) -> str:
