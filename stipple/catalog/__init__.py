@@ -6,7 +6,7 @@ import importlib
 
 from stipple.catalog.registry import ENTRIES, Entry
 
-MODULES = ("displacement", "hierarchy", "groups", "metrics")
+MODULES = ("displacement", "hierarchy", "groups", "metrics", "pixels", "geometry")
 
 
 def load() -> dict[str, Entry]:
