@@ -39,8 +39,9 @@ def background_runs(mask: DataFrame, images: DataFrame, keys: Sequence[str], *,
 def label_runs(runs: DataFrame, keys: Sequence[str], *, width: int, diagonal: bool) -> DataFrame:
     """Add ``component``: the smallest run id of the connected component.
 
-    Each round takes the smallest neighbour label and then follows that label's own label,
-    so the number of rounds grows with the logarithm of a component's extent.
+    Each round offers a neighbour's smaller label both to a run and to the run its label
+    points at, then follows the new label's own label. Whole trees hook at once, so the
+    number of rounds grows with the logarithm of a component's extent.
     """
     keys = list(keys)
     nodes = runs.withColumn("id", (F.col("y") * width + F.col("x0")).cast("bigint"))
@@ -51,8 +52,10 @@ def label_runs(runs: DataFrame, keys: Sequence[str], *, width: int, diagonal: bo
     edges = cut_lineage(edges.unionByName(edges.select(*keys, F.col("v").alias("u"), F.col("u").alias("v"))))
     labels = cut_lineage(nodes.select(*keys, "id", F.col("id").alias("label")))
     while True:
-        seen = edges.join(labels.select(*keys, F.col("id").alias("v"), "label"), [*keys, "v"])
-        best = seen.groupBy(*keys, F.col("u").alias("id")).agg(F.min("label").alias("near"))
+        own = labels.select(*keys, F.col("id").alias("u"), F.col("label").alias("lu"))
+        other = labels.select(*keys, F.col("id").alias("v"), F.col("label").alias("lv"))
+        seen = edges.join(own, [*keys, "u"]).join(other, [*keys, "v"]).where("lv < lu")
+        best = seen.select(*keys, F.explode(F.array("u", "lu")).alias("id"), "lv").groupBy(*keys, "id").agg(F.min("lv").alias("near"))
         hooked = labels.join(best, [*keys, "id"], "left").select(
             *keys, "id", F.col("label").alias("before"), F.least("label", F.coalesce("near", "label")).alias("label"))
         target = hooked.select(*keys, F.col("id").alias("label"), F.col("label").alias("jump"))
