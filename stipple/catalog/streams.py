@@ -10,7 +10,9 @@ from stipple.sources.standins import GRID
 from stipple.sources.tables import scratch_folder
 from stipple.streaming import streams as st
 
-HOUR = F.floor((F.unix_timestamp("ts") - F.lit(1704067200)) / 3600).cast("int")
+def hour():
+    """Whole hours since the start of the table."""
+    return F.floor((F.unix_timestamp("ts") - F.lit(1704067200)) / 3600).cast("int")
 
 
 def live(t):
@@ -19,7 +21,7 @@ def live(t):
 
 def pixels(stream):
     return stream.select(
-        "ts", "value", "event_id", (F.col("event_id") % GRID).cast("int").alias("y"), (F.floor(F.col("event_id") / GRID) % GRID).cast("int").alias("x"), HOUR.alias("frame"))
+        "ts", "value", "event_id", (F.col("event_id") % GRID).cast("int").alias("y"), (F.floor(F.col("event_id") / GRID) % GRID).cast("int").alias("x"), hour().alias("frame"))
 
 
 HOURS = "h AS (SELECT *, CAST(floor((epoch_ms(ts) // 1000 - 1704067200) / 3600.0) AS INTEGER) AS frame FROM events), mx AS (SELECT max(ts) AS top FROM events)"
@@ -61,7 +63,7 @@ def stream_distinct_events(t):
 def stream_lag_pair_histogram(t):
     folder = scratch_folder(t.spark)
     p = live(t).select(
-        "ts", "value", (F.col("user_id") % 12).alias("sample_id"), HOUR.alias("frame"))
+        "ts", "value", (F.col("user_id") % 12).alias("sample_id"), hour().alias("frame"))
     st.run_available(st.lag_pairs(p, time="ts", delay="1 hour", frame_length="1 hour"), folder,
                      sink=st.pair_histogram_sink(folder, n_bins=30, upper=300.0))
     return t.spark.read.parquet(folder).groupBy("sample_id", "bin").agg(F.sum("n").alias("n"))
@@ -74,7 +76,7 @@ CLASS = "CASE WHEN value >= 70 THEN 'On' WHEN value >= 20 THEN 'Not-on' ELSE 'un
        f"""WITH {HOURS} SELECT user_id % 12 AS sample_id, frame, count(*) FILTER (value >= 70) AS "on", count(*) FILTER (value >= 20 AND value < 70) AS not_on, count(*) FILTER (value < 20) AS unknown, count(*) AS total FROM h GROUP BY ALL""")
 def stream_class_counts(t):
     folder = scratch_folder(t.spark)
-    p = live(t).select((F.col("user_id") % 12).alias("sample_id"), HOUR.alias("frame"), F.expr(CLASS).alias("grp"))
+    p = live(t).select((F.col("user_id") % 12).alias("sample_id"), hour().alias("frame"), F.expr(CLASS).alias("grp"))
     st.run_available(st.class_counts(p), folder, sink=st.versioned_sink(folder), mode="update")
     return st.latest_version(t.spark, folder, ["sample_id", "frame"])
 
