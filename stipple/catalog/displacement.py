@@ -119,8 +119,8 @@ def tau1_beta_by_cell(t):
     f"WITH {POINTS}, {PAIRS} SELECT sample_id, bin, CAST(sum(n) AS BIGINT) AS n FROM counts WHERE component = 'total' GROUP BY ALL",
 )
 def lag_pair_histogram(t):
-    c = pr.pair_counts(t.points, max_distance=MAX_UM, n_bins=N_BINS)
-    return c.where("component = 'total'").groupBy("sample_id", "bin").agg(F.sum("n").alias("n"))
+    c = pr.pair_counts(t.points, max_distance=MAX_UM, n_bins=N_BINS, components=["total"], by_frame=False)
+    return c.select("sample_id", "bin", "n")
 
 
 @query(
@@ -129,8 +129,8 @@ def lag_pair_histogram(t):
     f"WITH {POINTS}, {PAIRS} SELECT sample_id, bin, CAST(sum(n) AS BIGINT) AS n FROM counts WHERE component = 'background' GROUP BY ALL",
 )
 def same_frame_pair_histogram(t):
-    c = pr.pair_counts(t.points, max_distance=MAX_UM, n_bins=N_BINS)
-    return c.where("component = 'background'").groupBy("sample_id", "bin").agg(F.sum("n").alias("n"))
+    c = pr.pair_counts(t.points, max_distance=MAX_UM, n_bins=N_BINS, components=["background"], by_frame=False)
+    return c.select("sample_id", "bin", "n")
 
 
 @query(

@@ -166,11 +166,7 @@ SHAPES = """shapes AS (SELECT sample_id, grp, scope, bin, mid_um, s.intra, statu
 
 def shapes(t, points=None):
     """Area and peak normalized curves, NULL where the guard of that curve fails."""
-    c = movie_curves(t, points)
-    s = dc.guarded_summary(c, KEYS, n_bins=N_BINS, width=WIDTH_UM).select(*KEYS, "status", "signed_area")
-    c = cv.peak_normalized(c, KEYS, "intra").join(s, KEYS)
-    ok = F.col("status") == "available_shape"
-    return c.withColumn("shape", F.when(ok, F.col("intra") / F.col("signed_area"))).withColumn("peak", F.when(ok, F.col("peak_value")))
+    return dc.with_shape(movie_curves(t, points), KEYS, n_bins=N_BINS)
 
 
 @query("curve_derivatives", "CUR-12",
@@ -196,8 +192,7 @@ def diff_sql(cte: str, keys: str) -> str:
          ON a.sample_id = b.sample_id AND a.scope = b.scope AND a.bin = b.bin WHERE a.grp = 'On' AND b.grp = 'Not-on' ''', 'sample_id, scope')}""")
 def on_vs_not_on_difference(t):
     s = shapes(t).withColumn("density", F.col("shape") / WIDTH_UM)
-    a, b = s.where("grp = 'On'"), s.where("grp = 'Not-on'")
-    return round_all(cv.compare_curves(a, b, ["sample_id", "scope"], "density", width=WIDTH_UM), *DIFF)
+    return round_all(cv.group_difference(s, ["sample_id", "scope"], "density", width=WIDTH_UM), *DIFF)
 
 
 OTHER = "other AS (SELECT * REPLACE (CASE WHEN y_um < 1.5 THEN 'On' ELSE 'Not-on' END AS grp) FROM movies WHERE grp <> 'unknown')"
@@ -218,6 +213,7 @@ def other_labeling(t):
        FROM a_split a JOIN b_split b USING (sample_id, grp, scope, bin) JOIN sa USING (sample_id, grp, scope) JOIN sb USING (sample_id, grp, scope)
        GROUP BY ALL""")
 def method_curve_comparison(t):
+    # two labelings are two different pair tables, so both are needed
     a = movie_curves(t).select(*KEYS, "bin", F.col("beta").alias("beta_a"), F.col("intra").alias("a"))
     b = movie_curves(t, other_labeling(t)).select(*KEYS, "bin", F.col("beta").alias("beta_b"), F.col("intra").alias("b"))
     d = a.join(b, [*KEYS, "bin"]).groupBy(*KEYS).agg(
@@ -249,8 +245,7 @@ def scope_statistics(t):
     long = rows.unpivot(KEYS, list(QCOLS), "metric", "value")
     q = exact_quantiles(long, [*KEYS, "metric"], "value", [0.1, 0.5, 0.9])
     name = F.when(F.col("prob") == 0.1, "q10").when(F.col("prob") == 0.5, "median").otherwise("q90")
-    wide = q.groupBy(*KEYS).pivot("name", QNAMES) if False else q.withColumn(
-        "name", F.concat_ws("_", "metric", name)).groupBy(*KEYS).pivot("name", QNAMES).agg(F.max("quantile"))
+    wide = q.withColumn("name", F.concat_ws("_", "metric", name)).groupBy(*KEYS).pivot("name", QNAMES).agg(F.max("quantile"))
     return rows.groupBy(*KEYS).agg(F.count("*").alias("points_n")).join(wide, KEYS)
 
 

@@ -13,7 +13,9 @@ from stipple.functions.columns import rounded
 from stipple.operators import decompose as dc
 from stipple.operators import inference as nf
 from stipple.operators import resample as rs
-from stipple.sources.standins import N_BINS, WIDTH_UM
+from stipple.plans.displacement import scoped_curves
+from stipple.session import cut_lineage
+from stipple.sources.standins import MAX_UM, N_BINS, WIDTH_UM
 
 DRAWS, SEED = 200, 7
 BDRAWS, LENGTH, STRATUM, FRAMES = 100, 20, 120, 360
@@ -52,24 +54,30 @@ def plan(t, length=None):
        SELECT length, draw, component, CAST(sum(w * n) AS BIGINT) AS n FROM b JOIN plan USING (length, block) GROUP BY ALL""")
 def block_plan_pair_totals(t):
     # the frame dimension is summed once per block length, then meets the shared weights
-    counts = gp.movie_counts(t).where("component in ('total', 'background')")
+    per_frame = gp.movie_counts(t).where("component in ('total', 'background')").groupBy("component", "frame").agg(F.sum("n").alias("n"))
+    per_frame = cut_lineage(per_frame)  # a few rows per frame, used once per block length
     units = None
     for length in (10, 20, 40):
-        b = rs.block_sums(counts.groupBy("component", "frame").agg(F.sum("n").alias("n")), length=length).withColumn("length", F.lit(length))
+        b = rs.block_sums(per_frame, length=length).withColumn("length", F.lit(length))
         units = b if units is None else units.unionByName(b)
     return units.join(plan(t), ["length", "block"]).groupBy("length", "draw", "component").agg(F.sum(F.col("w") * F.col("n")).alias("n"))
 
 
-def draw_counts(t):
-    counts = gp.movie_counts(t).where("component in ('total', 'background')")
+def saved_counts(t):
+    """Per-frame counts written once: the sufficient statistic that draws and point estimates share."""
+    return cut_lineage(gp.movie_counts(t).where("component in ('total', 'background')"))
+
+
+def draw_counts(t, counts=None):
+    counts = gp.movie_counts(t).where("component in ('total', 'background')") if counts is None else counts
     return rs.weighted_counts(rs.block_sums(counts, length=LENGTH), plan(t, LENGTH))
 
 
 DKEYS = ["sample_id", "grp", "draw"]
 
 
-def draw_curves(t):
-    dense = dc.dense_curves(draw_counts(t), DKEYS, n_bins=N_BINS, width=WIDTH_UM)
+def draw_curves(t, counts=None):
+    dense = dc.dense_curves(draw_counts(t, counts), DKEYS, n_bins=N_BINS, width=WIDTH_UM)
     return dc.decompose(dense, DKEYS, n_bins=N_BINS)
 
 
@@ -89,10 +97,12 @@ BOOT = f"""{gp.G}, {PLAN}, bs AS (SELECT sample_id, grp, component, frame // {LE
        SELECT sample_id, grp, metric, valid_draws, {R('valid_draws / 100.0')} AS valid_fraction, {R('point')} AS point, {R('CASE WHEN point IS NOT NULL THEN low END')} AS low, {R('CASE WHEN point IS NOT NULL THEN high END')} AS high
        FROM i LEFT JOIN p USING (sample_id, grp, metric)""")
 def block_bootstrap_intervals(t):
-    s = dc.guarded_summary(draw_curves(t), DKEYS, n_bins=N_BINS, width=WIDTH_UM)
+    counts = saved_counts(t)
+    s = dc.guarded_summary(draw_curves(t, counts), DKEYS, n_bins=N_BINS, width=WIDTH_UM)
     keys = ["sample_id", "grp", "metric"]
     long = s.unpivot(DKEYS, ["beta", "signed_area"], "metric", "value")
-    points = gp.movie_summary(t).where("scope = 'full'").unpivot(["sample_id", "grp"], ["beta", "signed_area"], "metric", "value")
+    observed = dc.guarded_summary(scoped_curves(counts, gp.scopes(t).where("scope = 'full'"), max_distance=MAX_UM, n_bins=N_BINS), gp.KEYS, n_bins=N_BINS, width=WIDTH_UM)
+    points = observed.unpivot(["sample_id", "grp"], ["beta", "signed_area"], "metric", "value")
     out = rs.guard_by_point(rs.interval(long, keys, "value", total=BDRAWS), points, keys, "value")
     return round_all(out, "valid_fraction", "point", "low", "high")
 
@@ -123,7 +133,7 @@ def paired_scalar_differences(t):
        a AS (SELECT sample_id, grp, max(beta) AS beta, max(tp) AS n FROM u_split GROUP BY ALL), b AS (SELECT sample_id, grp, max(beta) AS beta, max(tp) AS n FROM v_split GROUP BY ALL)
        SELECT sample_id, grp, CAST(a.n AS BIGINT) AS block_pairs, CAST(b.n AS BIGINT) AS all_pairs, {R('a.beta - b.beta')} AS beta_change FROM a JOIN b USING (sample_id, grp)""")
 def block_boundary_control(t):
-    counts = gp.movie_counts(t).where("component in ('total', 'background')")
+    counts = saved_counts(t)
 
     def betas(c, n):
         keys = ["sample_id", "grp"]

@@ -97,17 +97,33 @@ def leave_one_out_similarity(
     )
 
 
+def group_difference(
+    curves: DataFrame, keys: Sequence[str], value: str, *, groups: tuple[str, str] = ("On", "Not-on"), **windows
+) -> DataFrame:
+    """Compare two groups of one curve table by the same measures, in one pass over the bins."""
+    side = lambda g: F.max(F.when(F.col("grp") == g, F.col(value)))
+    wide = curves.where(F.col("grp").isin(*groups)).groupBy(*keys, "bin", "mid_um").agg(
+        side(groups[0]).alias("va"), side(groups[1]).alias("vb"), F.countDistinct("grp").alias("sides")).where("sides = 2")
+    return difference_measures(wide.withColumn("d", F.col("va") - F.col("vb")), keys, **windows)
+
+
 def compare_curves(
-    a: DataFrame, b: DataFrame, keys: Sequence[str], value: str, *, width: float, main_um: float = 0.1, tail_um: float = 0.25
+    a: DataFrame, b: DataFrame, keys: Sequence[str], value: str, **windows
+) -> DataFrame:
+    """Compare two curve tables that share keys and bins; both need mid_um."""
+    left = a.select(*keys, "bin", "mid_um", F.col(value).alias("va"))
+    right = b.select(*keys, "bin", F.col(value).alias("vb"))
+    return difference_measures(left.join(right, [*keys, "bin"]).withColumn("d", F.col("va") - F.col("vb")), keys, **windows)
+
+
+def difference_measures(
+    d: DataFrame, keys: Sequence[str], *, width: float, main_um: float = 0.1, tail_um: float = 0.25
 ) -> DataFrame:
-    """Difference of two curve sets per key: largest and integrated absolute difference, window differences.
+    """Largest and integrated absolute difference and window differences of column ``d`` per key.
 
-    Both sides need mid_um. A key is available only if every bin is present and non-NULL in both.
+    A key is available only if every one of its bins has a difference.
     """
     keys = list(keys)
-    left = a.select(*keys, "bin", "mid_um", F.col(value).alias("va"))
-    right = b.select(*keys, "bin", F.col(value).alias("vb"))
-    d = left.join(right, [*keys, "bin"]).withColumn("d", F.col("va") - F.col("vb"))
     near = (F.col("mid_um") < main_um)
     far = (F.col("mid_um") >= main_um) & (F.col("mid_um") < tail_um)
     order = F.struct(F.abs("d").alias("size"), (-F.col("bin")).alias("order"))

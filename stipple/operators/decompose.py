@@ -135,6 +135,29 @@ def guarded_summary(curves: DataFrame, keys: Sequence[str], *, n_bins: int, widt
     ).drop("negative")
 
 
+def with_shape(curves: DataFrame, keys: Sequence[str], *, n_bins: int) -> DataFrame:
+    """Add the curve's status, its area shape and its peak shape, all over one key's bins.
+
+    The same guards as ``guarded_summary``, as windows, so the pairs are not read twice.
+    """
+    start = math.floor(TAIL_FRACTION * n_bins)
+    w, over = Window.partitionBy(*keys), _per_key(keys)
+    tail = lambda c: over(F.when(F.col("bin") >= start, F.col(c)).otherwise(0))
+    supported = (tail("total_n") >= MIN_TAIL_PAIRS) & (tail("background_n") >= MIN_TAIL_PAIRS)
+    area = over(F.col("intra"))
+    status = (
+        F.when(F.col("total_pairs") == 0, "unavailable_empty_total")
+        .when(F.col("background_pairs") == 0, "unavailable_empty_background")
+        .when(~supported, "unavailable_sparse_tail")
+        .when(F.col("beta").isNull(), "unavailable_invalid_distribution")
+        .when(~F.coalesce(F.abs(area) > AREA_GUARD, F.lit(False)), "unavailable_near_zero_signed_area")
+        .otherwise("available_shape")
+    )
+    ok, top = F.col("status") == "available_shape", F.max("intra").over(w)
+    return curves.withColumn("status", status).withColumns({
+        "shape": F.when(ok, F.col("intra") / area), "peak": F.when(ok & (top > 0), F.col("intra") / top)})
+
+
 def field_status(summary: DataFrame) -> DataFrame:
     """Availability of each curve field per key, long form (keys, field, field_status)."""
     supported, fitted = F.col("tail_supported"), F.col("beta").isNotNull()

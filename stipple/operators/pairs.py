@@ -7,7 +7,9 @@ materialized: the join feeds a partial aggregate in the same stage.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,22 +19,34 @@ from stipple.operators.skew import broadcast_if_small
 
 HOT_FRAME_POINTS = 20_000
 SAMPLE = "sample_id"
+FRAME_KEYS = [SAMPLE, "frame"]
 
 
 def collapse(points: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Distinct coordinates per key with their multiplicity ``w``."""
-    return points.groupBy(*keys, "x_um", "y_um").agg(F.count("*").alias("w"))
+    """Distinct coordinates per key with their multiplicity ``w``; rows without a place are left out."""
+    placed = points.dropna(subset=[*keys, "x_um", "y_um"])
+    return placed.groupBy(*keys, "x_um", "y_um").agg(F.count("*").alias("w"))
 
 
-def frame_sizes(points: DataFrame, keys: Sequence[str] = (SAMPLE,)) -> DataFrame:
-    return points.groupBy(*keys, "frame").agg(F.count("*").alias("n"))
+@dataclass(frozen=True)
+class Layout:
+    """What the pair join must know about the points: their extent and their dense frames."""
+
+    box: tuple[float, float, float, float]
+    hot: DataFrame | None
 
 
-def _hot_frames(points: DataFrame, limit: int) -> DataFrame | None:
-    """Frames too dense for one task, with the number of salts each needs."""
-    hot = points.groupBy(SAMPLE, "frame").agg(F.count("*").alias("n")).where(F.col("n") > limit)
-    hot = hot.select(SAMPLE, F.col("frame").alias("hot_frame"), F.ceil(F.col("n") / limit).cast("int").alias("salts"))
-    return None if hot.isEmpty() else broadcast_if_small(hot)
+def measure(points: DataFrame, *, hot_points: int = HOT_FRAME_POINTS) -> Layout:
+    """One aggregate pass: bounding box and largest frame; dense frames are listed only if there are any."""
+    sizes = points.groupBy(*FRAME_KEYS).agg(
+        F.count("*").alias("n"), F.min("x_um").alias("x0"), F.max("x_um").alias("x1"), F.min("y_um").alias("y0"), F.max("y_um").alias("y1"))
+    top, *box = sizes.agg(F.max("n"), F.min("x0"), F.max("x1"), F.min("y0"), F.max("y1")).first()
+    hot = None
+    if (top or 0) > hot_points:
+        dense = sizes.where(F.col("n") > hot_points)
+        hot = broadcast_if_small(dense.select(
+            SAMPLE, F.col("frame").alias("hot_frame"), F.ceil(F.col("n") / hot_points).cast("int").alias("salts")))
+    return Layout(tuple(0.0 if v is None else v for v in box), hot)
 
 
 def _salts(df: DataFrame, hot: DataFrame, frame: Column, name: str) -> DataFrame:
@@ -41,61 +55,81 @@ def _salts(df: DataFrame, hot: DataFrame, frame: Column, name: str) -> DataFrame
     return joined.drop("__s", "__f").withColumn(name, F.coalesce(F.col(name), F.lit(1)))
 
 
-def near_pairs(
-    left: DataFrame, right: DataFrame, *, lag: int, max_distance: float, hot: DataFrame | None = None
-) -> DataFrame:
-    """Pairs of collapsed points with distance at most ``max_distance``.
+def near_pairs(spots: DataFrame, layout: Layout, *, lags: Sequence[int], max_distance: float) -> DataFrame:
+    """Pairs of collapsed points at most ``max_distance`` apart, frame f against f+lag for each lag.
 
-    ``left`` is at frame f and ``right`` at frame f+lag. Columns of the right side get the
-    suffix ``2``. Tiles have twice the reach as edge, so a right point visits at most four.
-    Frames in ``hot`` are cut on both sides: each left part meets each right part once.
+    One join serves all lags: a right point is offered to each source frame it belongs to.
+    Tiles have twice the reach as edge, so a point visits at most four, and none outside the
+    data's own extent. Dense frames are cut on both sides; each left part meets each right
+    part once. Right columns carry the suffix ``2``; join keys are made non-NULL so that both
+    sides read the same collapsed shuffle.
     """
     edge = 2.0 * max_distance
     reach = max_distance * (1 + 1e-9)
-    a = left.withColumn("gx", F.floor(F.col("x_um") / edge)).withColumn("gy", F.floor(F.col("y_um") / edge))
-    b = right.withColumn("frame", F.col("frame") - lag)
-
-    def tiles(axis):
-        return F.explode(F.sequence(F.floor((F.col(axis) - reach) / edge), F.floor((F.col(axis) + reach) / edge)))
 
-    b = b.withColumn("gx", tiles("x_um")).withColumn("gy", tiles("y_um"))
-    keys = [SAMPLE, "frame", "gx", "gy"]
-    if hot is not None:
+    def tile(value: Column) -> Column:
+        return F.coalesce(F.floor(value / edge), F.lit(0))
+
+    def visits(axis: str, low: float, high: float) -> Column:
+        first = F.greatest(tile(F.col(axis) - reach), F.lit(math.floor(low / edge)))
+        last = F.least(tile(F.col(axis) + reach), F.lit(math.floor(high / edge)))
+        return F.explode(F.sequence(first, last))
+
+    x0, x1, y0, y1 = layout.box
+    source = F.coalesce(F.col("frame"), F.lit(0))
+    a = spots.withColumns({"f": source, "gx": tile(F.col("x_um")), "gy": tile(F.col("y_um"))}).drop("frame")
+    b = spots.withColumn("lag", F.explode(F.array(*[F.lit(k) for k in lags])))
+    b = b.withColumn("f", source - F.col("lag")).drop("frame").withColumn("gx", visits("x_um", x0, x1)).withColumn("gy", visits("y_um", y0, y1))
+    keys = [SAMPLE, "f", "gx", "gy"]
+    if layout.hot is not None:
         place = F.xxhash64("x_um", "y_um")
-        for name, frame in (("sa", F.col("frame")), ("sb", F.col("frame") + lag)):
-            a, b = _salts(a, hot, frame, name), _salts(b, hot, frame, name)
+        a = _salts(a, layout.hot, F.col("f"), "sa")
+        for i, k in enumerate(lags):
+            a = _salts(a, layout.hot, F.col("f") + k, f"sb{i}")
+        a = a.withColumn("sb", F.greatest(F.lit(1), *[F.col(f"sb{i}") for i in range(len(lags))])).drop(*[f"sb{i}" for i in range(len(lags))])
+        b = _salts(_salts(b, layout.hot, F.col("f"), "sa"), layout.hot, F.col("f") + F.col("lag"), "sb")
         every_a, every_b = F.sequence(F.lit(0), F.col("sa") - 1), F.sequence(F.lit(0), F.col("sb") - 1)
         a = a.withColumn("sa", F.pmod(place, "sa").cast("int")).withColumn("sb", F.explode(every_b))
         b = b.withColumn("sb", F.pmod(place, "sb").cast("int")).withColumn("sa", F.explode(every_a))
         keys += ["sa", "sb"]
-    b = b.withColumnsRenamed({c: f"{c}2" for c in b.columns if c not in keys})
+    b = b.withColumnsRenamed({c: f"{c}2" for c in b.columns if c not in (*keys, "lag")})
     dx, dy = F.col("x_um") - F.col("x_um2"), F.col("y_um") - F.col("y_um2")
-    pairs = a.join(b, keys).withColumn("d", F.sqrt(dx * dx + dy * dy))
+    # a sort-merge join spills and lets skewed partitions be split; file sizes say little about either side
+    pairs = a.hint("merge").join(b, keys).withColumn("d", F.sqrt(dx * dx + dy * dy)).withColumnRenamed("f", "frame")
     return pairs.where(F.col("d") <= max_distance)
 
 
+ORDERED = "(x_um < x_um2 or (x_um = x_um2 and y_um < y_um2))"
+
+
 def pair_counts(
-    points: DataFrame, *, max_distance: float, n_bins: int, lag: int = 1, hot_points: int = HOT_FRAME_POINTS
+    points: DataFrame,
+    *,
+    max_distance: float,
+    n_bins: int,
+    components: Sequence[str] = ("total", "background"),
+    by_frame: bool = True,
+    lag: int = 1,
+    hot_points: int = HOT_FRAME_POINTS,
 ) -> DataFrame:
-    """Distance histograms per frame: (sample_id, component, frame, bin, n), no zero rows.
+    """Distance histograms (sample_id, component, [frame,] bin, n), no zero rows.
 
     ``total`` pairs frame f with f+lag and keeps exact zeros. ``background`` takes ordered
     pairs within a frame without exact zeros; by symmetry each unordered pair counts twice.
+    Without ``by_frame`` the counts are summed over frames inside the join stage.
     """
-    hot = _hot_frames(points, hot_points)
-    spots = collapse(points, [SAMPLE, "frame"])
-    index = bin_index(F.col("d"), n_bins, max_distance).alias("bin")
-    across = near_pairs(spots, spots, lag=lag, max_distance=max_distance, hot=hot)
-    total = across.groupBy(SAMPLE, "frame", index).agg(F.sum(F.col("w") * F.col("w2")).alias("n"))
-    within = near_pairs(spots, spots, lag=0, max_distance=max_distance, hot=hot).where(
-        "d > 0 and (x_um < x_um2 or (x_um = x_um2 and y_um < y_um2))"
-    )
-    background = within.groupBy(SAMPLE, "frame", index).agg((2 * F.sum(F.col("w") * F.col("w2"))).alias("n"))
-    columns = [SAMPLE, "component", "frame", "bin", "n"]
-    return (
-        total.withColumn("component", F.lit("total")).select(columns)
-        .unionByName(background.withColumn("component", F.lit("background")).select(columns))
-    )
+    lags = [k for k, c in ((lag, "total"), (0, "background")) if c in components]
+    spots = collapse(points, FRAME_KEYS)
+    pairs = near_pairs(spots, measure(points, hot_points=hot_points), lags=lags, max_distance=max_distance)
+    pairs = pairs.where(f"lag <> 0 or (d > 0 and {ORDERED})")
+    weight = F.col("w") * F.col("w2") * F.when(F.col("lag") == 0, 2).otherwise(1)
+    name = F.when(F.col("lag") == 0, "background").otherwise("total").alias("component")
+    keys = [SAMPLE, name, *(["frame"] if by_frame else []), bin_index(F.col("d"), n_bins, max_distance).alias("bin")]
+    return pairs.groupBy(*keys).agg(F.sum(weight).alias("n"))
+
+
+def frame_sizes(points: DataFrame, keys: Sequence[str] = (SAMPLE,)) -> DataFrame:
+    return points.groupBy(*keys, "frame").agg(F.count("*").alias("n"))
 
 
 def pair_counters(points: DataFrame, *, max_distance: float, lag: int = 1) -> DataFrame:
@@ -123,8 +157,8 @@ def pair_counters(points: DataFrame, *, max_distance: float, lag: int = 1) -> Da
         F.sum(F.col("w") * F.col("w2")).alias("zeros")
     )
     zero_background = spots.groupBy(SAMPLE).agg(F.sum(F.col("w") * F.col("w")).alias("zeros"))
-    kept = pair_counts(points, max_distance=max_distance, n_bins=1, lag=lag).groupBy(SAMPLE, "component").agg(
-        F.sum("n").alias("retained")
+    kept = pair_counts(points, max_distance=max_distance, n_bins=1, lag=lag, by_frame=False).select(
+        SAMPLE, "component", F.col("n").alias("retained")
     )
     counters = (
         total.join(zero_total, SAMPLE, "left").withColumn("component", F.lit("total"))
@@ -152,23 +186,16 @@ def grouped_pair_counts(
     if valid_frames is not None:
         points = points.join(valid_frames, [SAMPLE, "frame"], "left_semi")
     points = points.where(F.col("grp").isin(*groups))
-    hot = _hot_frames(points, hot_points)
-    spots = collapse(points, [SAMPLE, "frame", "grp"])
-    index = bin_index(F.col("d"), n_bins, max_distance).alias("bin")
-    weight = F.col("w") * F.col("w2")
-    same = F.col("grp") == F.col("grp2")
-    across = near_pairs(spots, spots, lag=1, max_distance=max_distance, hot=hot)
-    lagged = across.groupBy(
-        SAMPLE, F.when(same, "total").otherwise("cross").alias("component"), "grp", "frame", index
-    ).agg(F.sum(weight).alias("n"))
-    within = near_pairs(spots, spots, lag=0, max_distance=max_distance, hot=hot).where(
-        "d > 0 and (grp = grp2 and (x_um < x_um2 or (x_um = x_um2 and y_um < y_um2))"
-        f" or (grp = '{groups[0]}' and grp2 = '{groups[1]}'))"
+    spots = collapse(points, [*FRAME_KEYS, "grp"])
+    pairs = near_pairs(spots, measure(points, hot_points=hot_points), lags=[1, 0], max_distance=max_distance)
+    same, now = F.col("grp") == F.col("grp2"), F.col("lag") == 0
+    pairs = pairs.where(f"lag = 1 or (d > 0 and ((grp = grp2 and {ORDERED}) or (grp = '{groups[0]}' and grp2 = '{groups[1]}')))")
+    name = (
+        F.when(now & same, "background").when(now, "same_cross_background").when(same, "total").otherwise("cross")
     )
-    inside = within.groupBy(
-        SAMPLE, F.when(same, "background").otherwise("same_cross_background").alias("component"), "grp", "frame", index
-    ).agg((2 * F.sum(weight)).alias("n"))
-    return lagged.unionByName(inside)
+    weight = F.col("w") * F.col("w2") * F.when(now, 2).otherwise(1)
+    index = bin_index(F.col("d"), n_bins, max_distance)
+    return pairs.groupBy(SAMPLE, name.alias("component"), "grp", "frame", index.alias("bin")).agg(F.sum(weight).alias("n"))
 
 
 def derived_totals(counts: DataFrame) -> DataFrame:

@@ -100,5 +100,7 @@ def guard_by_point(intervals: DataFrame, points: DataFrame, keys: Sequence[str],
 
 def paired_difference(draws: DataFrame, keys: Sequence[str], value: str, *, groups: tuple[str, str] = ("On", "Not-on")) -> DataFrame:
     """First minus second group within the same draw; NULL where either is."""
-    a, b = (draws.where(F.col("grp") == g).select(*keys, F.col(value).alias(n)) for g, n in zip(groups, ("__a", "__b")))
-    return a.join(b, list(keys)).select(*keys, (F.col("__a") - F.col("__b")).alias("difference"))
+    side = lambda g: F.max(F.when(F.col("grp") == g, F.col(value)))
+    both = draws.where(F.col("grp").isin(*groups)).groupBy(*keys).agg(
+        side(groups[0]).alias("__a"), side(groups[1]).alias("__b"), F.countDistinct("grp").alias("__n"))
+    return both.where("__n = 2").select(*keys, (F.col("__a") - F.col("__b")).alias("difference"))

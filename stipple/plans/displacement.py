@@ -10,7 +10,7 @@ from stipple.operators.pairs import grouped_pair_counts, pair_counts, pool_scope
 
 def cell_curves(points: DataFrame, *, max_distance: float, n_bins: int) -> DataFrame:
     """Decomposed curve of every sample, one row per bin."""
-    counts = pair_counts(points, max_distance=max_distance, n_bins=n_bins)
+    counts = pair_counts(points, max_distance=max_distance, n_bins=n_bins, by_frame=False)
     dense = dense_curves(counts, ["sample_id"], n_bins=n_bins, width=max_distance / n_bins)
     return decompose(dense, ["sample_id"], n_bins=n_bins)
 

@@ -30,12 +30,14 @@ def read_localizations(spark: SparkSession, path: str, *, schema: str = LOCALIZA
     return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path).select(*names)
 
 
-def to_parquet(df: DataFrame, path: str, *, by: Sequence[str] = ("sample_id",), order: Sequence[str] = ("frame",)) -> None:
+def to_parquet(df: DataFrame, path: str, *, by: Sequence[str] = ("sample_id",), chunk_frames: int = 500) -> None:
     """Write once as Parquet, partitioned by sample and sorted within files for row-group skipping.
 
-    Rows of one sample are spread over several tasks by frame, so a huge sample is no hot task.
+    A sample's rows are spread over one task per ``chunk_frames`` frames, so a huge sample is
+    no hot task and a small one stays a single file.
     """
-    df.repartition(*by, *order).sortWithinPartitions(*by, *order).write.mode("errorifexists").partitionBy(*by).parquet(path)
+    chunk = F.floor(F.col("frame") / chunk_frames)
+    df.repartition(*by, chunk).sortWithinPartitions(*by, "frame").write.mode("errorifexists").partitionBy(*by).parquet(path)
 
 
 def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
