@@ -195,9 +195,8 @@ def cell_distribution(t):
     FROM shp JOIN lc USING (sample_id) JOIN sc USING (sample_id) JOIN ft USING (sample_id)""",
 )
 def cell_quality(t):
-    counters = pr.pair_counters(t.points, max_distance=MAX_UM)
     c = cell_curves(t.points, max_distance=MAX_UM, n_bins=N_BINS)
-    q = dc.cell_quality(t.points, counters, c, n_bins=N_BINS)
+    q = dc.cell_quality(t.points, pr.candidate_counts(t.points), c, n_bins=N_BINS)
     q = round_all(q, "negative_intra_mass", "total_retained_fraction", "background_retained_fraction")
     return q.select("sample_id", "localizations", "frames", "missing_frames", "duplicate_rows", "negative_intra_bins",
                     "negative_intra_mass", "extra_zeros", "total_retained_fraction", "background_retained_fraction",

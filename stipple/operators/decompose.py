@@ -192,23 +192,27 @@ def tail_diagnostics(curves: DataFrame, keys: Sequence[str], *, n_bins: int) ->
     )
 
 
-def cell_quality(points: DataFrame, counters: DataFrame, curves: DataFrame, *, n_bins: int) -> DataFrame:
-    """Per-sample checks with the list of raised flags."""
+def cell_quality(points: DataFrame, candidates: DataFrame, curves: DataFrame, *, n_bins: int) -> DataFrame:
+    """Per-sample checks with the list of raised flags.
+
+    ``candidates`` are the candidate counts; retained pairs are those of the curves, so the
+    pair join runs once.
+    """
     start = math.floor(TAIL_FRACTION * n_bins)
     per_coordinate = points.groupBy("sample_id", "frame", "x_um", "y_um").agg(F.count("*").alias("w"))
     per_frame = per_coordinate.groupBy("sample_id", "frame").agg(
-        F.sum("w").alias("rows"), F.sum(F.col("w") - 1).alias("dups")
+        F.sum("w").alias("rows"), F.sum(F.col("w") - 1).alias("dups"), F.sum(F.col("w") * F.col("w")).alias("coincident")
     )
     shape = per_frame.groupBy("sample_id").agg(
         F.sum("rows").alias("localizations"), F.count("*").alias("frames"),
         (F.max("frame") - F.min("frame") + 1 - F.count("*")).alias("missing_frames"),
-        F.sum("dups").alias("duplicate_rows"),
+        F.sum("dups").alias("duplicate_rows"), F.sum("coincident").alias("background_zeros"),
     )
-    wide = counters.groupBy("sample_id").agg(*[
-        F.max(F.when(F.col("component") == c, F.col(v))).alias(f"{c}_{v}")
-        for c in ("total", "background") for v in ("candidates", "zeros", "retained")
+    wide = candidates.groupBy("sample_id").agg(*[
+        F.max(F.when(F.col("component") == c, F.col("candidates"))).alias(f"{c}_candidates") for c in ("total", "background")
     ])
     fit = curves.groupBy("sample_id").agg(
+        F.max("total_pairs").alias("total_retained"), F.max("background_pairs").alias("background_retained"),
         F.max(F.coalesce(F.col("beta_clipped"), F.lit(False))).alias("beta_clipped"),
         F.count_if(F.col("intra") < 0).alias("negative_intra_bins"),
         (-F.sum(F.least(F.col("intra"), F.lit(0.0)))).alias("negative_intra_mass"),

@@ -11,7 +11,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stipple.functions.columns import bin_index
@@ -132,39 +132,39 @@ def frame_sizes(points: DataFrame, keys: Sequence[str] = (SAMPLE,)) -> DataFrame
     return points.groupBy(*keys, "frame").agg(F.count("*").alias("n"))
 
 
+def candidate_counts(points: DataFrame, *, lag: int = 1) -> DataFrame:
+    """Candidate pairs and source frames per sample and component, from frame sizes alone."""
+    sizes = frame_sizes(points)
+    later = sizes.select(SAMPLE, (F.col("frame") - lag).alias("frame"), F.col("n").alias("n2"))
+    total = sizes.join(later, FRAME_KEYS).groupBy(SAMPLE).agg(
+        F.sum(F.col("n") * F.col("n2")).alias("candidates"), F.count("*").alias("source_frames"))
+    background = sizes.groupBy(SAMPLE).agg(F.sum(F.col("n") * F.col("n")).alias("candidates"), F.count("*").alias("source_frames"))
+    return total.withColumn("component", F.lit("total")).unionByName(background.withColumn("component", F.lit("background")))
+
+
+def coincident_pairs(points: DataFrame) -> DataFrame:
+    """Ordered same-frame pairs at distance zero, self pairs included: the sum of squared multiplicities."""
+    spots = collapse(points, FRAME_KEYS)
+    return spots.groupBy(SAMPLE).agg(F.sum(F.col("w") * F.col("w")).alias("zeros"))
+
+
 def pair_counters(points: DataFrame, *, max_distance: float, lag: int = 1) -> DataFrame:
     """Candidate, zero, retained and source-frame counts per sample and component.
 
-    Candidates come from frame sizes and zeros from coordinate multiplicities, so only the
-    retained number needs the pair join.
+    Candidates come from frame sizes and same-frame zeros from multiplicities; one pair join
+    gives the retained pairs and the zeros across frames.
     """
-    sizes = frame_sizes(points)
-    following = Window.partitionBy(SAMPLE).orderBy("frame")
-    ahead = sizes.alias("a").join(
-        sizes.select(SAMPLE, (F.col("frame") - lag).alias("frame"), F.col("n").alias("n2")), [SAMPLE, "frame"]
-    ) if lag != 1 else sizes.select(
-        SAMPLE, "frame", "n", F.lead("n").over(following).alias("n2"), F.lead("frame").over(following).alias("f2")
-    ).where("f2 = frame + 1")
-    total = ahead.groupBy(SAMPLE).agg(
-        F.sum(F.col("n") * F.col("n2")).alias("candidates"), F.count("*").alias("source_frames")
-    )
-    background = sizes.groupBy(SAMPLE).agg(
-        F.sum(F.col("n") * F.col("n")).alias("candidates"), F.count("*").alias("source_frames")
-    )
-    spots = collapse(points, [SAMPLE, "frame"])
-    later = spots.select(SAMPLE, (F.col("frame") - lag).alias("frame"), "x_um", "y_um", F.col("w").alias("w2"))
-    zero_total = spots.join(later, [SAMPLE, "frame", "x_um", "y_um"]).groupBy(SAMPLE).agg(
-        F.sum(F.col("w") * F.col("w2")).alias("zeros")
-    )
-    zero_background = spots.groupBy(SAMPLE).agg(F.sum(F.col("w") * F.col("w")).alias("zeros"))
-    kept = pair_counts(points, max_distance=max_distance, n_bins=1, lag=lag, by_frame=False).select(
-        SAMPLE, "component", F.col("n").alias("retained")
-    )
-    counters = (
-        total.join(zero_total, SAMPLE, "left").withColumn("component", F.lit("total"))
-        .unionByName(background.join(zero_background, SAMPLE, "left").withColumn("component", F.lit("background")))
-    )
-    return counters.join(kept, [SAMPLE, "component"], "left").na.fill(0, ["zeros", "retained"])
+    pairs = near_pairs(collapse(points, FRAME_KEYS), measure(points), lags=[lag, 0], max_distance=max_distance)
+    pairs = pairs.where(f"lag <> 0 or (d > 0 and {ORDERED})")
+    now = F.col("lag") == 0
+    weight = F.col("w") * F.col("w2") * F.when(now, 2).otherwise(1)
+    kept = pairs.groupBy(SAMPLE, F.when(now, "background").otherwise("total").alias("component")).agg(
+        F.sum(weight).alias("retained"), F.sum(F.when(F.col("d") == 0, weight).otherwise(0)).alias("zeros"))
+    same = coincident_pairs(points).select(SAMPLE, F.lit("background").alias("component"), F.col("zeros").alias("own_zeros"))
+    out = candidate_counts(points, lag=lag).join(kept, [SAMPLE, "component"], "left").join(same, [SAMPLE, "component"], "left")
+    return out.select(
+        SAMPLE, "component", "candidates", "source_frames", F.coalesce("own_zeros", "zeros", F.lit(0)).alias("zeros"),
+        F.coalesce("retained", F.lit(0)).alias("retained"))
 
 
 def grouped_pair_counts(
