@@ -1,47 +1,54 @@
-"""Contact of points with pixel masks and polygons, written as equi-joins on candidate pixels.
+"""Contact of points with pixel masks and polygons, written as equi-joins.
 
-Each point lists the few pixels its ellipse can reach; those meet the mask by key. A range
-condition would force a nested loop, the listed pixels never do.
+A mask is cut into short horizontal runs, keyed by row and a coarse column tile. A point
+lists only the few rows its ellipse reaches and meets the runs there by key: far fewer rows
+move than pixels, and a range condition never turns into a nested loop.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TOLERANCE = 1e-12  # Fixed value: slack on the contact test.
+TILE = 32  # columns per run tile
 
 
-def reachable_pixels(
-    points: DataFrame, a: Column, b: Column, *, height: int, width: int, x: str = "x_px", y: str = "y_px", tol: float = TOLERANCE
-) -> DataFrame:
-    """One row per point and pixel square the closed ellipse (a, b) might touch, inside the grid."""
-    grow = (1 + tol) ** 0.5
-
-    def reach(c: str, r: Column, n: int) -> Column:
-        low = F.greatest(F.lit(0), F.ceil(F.col(c) - r * grow - 0.5 - tol)).cast("int")
-        high = F.least(F.lit(n - 1), F.floor(F.col(c) + r * grow + 0.5 + tol)).cast("int")
-        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
-
-    return points.withColumn("py", F.explode(reach(y, b, height))).withColumn("px", F.explode(reach(x, a, width)))
+def mask_runs(pixels: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Horizontal runs (on, py, tile, x0, x1) of the mask, cut at tile borders."""
+    keys = [*on, "y", "tile"]
+    tiled = pixels.select(*on, "y", "x", F.floor(F.col("x") / TILE).cast("int").alias("tile"))
+    # dense_rank, so that a repeated pixel does not break its run
+    island = tiled.withColumn("__g", F.col("x") - F.dense_rank().over(Window.partitionBy(*keys).orderBy("x")))
+    runs = island.groupBy(*keys, "__g").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
+    return runs.select(*on, F.col("y").alias("py"), "tile", "x0", "x1")
 
 
 def contact(
     points: DataFrame, pixels: DataFrame, a: str, b: str, *, on: Sequence[str], height: int, width: int, uid: str = "uid",
-    x: str = "x_px", y: str = "y_px"
+    x: str = "x_px", y: str = "y_px", tol: float = TOLERANCE
 ) -> DataFrame:
-    """Smallest q = (dx/a)^2 + (dy/b)^2 between a point and the given pixel squares: (uid, min_q).
+    """Smallest q = (dx/a)^2 + (dy/b)^2 between a point and the given unit pixel squares: (uid, min_q).
 
-    ``pixels`` has the ``on`` columns with y and x. Points without any reachable pixel are absent.
+    ``pixels`` has the ``on`` columns with y and x. The closed ellipse touches the mask exactly
+    when min_q <= 1 within the tolerance; points far from any run are absent.
     """
-    near = reachable_pixels(points.select(uid, *on, x, y, F.col(a).alias("__a"), F.col(b).alias("__b")), F.col("__a"), F.col("__b"),
-                            height=height, width=width, x=x, y=y)
-    mask = pixels.select(*on, F.col("y").alias("py"), F.col("x").alias("px"))
-    dx = F.greatest(F.abs(F.col(x) - F.col("px")) - 0.5, F.lit(0.0)) / F.col("__a")
+    grow = (1 + tol) ** 0.5
+
+    def reach(c: str, r: str, n: int, unit: int) -> Column:
+        low = F.greatest(F.lit(0), F.ceil(F.col(c) - F.col(r) * grow - 0.5 - tol))
+        high = F.least(F.lit(n - 1), F.floor(F.col(c) + F.col(r) * grow + 0.5 + tol))
+        steps = F.sequence(F.floor(low / unit).cast("int"), F.floor(high / unit).cast("int"))
+        return F.explode(F.when(low <= high, steps).otherwise(F.array().cast("array<int>")))
+
+    near = points.select(uid, *on, x, y, F.col(a).alias("__a"), F.col(b).alias("__b"))
+    near = near.withColumn("py", reach(y, "__b", height, 1)).withColumn("tile", reach(x, "__a", width, TILE))
+    closest = F.least(F.greatest(F.rint(x), F.col("x0").cast("double")), F.col("x1").cast("double"))
+    dx = F.greatest(F.abs(F.col(x) - closest) - 0.5, F.lit(0.0)) / F.col("__a")
     dy = F.greatest(F.abs(F.col(y) - F.col("py")) - 0.5, F.lit(0.0)) / F.col("__b")
-    return near.join(mask, [*on, "py", "px"]).groupBy(uid).agg(F.min(dx * dx + dy * dy).alias("min_q"))
+    return near.join(mask_runs(pixels, on), [*on, "py", "tile"]).groupBy(uid).agg(F.min(dx * dx + dy * dy).alias("min_q"))
 
 
 def proximity(points: DataFrame, pixels: DataFrame, radii: Sequence[float], *, on: Sequence[str], height: int, width: int, uid: str = "uid") -> DataFrame:
@@ -55,12 +62,9 @@ def proximity(points: DataFrame, pixels: DataFrame, radii: Sequence[float], *, o
 
 def points_on_mask(points: DataFrame, pixels: DataFrame, *, on: Sequence[str], height: int, width: int, uid: str = "uid") -> DataFrame:
     """Points whose centre lies in a mask pixel square, edges included."""
-    zero = points.withColumn("__z", F.lit(TOLERANCE))
-    near = reachable_pixels(zero.select(uid, *on, "x_px", "y_px", "__z"), F.col("__z"), F.col("__z"), height=height, width=width)
-    mask = pixels.select(*on, F.col("y").alias("py"), F.col("x").alias("px"))
-    half = 0.5 + TOLERANCE
-    touching = near.where((F.abs(F.col("x_px") - F.col("px")) <= half) & (F.abs(F.col("y_px") - F.col("py")) <= half))
-    return touching.join(mask, [*on, "py", "px"], "left_semi").select(uid).distinct()
+    tiny = points.withColumn("__r", F.lit(TOLERANCE))
+    q = contact(tiny, pixels, "__r", "__r", on=on, height=height, width=width, uid=uid)
+    return q.where(F.col("min_q") <= 1).select(uid)
 
 
 def leaves_image(x: Column, y: Column, a: Column, b: Column, *, height: int, width: int, tol: float = TOLERANCE) -> Column:

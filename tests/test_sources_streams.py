@@ -70,7 +70,7 @@ def stream(spark, folder):
 
 
 def test_late_frame_leaves_its_window_unknown(spark, tmp_path):
-    write_batches(spark, tmp_path / "in", [[event(0, 0), event(1, 1)], [event(2, 2), event(4, 9)], [event(3, 3), event(5, 10)], [event(6, 20)]])
+    write_batches(spark, tmp_path / "in", [[event(0, 0), event(1, 1)], [event(2, 2), event(4, 9)], [event(5, 10)], [event(3, 3), event(6, 20)], [event(7, 30)]])
     out = str(tmp_path / "out")
     st.run_available(st.support_windows(stream(spark, tmp_path / "in"), time="ts", delay="1 hour", window="2 hours", frame=F.col("frame"), expected=2), out)
     got = {r["window_start"].hour: r["valid"] for r in spark.read.parquet(out).collect()}
