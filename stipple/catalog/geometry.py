@@ -100,25 +100,29 @@ def crossing_sql(x: str, y: str) -> str:
     return "(" + " + ".join(parts) + ") % 2 = 1"
 
 
-def vertices(t):
-    """The region outline, a parameter of five vertices."""
-    return t.spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(ROI_VERTICES)], "idx int, x double, y double")
-
-
-def polygon(t):
-    return F.broadcast(ge.polygon_edges(vertices(t)))  # one row
-
-
 @query("points_in_polygon", "JOIN-19", f"{GSQL} SELECT sample_id, count(*) FILTER ({crossing_sql('x_px', 'y_px')}) AS inside, count(*) AS points_n FROM points GROUP BY 1")
 def points_in_polygon(t):
-    p = t.points.join(polygon(t))
-    inside = ge.inside_polygon(F.col("x_px"), F.col("y_px"), F.col("edges"))
-    return p.groupBy("sample_id").agg(F.count_if(inside).alias("inside"), F.count("*").alias("points_n"))
+    inside = ge.inside_polygon(F.col("x_px"), F.col("y_px"), ge.fixed_polygon(ROI_VERTICES))
+    return t.points.groupBy("sample_id").agg(F.count_if(inside).alias("inside"), F.count("*").alias("points_n"))
 
 
 @query("polygon_raster", "JOIN-21",
        f"""{GSQL}, g AS (SELECT DISTINCT y, x FROM pixels) SELECT y, x FROM g WHERE {crossing_sql('CAST(x AS DOUBLE)', 'CAST(y AS DOUBLE)')}""")
 def polygon_raster(t):
     # the raster grid is the extent of the movie itself
-    g = t.pixels.select("y", "x").distinct().join(polygon(t))
-    return g.where(ge.inside_polygon(F.col("x").cast("double"), F.col("y").cast("double"), F.col("edges"))).select("y", "x")
+    inside = ge.inside_polygon(F.col("x").cast("double"), F.col("y").cast("double"), ge.fixed_polygon(ROI_VERTICES))
+    return t.pixels.select("y", "x").distinct().where(inside)
+
+
+@query("points_in_sample_polygon", "JOIN-19",
+       f"""{GSQL}, sq AS (SELECT s_suppkey AS sample_id, 1.5 + s_suppkey % 3 AS lo, 9.5 - s_suppkey % 4 AS hi FROM supplier)
+       SELECT sample_id, count(*) FILTER (x_px >= lo AND x_px < hi AND y_px >= lo AND y_px < hi) AS inside FROM points JOIN sq USING (sample_id) GROUP BY 1""")
+def points_in_sample_polygon(t):
+    s = F.col("s_suppkey")
+    lo, hi = 1.5 + s % 3, 9.5 - s % 4
+    corners = F.array(*[F.struct(F.lit(i).alias("idx"), x.cast("double").alias("x"), y.cast("double").alias("y"))
+                        for i, (x, y) in enumerate([(lo, lo), (hi, lo), (hi, hi), (lo, hi)])])
+    v = t.raw("supplier").select(s.alias("sample_id"), F.explode(corners).alias("v")).select("sample_id", "v.*")
+    p = t.points.join(ge.polygon_edges(v, ["sample_id"]), "sample_id")
+    inside = ge.inside_polygon(F.col("x_px"), F.col("y_px"), F.col("edges"))
+    return p.groupBy("sample_id").agg(F.count_if(inside).alias("inside"))

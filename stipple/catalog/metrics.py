@@ -258,3 +258,45 @@ def selection_digest(t):
 @query("representative_frames", "SNK-13 SRT-4", f"{HG} SELECT uid, sample_id, frame, grp FROM selected WHERE frame IN (0, 100, 200, 300)")
 def representative_frames(t):
     return t.selected.where(F.col("frame").isin(0, 100, 200, 300)).select("uid", "sample_id", "frame", "grp")
+
+
+RT = f"""{M}, named AS (SELECT r_name AS condition, 'BR' || br AS br, CAST(br AS INTEGER) AS br_order, protein, cell, selected, "on", not_on, on_pct / 100 AS of, area,
+   CAST(CASE r_name WHEN 'ASIA' THEN 0 WHEN 'AFRICA' THEN 1 ELSE 2 END AS INTEGER) AS condition_order FROM cell_metrics JOIN region ON r_regionkey = condition),
+ b AS (SELECT condition_order, condition, br, br_order, protein, avg(of) AS of, avg(area) AS area, count(of) AS n_on, count(area) AS n_area, count(*) AS cells FROM named GROUP BY ALL)"""
+NOTE = "CASE WHEN n_on <> n_area THEN 'valid n differs between metrics' ELSE '' END AS note"
+
+
+def reader_table_set(t):
+    from stipple.plans.reports import reader_tables
+
+    named = t.cell_metrics.join(t.raw("region"), F.col("condition") == F.col("r_regionkey")).withColumn("condition", F.col("r_name"))
+    return reader_tables(named.withColumn("br", F.concat(F.lit("BR"), F.col("br"))), preferred=["ASIA", "AFRICA"])
+
+
+def tidy(df, *wide):
+    return df.withColumns({c: rounded(F.col(c), 5 if c == "area" else 9) for c in wide})
+
+
+@query("reader_br_summary", "SNK-12 SRT-3",
+       f"{RT} SELECT condition_order, br_order, condition, br, protein, {R('of')} AS on_fraction, {R('area', 5)} AS area, n_on, n_area, cells, {NOTE} FROM b")
+def reader_br_summary(t):
+    return tidy(reader_table_set(t)["br_summary"], "on_fraction", "area")
+
+
+@query("reader_condition_summary", "SNK-12",
+       f"""{RT}, c AS (SELECT condition_order, condition, protein, avg(of) AS of, avg(area) AS area, CAST(sum(n_on) AS BIGINT) AS n_on, CAST(sum(n_area) AS BIGINT) AS n_area, count(*) AS replicates FROM b GROUP BY ALL)
+       SELECT condition_order, condition, protein, {R('of')} AS on_fraction, {R('area', 5)} AS area, n_on, n_area, replicates, {NOTE} FROM c""")
+def reader_condition_summary(t):
+    return tidy(reader_table_set(t)["condition_summary"], "on_fraction", "area")
+
+
+@query("reader_localization_means", "SNK-12",
+       f"""{RT} SELECT condition_order, condition, br, protein, count(*) AS cells, {R('avg(selected)')} AS selected_mean, {R('avg("on")')} AS on_mean, {R('avg(not_on)')} AS not_on_mean
+       FROM named WHERE selected IS NOT NULL GROUP BY ALL""")
+def reader_localization_means(t):
+    return tidy(reader_table_set(t)["localization_means"], "selected_mean", "on_mean", "not_on_mean")
+
+
+@query("reader_cells", "SNK-12", f"""{RT} SELECT condition_order, br_order, condition, br, protein, cell, selected, "on", not_on, {R('of')} AS on_fraction, {R('area', 5)} AS area FROM named""")
+def reader_cells(t):
+    return tidy(reader_table_set(t)["cells"], "on_fraction", "area")

@@ -245,7 +245,7 @@ def bright_region_coverage(t):
     p = t.pixels.withColumn("block", F.floor(F.col("frame") / BLOCK_FRAMES).cast("int"))
     limits = t.pixels.groupBy("frame").agg(F.percentile("value", F.lit(0.9)).alias("limit"))
     masks = support(t).select(F.lit("support").alias("method"), "block", "y", "x").unionByName(mask(t).select(F.lit("mask").alias("method"), "block", "y", "x"))
-    return round_all(px.bright_coverage(p, limits, t.roi, masks), "coverage_pct")
+    return round_all(px.bright_coverage(p, limits, t.roi, masks, methods=["support", "mask"]), "coverage_pct")
 
 
 @query("crop_box", "PIX-5", f"{P} SELECT greatest(0, min(x) - 1) AS x0, greatest(0, min(y) - 1) AS y0, least(12, max(x) + 2) AS x1, least(12, max(y) + 2) AS y1 FROM mask SEMI JOIN roi USING (y, x)")

@@ -81,6 +81,14 @@ def polygon_edges(vertices: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return ring.select(*by, F.zip_with("v", following, edge).alias("edges"))
 
 
+def fixed_polygon(vertices: Sequence[tuple[float, float]]) -> Column:
+    """Edge array of one polygon given as a parameter."""
+    ring = [*vertices, vertices[0]]
+    names = ("x1", "y1", "x2", "y2")
+    return F.array(*[
+        F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(names, (*p, *q))]) for p, q in zip(ring, ring[1:])])
+
+
 def inside_polygon(x: Column, y: Column, edges: Column) -> Column:
     """Even-odd ray crossing test against an array of edges."""
     crosses = lambda e: ((e["y1"] > y) != (e["y2"] > y)) & (

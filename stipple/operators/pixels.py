@@ -138,17 +138,16 @@ def adjacent_overlap(mask: DataFrame, blocks: DataFrame, *, by: Sequence[str] =
         F.coalesce("iou", F.lit(1.0)).alias("iou"))
 
 
-def bright_coverage(pixels: DataFrame, limits: DataFrame, region: DataFrame, masks: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
+def bright_coverage(
+    pixels: DataFrame, limits: DataFrame, region: DataFrame, masks: DataFrame, *, methods: Sequence[str], by: Sequence[str] = ()
+) -> DataFrame:
     """How much of the bright region each method's mask covers.
 
     ``pixels`` has (frame, block, y, x, value), ``limits`` a brightness limit per frame and
     ``masks`` (method, block, y, x).
     """
     bright = pixels.join(limits, [*by, "frame"]).where("value > limit").join(region.select("y", "x"), ["y", "x"], "left_semi")
-    methods = masks.select("method").distinct()
-    # the method list is a handful of names: attach it to each bright pixel as one array
-    listed = methods.agg(F.collect_set("method").alias("methods"))
-    each = bright.join(F.broadcast(listed)).withColumn("method", F.explode("methods"))
+    each = bright.withColumn("method", F.explode(F.array(*[F.lit(m) for m in methods])))
     hit = each.join(masks.withColumn("__m", F.lit(1)), [*by, "method", "block", "y", "x"], "left")
     out = hit.groupBy(*by, "method", "frame", "block").agg(F.count("*").alias("bright_px"), F.count("__m").alias("covered_px"))
     return out.withColumn("coverage_pct", F.col("covered_px") * 100.0 / F.col("bright_px"))

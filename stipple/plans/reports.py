@@ -28,3 +28,28 @@ def batch_summary(inventory: DataFrame, done: DataFrame) -> DataFrame:
         F.count("sample_id").alias("cells"), F.count("points_n").alias("analyzed"), F.coalesce(F.sum("points_n"), F.lit(0)).alias("points_n"))
     status = F.when(F.col("cells") == 0, "pending").when(F.col("analyzed") < F.col("cells"), "partial").otherwise("complete")
     return out.withColumn("status", status)
+
+
+def reader_tables(cells: DataFrame, *, preferred: Sequence[str]) -> dict[str, DataFrame]:
+    """Condition summary, BR summary, localization means and cells, each with one fixed schema.
+
+    A replicate without any usable cell keeps its row with NULL values.
+    """
+    base = cells.select(
+        "condition", "br", "protein", "cell", "selected", "on", "not_on", (F.col("on_pct") / 100).alias("on_fraction"), "area")
+    order = preferred_rank(F.col("condition"), preferred).alias("condition_order")
+    values = [F.avg("on_fraction").alias("on_fraction"), F.avg("area").alias("area")]
+    valid = [F.count("on_fraction").alias("n_on"), F.count("area").alias("n_area")]
+    br = base.groupBy("condition", "br", "protein").agg(*values, *valid, F.count("*").alias("cells"))
+    # condition values are means of replicate means; the numbers of cells are summed
+    cond = br.groupBy("condition", "protein").agg(
+        *values, F.sum("n_on").alias("n_on"), F.sum("n_area").alias("n_area"), F.count("*").alias("replicates"))
+    note = F.when(F.col("n_on") != F.col("n_area"), "valid n differs between metrics").otherwise("").alias("note")
+    means = base.where("selected is not null").groupBy("condition", "br", "protein").agg(
+        F.count("*").alias("cells"), *[F.avg(c).alias(f"{c}_mean") for c in ("selected", "on", "not_on")])
+    return {
+        "condition_summary": cond.select(order, "*", note),
+        "br_summary": br.select(order, label_number(F.col("br")).alias("br_order"), "*", note),
+        "localization_means": means.select(order, "*"),
+        "cells": base.select(order, label_number(F.col("br")).alias("br_order"), "*"),
+    }

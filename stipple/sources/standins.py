@@ -69,7 +69,8 @@ class Tables:
 
     @cached_property
     def pixels(self) -> DataFrame:
-        hour = F.floor((F.unix_timestamp("ts") - F.lit(1704067200)) / 3600)
+        # a difference of wall-clock times, whatever the session's time zone
+        hour = F.floor(F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)") / 3600)
         return (
             self.raw("events")
             .select(
