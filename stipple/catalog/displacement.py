@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stipple.catalog.registry import POINTS, R, query, sql_bin
-from stipple.functions.columns import bin_index, finite, rounded
+from stipple.functions.columns import finite, rounded
 from stipple.operators import curves as cv
 from stipple.operators import decompose as dc
 from stipple.operators import pairs as pr
 from stipple.plans.displacement import cell_curves
-from stipple.sources.standins import MAX_UM, N_BINS, WIDTH_UM
+from stipple.sources.standins import MAX_UM, N_BINS
 
 DIST = "sqrt((a.x_um-b.x_um)*(a.x_um-b.x_um)+(a.y_um-b.y_um)*(a.y_um-b.y_um))"
 BIN = sql_bin("d", N_BINS, MAX_UM)

@@ -8,7 +8,6 @@ from stipple.catalog import pixels as pc
 from stipple.catalog.displacement import round_all
 from stipple.catalog.registry import POINTS, R, query
 from stipple.operators import geometry as ge
-from stipple.operators import pixels as px
 from stipple.sources.standins import GRID, ROI_VERTICES
 
 GSQL = f"""{pc.P}, {POINTS},

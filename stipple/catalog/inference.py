@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stipple.catalog import groups as gp
-from stipple.catalog.displacement import R_all, decomposition_sql, round_all
-from stipple.catalog.hierarchy import W64
-from stipple.catalog.registry import CURVES, METRICS, POINTS, R, query
+from stipple.catalog.displacement import decomposition_sql, round_all
+from stipple.catalog.registry import CURVES, METRICS, R, query
 from stipple.functions import columns as fc
 from stipple.functions.columns import rounded
 from stipple.operators import decompose as dc

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from stipple.catalog.displacement import R_all, round_all
 from stipple.catalog.registry import PIXELS, R, query
-from stipple.functions.columns import rounded
 from stipple.operators import pixels as px
 from stipple.operators import regions as rg
 from stipple.sources.standins import BLOCK_FRAMES, GRID

@@ -10,6 +10,7 @@ from stipple.sources.standins import GRID
 from stipple.sources.tables import scratch_folder
 from stipple.streaming import streams as st
 
+
 def hour():
     """Whole hours since the start of the table."""
     return F.floor((F.unix_timestamp("ts") - F.lit(1704067200)) / 3600).cast("int")

@@ -7,7 +7,6 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
 from stipple.operators import curves as cv
 from stipple.operators import decompose as dc
 from stipple.operators import pairs as pr
