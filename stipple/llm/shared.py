@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from stipple.session import cut_lineage
 
-SLICE_BYTES = 4_000_000  # bytes of text that are laid out as arrays at once; longer texts come alone
+SLICE_BYTES = 2_000_000  # bytes of text that are laid out as arrays at once; longer texts come alone
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -49,11 +49,20 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.Rec
         first = last
 
 
+_POWERS: list[np.ndarray] = []
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_BASE ** i and _BASE ** -i modulo 2 ** 64 for i in 0..n."""
-    up, down = np.full(n + 1, _BASE, np.uint64), np.full(n + 1, _INVERSE, np.uint64)
+    """_BASE ** i and _BASE ** -i modulo 2 ** 64 for i in 0..n; those of a usual slice are kept."""
+    if _POWERS and n < len(_POWERS[0]):
+        return _POWERS[0][: n + 1], _POWERS[1][: n + 1]
+    size = max(n, min(2 * n, SLICE_BYTES))
+    up, down = np.full(size + 1, _BASE, np.uint64), np.full(size + 1, _INVERSE, np.uint64)
     up[0] = down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+    made = [np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)]
+    if size <= SLICE_BYTES:
+        _POWERS[:] = made
+    return made[0][: n + 1], made[1][: n + 1]
 
 
 class Prefixes:
