@@ -8,8 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("mixture", "suffixes", "divergence", "fuzzy_lines", "templates", "exact", "hamming", "toxicity",
-           "recompression", "packing", "pipeline_query")
+MODULES = ("exact", "packing")
 
 
 @dataclass(frozen=True)
