@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("exact", "packing")
+MODULES = ("exact", "packing", "hamming", "toxicity", "mixture", "pipeline_query")
 
 
 @dataclass(frozen=True)

@@ -14,6 +14,9 @@ from stipple.session import cut_lineage
 SLICE_BYTES = 2_000_000  # bytes of text that are laid out as arrays at once; longer texts come alone
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
+#: ASCII capitals to small letters, all other bytes unchanged.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
