@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ from stipple.llm.shared import Prefixes, byte_values, slices, written
 CAPACITY = 4096
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-CACHE_UNITS = 600_000
+CACHE_UNITS = 200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 #: The pre-tokenizer's own pattern, for lower-case text below U+0250, where these ranges are its letters.
@@ -64,17 +65,13 @@ class WordTokens:
 
     def forget(self) -> None:
         self.known: dict[int, int] = {}
-        self.pieces: dict[str, list[int]] = {}
-        self.flat, self.starts, self.lens, self.used = np.empty(1 << 16, np.uint32), [], [], 0
+        self.flat, self.starts, self.lens, self.used = np.empty(1 << 16, np.uint32), array("q"), array("q"), 0
 
     def encode_unit(self, unit: str) -> list[int]:
         out: list[int] = []
         for piece in SPLIT.findall(unit.lower()):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                mapped = piece if piece.isascii() else "".join([BYTE_CHARS[b] for b in piece.encode()])
-                ids = self.pieces[piece] = [t.id for t in self.model.tokenize(mapped)]
-            out += ids
+            mapped = piece if piece.isascii() else "".join([BYTE_CHARS[b] for b in piece.encode()])
+            out += [t.id for t in self.model.tokenize(mapped)]
         return out
 
     def entries(self, hashes: np.ndarray, spell) -> np.ndarray:
@@ -132,7 +129,9 @@ class WordTokens:
         at_of = first[used]
         entry[used] = self.entries(distinct[used], lambda i: data[starts[at_of[i]] : ends[at_of[i]]].tobytes().decode())
         own = entry[back]
-        lens, begin = np.array(self.lens or [0], np.int64), np.array(self.starts or [0], np.int64)
+        lens, begin = np.array(self.lens, np.int64), np.array(self.starts, np.int64)
+        if not len(lens):
+            lens = begin = np.zeros(1, np.int64)
         count = np.where(plain, lens[own], 0)
         offset = np.r_[0, np.cumsum(count)]
         flat = self.flat[np.arange(offset[-1]) - np.repeat(offset[:-1] - begin[own], count)]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from stipple.session import cut_lineage
 
-SLICE_BYTES = 2_000_000  # bytes of text that are laid out as arrays at once; longer texts come alone
+SLICE_BYTES = 500_000  # bytes of text that are laid out as arrays at once; longer texts come alone
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: ASCII capitals to small letters, all other bytes unchanged.
