@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("exact", "packing", "hamming", "toxicity", "mixture", "divergence", "templates", "pipeline_query")
+MODULES = ("exact", "packing", "hamming", "toxicity", "mixture", "divergence", "templates", "recompression", "pipeline_query")
 
 
 @dataclass(frozen=True)
