@@ -70,7 +70,7 @@ class WordTokens:
     def encode_unit(self, unit: str) -> list[int]:
         out: list[int] = []
         for piece in SPLIT.findall(unit.lower()):
-            mapped = piece if piece.isascii() else "".join([BYTE_CHARS[b] for b in piece.encode()])
+            mapped = piece if piece.isascii() and piece.isprintable() else "".join([BYTE_CHARS[b] for b in piece.encode()])
             out += [t.id for t in self.model.tokenize(mapped)]
         return out
 
