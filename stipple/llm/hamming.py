@@ -8,7 +8,8 @@ near signatures always share a key. Sets with a similarity of 0.75 differ in 16
 with a deviation of 3.5; more than 31 happens about once in 50,000 such pairs.
 
 Equal sets are one representative from the start. Within a key, all members are compared with the
-member that shares most keys with others, first; components that result are then compared with
+member that shares most keys with others, first; then, ROUNDS times, those of other components with a
+member drawn by hash, another one in each key; components that are left are then compared with
 one another in blocks of bounded size, so that only members of different components still meet and
 no task holds a whole key. Every candidate within the distance is confirmed on the full sets.
 Nothing is capped: what the first comparisons leave open, the blocks finish.
@@ -37,6 +38,7 @@ SYMBOLS = 64
 CHUNK = 4
 MAX_DISTANCE = SYMBOLS // CHUNK * 2 - 1
 BLOCK = 512
+ROUNDS = 2
 _MULTIPLIERS = np.random.default_rng(7).integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEPS = np.random.default_rng(8).integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -183,6 +185,13 @@ def labelled(members: DataFrame, found: DataFrame) -> DataFrame:
             .withColumn("component", F.coalesce("component", "rep")))
 
 
+def still_open(members: DataFrame, found: DataFrame) -> DataFrame:
+    """key, rep, n, component of the keys whose members are in more than one component."""
+    placed = labelled(members.select("key", "rep", "n"), found)
+    split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    return written(placed.join(split.select("key"), "key", "left_semi"))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75,
                     max_distance: int = MAX_DISTANCE) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
@@ -205,9 +214,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = written(confirmed(written(near_signatures(in_order(star), reps, max_distance)), texts, one, percent))
     found = components(links)
 
-    placed = labelled(members.select("key", "rep", "n"), found)
-    split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    open_ = written(placed.join(split.select("key"), "key", "left_semi"))
+    for turn in range(ROUNDS):
+        open_ = still_open(members, found)
+        pivot = open_.groupBy("key").agg(F.max(F.struct(
+            F.xxhash64(F.lit(turn), "key", "rep").alias("h"), F.col("rep").alias("pivot"), F.col("component").alias("of"))).alias("p"))
+        pairs = open_.join(pivot.select("key", "p.pivot", "p.of"), "key").where("component <> of")
+        pairs = in_order(pairs.select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
+        links = written(links.union(confirmed(written(near_signatures(pairs, reps, max_distance)), texts, one, percent)))
+        found = components(links)
+    open_ = still_open(members, found)
     parts = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
     block = F.pmod(F.xxhash64("component", "rep"), parts).cast("int")
     spread = open_.select("key", "rep", "component", parts.alias("parts"), block.alias("block"))
