@@ -16,9 +16,10 @@ from stipple.operators.skew import exact_quantiles
 from stipple.plans.displacement import scoped_curves
 from stipple.sources.standins import FRAME_S, MAX_UM, N_BINS, WIDTH_UM
 
-N_FRAMES = 360
-SCOPES = [("full", 0, 360), ("w0", 0, 120), ("w1", 120, 240), ("w2", 240, 360)]
-SCOPE_SQL = "scopes AS (SELECT * FROM (VALUES ('full', 0, 360), ('w0', 0, 120), ('w1', 120, 240), ('w2', 240, 360)) s(scope, start, stop))"
+WINDOWS = 10  # equal parts of the movie beside the full scope
+SCOPE_SQL = f"""span AS (SELECT min(frame) AS lo, max(frame) + 1 AS hi, CAST(ceil((max(frame) + 1 - min(frame)) / CAST({WINDOWS} AS DOUBLE)) AS INTEGER) AS step FROM movies),
+scopes AS (SELECT 'full' AS scope, lo AS start, hi AS stop FROM span
+  UNION ALL SELECT 'w' || k, lo + k * step, least(hi, lo + (k + 1) * step) FROM span, range({WINDOWS}) q(k) WHERE lo + k * step < hi)"""
 KEYS = ["sample_id", "grp", "scope"]
 
 
@@ -70,7 +71,13 @@ SUMMARY_VALUES = ("beta_raw", "beta", "signed_area", "main_mass", "tail_mass", "
 
 
 def scopes(t):
-    return t.spark.createDataFrame(SCOPES, "scope string, start int, stop int")
+    """The full movie and ten equal windows of it, from the first frame of the points to the last."""
+    span = t.movies.agg(F.min("frame").alias("lo"), (F.max("frame") + 1).alias("hi")).where("lo is not null")
+    span = span.withColumn("step", F.ceil((F.col("hi") - F.col("lo")) / F.lit(float(WINDOWS))).cast("int"))
+    parts = [F.struct(F.lit("full").alias("scope"), F.col("lo").alias("start"), F.col("hi").alias("stop"))]
+    parts += [F.struct(F.lit(f"w{k}").alias("scope"), (F.col("lo") + k * F.col("step")).alias("start"),
+                       F.least(F.col("hi"), F.col("lo") + (k + 1) * F.col("step")).alias("stop")) for k in range(WINDOWS)]
+    return span.select(F.inline(F.array(*parts))).where("start < stop")
 
 
 def movie_counts(t, points=None):
@@ -310,7 +317,7 @@ def localization_table_violations(t):
     return ck.violation_counts(fits.join(detections, "uid", "left"), lb.table_expectations(), ["sample_id"])
 
 
-FRAMES = f"""WITH {POINTS}, f AS (SELECT CAST(r AS INTEGER) AS frame FROM range({N_FRAMES}) q(r)),
+FRAMES = f"""WITH {POINTS}, f AS (SELECT unnest(range(min(frame), max(frame) + 1)) AS frame FROM points),
   m AS (SELECT sample_id % 20 AS sample_id, frame, grp, qc, x_um, y_um, photons_e FROM points), s AS (SELECT DISTINCT sample_id FROM m),
   fc AS (SELECT s.sample_id, f.frame, count(*) FILTER (qc AND grp = 'On') AS "on", count(*) FILTER (qc AND grp = 'Not-on') AS not_on,
     count(*) FILTER (qc AND grp = 'unknown') AS unknown, count(*) FILTER (NOT qc) AS qc_excluded, count(m.qc) AS roi_candidates
@@ -323,7 +330,7 @@ def all_movie_points(t):
 
 @query("frame_class_counts", "AGG-13", f"{FRAMES} SELECT * FROM fc")
 def frame_class_counts(t):
-    return lb.frame_class_counts(all_movie_points(t), n_frames=N_FRAMES)
+    return lb.frame_class_counts(all_movie_points(t))
 
 
 @query("block_class_counts", "AGG-14",
@@ -331,13 +338,13 @@ def frame_class_counts(t):
        SELECT sample_id, CAST(block AS INTEGER) AS block, grouping(block) AS is_total, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in ('"on"', 'not_on', 'unknown', 'qc_excluded', 'roi_candidates'))}
        FROM b GROUP BY GROUPING SETS ((sample_id, block), (sample_id))""")
 def block_class_counts(t):
-    return lb.block_rollup(lb.frame_class_counts(all_movie_points(t), n_frames=N_FRAMES), block_frames=25)
+    return lb.block_rollup(lb.frame_class_counts(all_movie_points(t)), block_frames=25)
 
 
 @query("count_conservation_violations", "PRJ-24",
        f"""{FRAMES} SELECT * FROM fc WHERE "on" + not_on + unknown + qc_excluded <> roi_candidates""")
 def count_conservation_violations(t):
-    return lb.conservation_violations(lb.frame_class_counts(all_movie_points(t), n_frames=N_FRAMES))
+    return lb.conservation_violations(lb.frame_class_counts(all_movie_points(t)))
 
 
 @query("frame_audit_counts", "AGG-58",
@@ -346,7 +353,7 @@ def count_conservation_violations(t):
        FROM s CROSS JOIN f LEFT JOIN m ON m.sample_id = s.sample_id AND m.frame = f.frame GROUP BY ALL""")
 def frame_audit_counts(t):
     audit = F.when(F.col("qc"), "ok").when(F.col("photons_e") < 30000, "dim").otherwise("poor_fit")
-    return lb.audit_counts(all_movie_points(t).withColumn("audit", audit), n_frames=N_FRAMES, statuses=["ok", "dim", "poor_fit"])
+    return lb.audit_counts(all_movie_points(t).withColumn("audit", audit), statuses=["ok", "dim", "poor_fit"])
 
 
 @query("frame_detection_counts", "AGG-59",
@@ -354,7 +361,7 @@ def frame_audit_counts(t):
        FROM s CROSS JOIN f LEFT JOIN m ON m.sample_id = s.sample_id AND m.frame = f.frame GROUP BY ALL""")
 def frame_detection_counts(t):
     inside = F.col("x_um").between(0.5, 2.5) & F.col("y_um").between(0.5, 2.5)
-    return lb.detection_counts(all_movie_points(t), n_frames=N_FRAMES, inside=inside)
+    return lb.detection_counts(all_movie_points(t), inside=inside)
 
 
 @query("label_transition_matrix", "AGG-22",

@@ -85,7 +85,8 @@ def group_distribution(t):
        f"""{REPL} SELECT bin, {', '.join(f'''{R(f"avg(intra) FILTER (condition = '{c}')")} AS "{c}_mean", {R(f"stddev_samp(intra) FILTER (condition = '{c}')")} AS "{c}_sd"''' for c in ('AFRICA', 'AMERICA', 'ASIA', 'EUROPE', 'MIDDLE EAST'))}
        FROM repl GROUP BY bin""")
 def group_distribution_wide(t):
-    names = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+    # the condition table gives the columns: one of each condition, whatever there are
+    names = [r[0] for r in t.raw("region").select("r_name").distinct().orderBy("r_name").collect()]
     wide = replicate_curves(t).groupBy("bin").pivot("condition", names).agg(
         F.avg("intra").alias("mean"), F.stddev_samp("intra").alias("sd"))
     return round_all(wide, *[c for c in wide.columns if c != "bin"])

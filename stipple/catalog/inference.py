@@ -17,7 +17,7 @@ from stipple.session import cut_lineage
 from stipple.sources.standins import MAX_UM, N_BINS, WIDTH_UM
 
 DRAWS, SEED = 200, 7
-BDRAWS, LENGTH, STRATUM, FRAMES = 100, 20, 120, 360
+BDRAWS, LENGTHS, LENGTH, STRATUM = 100, (10, 25, 50), 25, 100
 
 
 def hash_sql(*parts: str) -> str:
@@ -38,17 +38,18 @@ def cell_bootstrap_bands(t):
     return round_all(rs.draw_percentiles(means, ["condition", "bin"], "value"), "p2_5", "p50", "p97_5")
 
 
-PLAN = f"""pl AS (SELECT l.length, d.r AS draw, s.r AS stratum, CAST(s.r * (120 // l.length) + {hash_sql(str(SEED), 'l.length', 'd.r', 's.r', 'k.r')} % (120 // l.length) AS INTEGER) AS block
-   FROM (VALUES (10), (20), (40)) l(length), range({BDRAWS}) d(r), range(3) s(r), range(12) k(r) WHERE k.r < 120 // l.length),
+PLAN = f"""pl AS (SELECT l.length, d.r AS draw, s.r AS stratum, CAST(s.r * ({STRATUM} // l.length) + {hash_sql(str(SEED), 'l.length', 'd.r', 's.r', 'k.r')} % ({STRATUM} // l.length) AS INTEGER) AS block
+   FROM (VALUES (10), (25), (50)) l(length), range({BDRAWS}) d(r), (SELECT unnest(range(max(frame) // {STRATUM} + 1)) AS r FROM movies) s, range(10) k(r) WHERE k.r < {STRATUM} // l.length),
 plan AS (SELECT length, CAST(draw AS INTEGER) AS draw, CAST(stratum AS INTEGER) AS stratum, block, count(*) AS w FROM pl GROUP BY ALL)"""
 
 
 def plan(t, length=None):
-    return rs.block_plan(t.spark, frames=FRAMES, stratum_frames=STRATUM, lengths=[length] if length else [10, 20, 40], draws=BDRAWS, seed=SEED)
+    last = t.movies.select(F.max("frame")).scalar()
+    return rs.block_plan(t.spark, last_frame=last, stratum_frames=STRATUM, lengths=[length] if length else LENGTHS, draws=BDRAWS, seed=SEED)
 
 
 @query("block_plan_pair_totals", "RES-2 RES-3",
-       f"""{gp.G}, {PLAN}, b AS (SELECT length, component, frame // length AS block, sum(n) AS n FROM gcounts CROSS JOIN (VALUES (10), (20), (40)) l(length)
+       f"""{gp.G}, {PLAN}, b AS (SELECT length, component, frame // length AS block, sum(n) AS n FROM gcounts CROSS JOIN (VALUES (10), (25), (50)) l(length)
           WHERE component IN ('total', 'background') AND (component <> 'total' OR frame % length <> length - 1) GROUP BY ALL)
        SELECT length, draw, component, CAST(sum(w * n) AS BIGINT) AS n FROM b JOIN plan USING (length, block) GROUP BY ALL""")
 def block_plan_pair_totals(t):
@@ -56,7 +57,7 @@ def block_plan_pair_totals(t):
     per_frame = gp.movie_counts(t).where("component in ('total', 'background')").groupBy("component", "frame").agg(F.sum("n").alias("n"))
     per_frame = cut_lineage(per_frame)  # a few rows per frame, used once per block length
     units = None
-    for length in (10, 20, 40):
+    for length in LENGTHS:
         b = rs.block_sums(per_frame, length=length).withColumn("length", F.lit(length))
         units = b if units is None else units.unionByName(b)
     return units.join(plan(t), ["length", "block"]).groupBy("length", "draw", "component").agg(F.sum(F.col("w") * F.col("n")).alias("n"))
@@ -184,10 +185,10 @@ def exact_permutation_tests(t):
 
 
 @query("effect_sizes", "RES-12",
-       f"""{MEANS}, e AS (SELECT comparison_id, list_avg(va) AS a, list_avg(vb) AS b FROM cmp WHERE kind = 'proteins_within_condition')
-       SELECT comparison_id, {R('a', 5)} AS mean_a, {R('b', 5)} AS mean_b, {R('a - b', 5)} AS effect, {R('100.0 * (a - b) / b', 6)} AS relative_pct, {R('a / b')} AS mean_ratio, true AS consistent FROM e""")
+       f"""{MEANS}, e AS (SELECT comparison_id, list_avg(va) AS a, list_avg(vb) AS b FROM cmp)
+       SELECT comparison_id, {R('a', 5)} AS mean_a, {R('b', 5)} AS mean_b, {R('a - b', 5)} AS effect, {R('100.0 * (a - b) / b', 6)} AS relative_pct, {R('a / b')} AS mean_ratio, abs(a / b - (1 + (100.0 * (a - b) / b) / 100)) <= CAST(1e-12 AS DOUBLE) * greatest(1.0, abs(a / b)) AS consistent FROM e""")
 def effect_sizes(t):
-    e = nf.effect_sizes(comparisons(t).where("kind = 'proteins_within_condition'"))
+    e = nf.effect_sizes(comparisons(t))
     return e.select("comparison_id", *[rounded(F.col(c), 5).alias(c) for c in ("mean_a", "mean_b", "effect")],
                     rounded(F.col("relative_pct"), 6).alias("relative_pct"), rounded(F.col("mean_ratio")).alias("mean_ratio"), "consistent")
 

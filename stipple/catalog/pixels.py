@@ -14,9 +14,9 @@ SUPPORT = 2
 A = repr(0.117**2)
 P = f"""WITH RECURSIVE {PIXELS},
 blocks AS (SELECT block, count(*) AS expected, count(*) FILTER (participating) AS seen, min(frame) AS frame_start,
-  count(*) FILTER (participating) = 24 AS valid, CASE WHEN count(*) FILTER (participating) = 24 THEN '' ELSE 'incomplete_support_block' END AS reason
+  count(*) FILTER (participating) = 24 AS valid, CASE WHEN count(*) FILTER (participating) = 24 THEN '' WHEN count(*) FILTER (participating) = 0 THEN 'no_participating_frames' ELSE 'incomplete_support_block' END AS reason
   FROM frame_map GROUP BY 1),
-sup AS (SELECT frame // 24 AS block, y, x, count(*) AS support FROM broad GROUP BY ALL),
+sup AS (SELECT block, y, x, count(DISTINCT frame) AS support FROM broad JOIN frame_map USING (frame) GROUP BY ALL),
 mask AS (SELECT CAST(block AS INTEGER) AS block, y, x FROM sup SEMI JOIN (SELECT block FROM blocks WHERE valid) b USING (block) WHERE support >= 2),
 areas AS (SELECT block, frame_start, seen, valid, reason, CASE WHEN valid THEN coalesce(f, 0) END AS full_px, CASE WHEN valid THEN coalesce(r, 0) END AS roi_px
   FROM blocks LEFT JOIN (SELECT block, count(*) AS f, count(*) FILTER (x BETWEEN 2 AND 9 AND y BETWEEN 2 AND 9) AS r FROM mask GROUP BY 1) n USING (block))
@@ -28,7 +28,7 @@ def blocks(t):
 
 
 def support(t):
-    return px.support_counts(t.broad, window=BLOCK_FRAMES)
+    return px.support_counts(t.broad, t.frame_map)
 
 
 def mask(t):
@@ -90,29 +90,41 @@ AREA_LONG = f"""bf AS (SELECT frame, valid, unnest(['full_um2', 'roi_um2']) AS s
 
 
 @query("area_summary", "AGG-19 WIN-10",
-       f"""{P}, {AREA_LONG} SELECT scope, {R('arg_min(coalesce(area, -1), frame)')} AS first, {', '.join(f"CASE WHEN bool_and(valid) THEN {R(e)} END AS {n}" for n, e in (('mean', 'avg(area)'), ('median', 'quantile_cont(area, 0.5)'), ('min', 'min(area)'), ('max', 'max(area)')))},
+       f"""{P}, {AREA_LONG} SELECT scope, {R('min_by(struct_pack(a := area), frame).a')} AS first, {', '.join(f"CASE WHEN bool_and(valid) THEN {R(e)} END AS {n}" for n, e in (('mean', 'avg(area)'), ('median', 'quantile_cont(area, 0.5)'), ('min', 'min(area)'), ('max', 'max(area)')))},
        count(*) FILTER (valid) AS valid_frames, count(*) AS expected_frames, CASE WHEN bool_and(valid) THEN 'available' ELSE 'unavailable_missing_mask_blocks' END AS status FROM bf GROUP BY scope""")
 def area_summary(t):
-    s = px.area_summary(px.area_by_frame(areas(t), t.frame_map)).withColumn("first", F.coalesce("first", F.lit(-1.0)))
-    return round_all(s, "first", "mean", "median", "min", "max")
+    return round_all(px.area_summary(px.area_by_frame(areas(t), t.frame_map)), "first", "mean", "median", "min", "max")
 
 
 @query("area_summary_complete", "AGG-19",
-       f"""{P}, full_map AS (SELECT frame, block FROM frame_map), n AS (SELECT block, count(*) AS f FROM (SELECT CAST(block AS INTEGER) AS block FROM sup WHERE support >= 2) GROUP BY 1),
-       bf AS (SELECT frame, coalesce(f, 0) * {A} AS area FROM full_map LEFT JOIN n USING (block))
-       SELECT {R('arg_min(area, frame)')} AS first, {R('avg(area)')} AS mean, {R('quantile_cont(area, 0.5)')} AS median, {R('min(area)')} AS min, {R('max(area)')} AS max FROM bf""")
+       f"""{P}, whole AS (SELECT block FROM frame_map GROUP BY 1 HAVING count(*) = 24), full_map AS (SELECT frame, block FROM frame_map SEMI JOIN whole USING (block)),
+       n AS (SELECT block, count(*) AS f, count(*) FILTER (x BETWEEN 2 AND 9 AND y BETWEEN 2 AND 9) AS r FROM sup WHERE support >= 2 GROUP BY 1),
+       bf AS (SELECT frame, unnest(['full_um2', 'roi_um2']) AS scope, unnest([coalesce(f, 0) * {A}, coalesce(r, 0) * {A}]) AS area FROM full_map LEFT JOIN n USING (block))
+       SELECT scope, {R('arg_min(area, frame)')} AS first, {R('avg(area)')} AS mean, {R('quantile_cont(area, 0.5)')} AS median, {R('min(area)')} AS min, {R('max(area)')} AS max FROM bf GROUP BY scope""")
 def area_summary_complete(t):
     everything = t.frame_map.withColumn("participating", F.lit(True))
-    b = px.block_validity(everything, window=BLOCK_FRAMES)
+    b = px.block_validity(everything, window=BLOCK_FRAMES).where("expected = 24")
     a = px.mask_areas(px.support_mask(support(t), b, minimum=SUPPORT), b, t.roi)
-    s = px.area_summary(px.area_by_frame(a, everything)).where("scope = 'full_um2'")
-    return round_all(s, "first", "mean", "median", "min", "max").select("first", "mean", "median", "min", "max")
+    s = px.area_summary(px.area_by_frame(a, everything.join(b.select("block"), "block", "left_semi")))
+    return round_all(s, "first", "mean", "median", "min", "max").select("scope", "first", "mean", "median", "min", "max")
 
 
 @query("time_weighted_area", "AGG-20",
-       f"""{P}, v AS (SELECT * FROM areas WHERE valid) SELECT {R(f'arg_min(roi_px, frame_start) * {A}')} AS first_um2, {R(f'sum(roi_px * {A} * seen) / sum(seen)')} AS mean_um2, count(*) AS blocks, count(roi_px) AS known_blocks FROM v""")
+       f"""{P} SELECT {R(f'min_by(struct_pack(a := roi_px), frame_start).a * {A}')} AS first_um2,
+       CASE WHEN bool_and(roi_px IS NOT NULL) THEN {R(f'sum(roi_px * {A} * seen) / sum(seen)')} END AS mean_um2, count(*) AS blocks, count(roi_px) AS known_blocks FROM areas""")
 def time_weighted_area(t):
-    return round_all(px.time_weighted_area(areas(t).where("valid")), "first_um2", "mean_um2")
+    return round_all(px.time_weighted_area(areas(t)), "first_um2", "mean_um2")
+
+
+@query("time_weighted_area_complete", "AGG-20",
+       f"""{P}, n AS (SELECT block, min(frame) AS frame_start, count(*) AS seen FROM frame_map GROUP BY 1),
+       a AS (SELECT n.*, coalesce(r, 0) AS r FROM n LEFT JOIN (SELECT block, count(*) AS r FROM sup WHERE support >= 2 AND x BETWEEN 2 AND 9 AND y BETWEEN 2 AND 9 GROUP BY 1) USING (block) WHERE seen = 24)
+       SELECT {R(f'arg_min(r, frame_start) * {A}')} AS first_um2, {R(f'sum(r * {A} * seen) / sum(seen)')} AS mean_um2, count(*) AS blocks, count(r) AS known_blocks FROM a""")
+def time_weighted_area_complete(t):
+    """As if every frame took part; a last window of fewer frames is cut off the movie."""
+    everything = t.frame_map.withColumn("participating", F.lit(True))
+    b = px.block_validity(everything, window=BLOCK_FRAMES).where("expected = 24")
+    return round_all(px.time_weighted_area(px.mask_areas(px.support_mask(support(t), b, minimum=SUPPORT), b, t.roi)), "first_um2", "mean_um2")
 
 
 OV = ("delta_pct", "iou", "dice")
@@ -126,10 +138,10 @@ def overlap_sql(a: str, b: str, keys: str) -> str:
 
 
 @query("mask_overlap", "JOIN-29 AGG-21 SET-3",
-       f"""{P}, loose AS (SELECT CAST(block AS INTEGER) AS block, y, x FROM sup), tight AS (SELECT CAST(frame // 24 AS INTEGER) AS block, y, x FROM pixels WHERE value >= 70 GROUP BY ALL),
+       f"""{P}, loose AS (SELECT CAST(block AS INTEGER) AS block, y, x FROM sup), tight AS (SELECT block, y, x FROM pixels JOIN frame_map USING (frame) WHERE value >= 70 GROUP BY ALL),
        {overlap_sql('mask', 'tight', 'block')}""")
 def mask_overlap(t):
-    tight = px.support_counts(t.pixels.where("value >= 70"), window=BLOCK_FRAMES).select("block", "y", "x")
+    tight = px.support_counts(t.pixels.where("value >= 70"), t.frame_map).select("block", "y", "x")
     return round_all(px.overlap(mask(t), tight, ["block"]), *OV)
 
 
@@ -235,13 +247,13 @@ def stage_areas(t):
 
 @query("bright_region_coverage", "JOIN-30",
        f"""{P}, lm AS (SELECT frame, quantile_cont(value, 0.9) AS lim FROM pixels GROUP BY 1),
-       br AS (SELECT frame, CAST(frame // 24 AS INTEGER) AS block, y, x FROM pixels JOIN lm USING (frame) SEMI JOIN roi USING (y, x) WHERE value > lim),
+       br AS (SELECT frame, block, y, x FROM pixels JOIN frame_map USING (frame) JOIN lm USING (frame) SEMI JOIN roi USING (y, x) WHERE value > lim),
        ms AS (SELECT 'support' AS method, CAST(block AS INTEGER) AS block, y, x FROM sup UNION ALL SELECT 'mask', block, y, x FROM mask),
        e AS (SELECT * FROM br CROSS JOIN (VALUES ('support'), ('mask')) v(method))
        SELECT method, frame, block, count(*) AS bright_px, count(m.i) AS covered_px, {R('count(m.i) * 100.0 / count(*)')} AS coverage_pct
        FROM e LEFT JOIN (SELECT *, 1 AS i FROM ms) m USING (method, block, y, x) GROUP BY ALL""")
 def bright_region_coverage(t):
-    p = t.pixels.withColumn("block", F.floor(F.col("frame") / BLOCK_FRAMES).cast("int"))
+    p = t.pixels.join(t.frame_map.select("frame", "block"), "frame")
     limits = t.pixels.groupBy("frame").agg(F.percentile("value", F.lit(0.9)).alias("limit"))
     masks = support(t).select(F.lit("support").alias("method"), "block", "y", "x").unionByName(mask(t).select(F.lit("mask").alias("method"), "block", "y", "x"))
     return round_all(px.bright_coverage(p, limits, t.roi, masks, methods=["support", "mask"]), "coverage_pct")

@@ -88,8 +88,9 @@ day_pixels AS (
   SELECT CAST(floor(frame / 24.0) AS INTEGER) AS frame, y, x, max(value) AS value FROM pixels GROUP BY 1, 2, 3),
 broad AS (SELECT frame, y, x FROM pixels WHERE value >= 50),
 frame_map AS (
-  SELECT CAST(r AS INTEGER) AS frame, CAST(r // 24 AS INTEGER) AS block, r % 97 <> 13 AS participating
-  FROM range(720) t(r)),
+  SELECT CAST(r AS INTEGER) AS frame, CAST((r - lo) // 24 AS INTEGER) AS block,
+         r % 97 <> 13 AND r IN (SELECT frame FROM pixels) AS participating
+  FROM (SELECT lo, unnest(range(lo, hi + 1)) AS r FROM (SELECT min(frame) AS lo, max(frame) AS hi FROM pixels))),
 grid AS (SELECT CAST(r // 12 AS INTEGER) AS y, CAST(r % 12 AS INTEGER) AS x FROM range(144) t(r)),
 roi AS (SELECT * FROM grid WHERE x BETWEEN 2 AND 9 AND y BETWEEN 2 AND 9)
 """

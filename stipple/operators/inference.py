@@ -25,12 +25,13 @@ def planned_comparisons(means: DataFrame) -> DataFrame:
         F.transform(F.array_sort(F.collect_list(F.struct("br", "mean"))), lambda s: s["mean"]).alias("values"), F.sum("n").alias("n_cells"))
     side = lambda s: lists.select("endpoint", *[F.col(c).alias(f"{c}_{s}") for c in ("protein", "condition", "values", "n_cells")])
     a, b = side("a"), side("b")
-    pairs = a.join(b, "endpoint")
-    kind = F.when(
-        (F.col("condition_a") == F.col("condition_b")) & (F.col("protein_a") < F.col("protein_b")), "proteins_within_condition"
-    ).when((F.col("protein_a") == F.col("protein_b")) & (F.col("condition_a") < F.col("condition_b")), "conditions_within_protein")
+    within = lambda same, other: a.withColumn(f"{same}_b", F.col(f"{same}_a")).join(b, ["endpoint", f"{same}_b"]).where(
+        F.col(f"{other}_a") < F.col(f"{other}_b"))
+    columns = [f"{c}_{s}" for s in "ab" for c in ("protein", "condition", "values", "n_cells")]
+    pairs = within("condition", "protein").select("endpoint", *columns, F.lit("proteins_within_condition").alias("kind")).unionByName(
+        within("protein", "condition").select("endpoint", *columns, F.lit("conditions_within_protein").alias("kind")))
     name = F.concat(F.col("endpoint"), F.lit(":"), F.concat_ws("_", "protein_a", "condition_a"), F.lit("_minus_"), F.concat_ws("_", "protein_b", "condition_b"))
-    return pairs.withColumn("kind", kind).where("kind is not null").withColumn("comparison_id", name)
+    return pairs.withColumn("comparison_id", name)
 
 
 def exact_permutation(comparisons: DataFrame, key: str = "comparison_id") -> DataFrame:

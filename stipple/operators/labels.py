@@ -61,8 +61,8 @@ def table_expectations() -> list[tuple[str, Column]]:
     ]
 
 
-def frame_class_counts(points: DataFrame, *, n_frames: int, key: str = "sample_id") -> DataFrame:
-    """Counts per frame of each class, with every frame of every sample present.
+def frame_class_counts(points: DataFrame, *, key: str = "sample_id") -> DataFrame:
+    """Counts per frame of each class, with every frame of the table's range present for every sample.
 
     One aggregate gives the frame counts; the frames of a sample are bounded, so they are
     gathered into a map and expanded over the full frame range without a join.
@@ -72,14 +72,19 @@ def frame_class_counts(points: DataFrame, *, n_frames: int, key: str = "sample_i
         *[F.count_if(kept & (F.col("grp") == g)).alias(g.replace("-", "_").lower()) for g in GROUPS],
         F.count_if(~kept).alias("qc_excluded"), F.count("*").alias("roi_candidates"),
     )
-    return zero_filled(per_frame, [key], n_frames=n_frames)
+    return zero_filled(per_frame, [key])
 
 
-def zero_filled(per_frame: DataFrame, keys: Sequence[str], *, n_frames: int, frame: str = "frame") -> DataFrame:
-    """Expand sparse per-frame counts to frames 0..n-1, absent counts being zero."""
+def zero_filled(per_frame: DataFrame, keys: Sequence[str], *, frame: str = "frame") -> DataFrame:
+    """Expand sparse per-frame counts to all frames from the table's first to its last, absent counts being zero.
+
+    The range is that of the data, so no frame can lie outside it; rows without a frame have no place in it.
+    """
+    per_frame = per_frame.where(F.col(frame).isNotNull())
+    first, last = per_frame.select(F.min(frame)).scalar(), per_frame.select(F.max(frame)).scalar()
     values = [c for c in per_frame.columns if c not in (*keys, frame)]
     one = per_frame.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(frame, F.struct(*values)))).alias("__m"))
-    grid = one.select(*keys, "__m", F.explode(F.sequence(F.lit(0), F.lit(n_frames - 1))).alias(frame))
+    grid = one.select(*keys, "__m", F.explode(F.sequence(first, last)).alias(frame))
     at = F.try_element_at("__m", F.col(frame))
     return grid.select(*keys, frame, *[F.coalesce(at[v], F.lit(0)).alias(v) for v in values])
 
@@ -138,19 +143,19 @@ def method_counts(labelings: DataFrame, methods: Sequence[str] = ("a", "b")) ->
     )
 
 
-def audit_counts(points: DataFrame, *, n_frames: int, statuses: Sequence[str], key: str = "sample_id") -> DataFrame:
+def audit_counts(points: DataFrame, *, statuses: Sequence[str], key: str = "sample_id") -> DataFrame:
     """Zero-filled per-frame counts of each audit status, plus selected and excluded."""
     per_frame = points.groupBy(key, "frame").agg(
         *[F.count_if(F.col("audit") == s).alias(s) for s in statuses],
         F.count_if("qc").alias("selected"), F.count_if(~F.col("qc")).alias("excluded"),
     )
-    return zero_filled(per_frame, [key], n_frames=n_frames)
+    return zero_filled(per_frame, [key])
 
 
-def detection_counts(points: DataFrame, *, n_frames: int, inside: Column, key: str = "sample_id") -> DataFrame:
+def detection_counts(points: DataFrame, *, inside: Column, key: str = "sample_id") -> DataFrame:
     """Zero-filled per-frame detections, whole field and inside the region."""
     per_frame = points.groupBy(key, "frame").agg(F.count("*").alias("whole_field"), F.count_if(inside).alias("inside"))
-    return zero_filled(per_frame, [key], n_frames=n_frames)
+    return zero_filled(per_frame, [key])
 
 
 def relabel_invariance(a: DataFrame, b: DataFrame) -> DataFrame:

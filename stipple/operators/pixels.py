@@ -47,10 +47,13 @@ def contract_violations(frame_map: DataFrame, *, by: Sequence[str] = ()) -> Data
         F.count_if(F.col("blocks") > 1).alias("several_blocks"), F.count_if(F.col("frame") < 0).alias("negative"))
 
 
-def support_counts(foreground: DataFrame, *, window: int, by: Sequence[str] = ()) -> DataFrame:
-    """In how many frames of its window each pixel is foreground (tumbling windows only)."""
-    block = F.floor(F.col("frame") / window).cast("int").alias("block")
-    return foreground.groupBy(*by, block, "y", "x").agg(F.count("*").alias("support"))
+def support_counts(foreground: DataFrame, frame_map: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
+    """In how many frames of its window each pixel is foreground (tumbling windows of the frame map).
+
+    Repeated rows of a pixel in a frame count once. A frame that the map doesn't list has no window.
+    """
+    placed = foreground.join(frame_map.select(*by, "frame", "block"), [*by, "frame"])
+    return placed.groupBy(*by, "block", "y", "x").agg(F.countDistinct("frame").alias("support"))
 
 
 def support_mask(counts: DataFrame, blocks: DataFrame, *, minimum: int, by: Sequence[str] = ()) -> DataFrame:

@@ -45,15 +45,18 @@ def draw_percentiles(draws: DataFrame, keys: Sequence[str], value: str, probs: S
     return out.select(*keys, "draws", *[F.col("q")[i].alias(f"p{p * 100:g}".replace(".", "_")) for i, p in enumerate(probs)])
 
 
-def block_plan(spark, *, frames: int, stratum_frames: int, lengths: Sequence[int], draws: int, seed: int) -> DataFrame:
-    """Shared block weights (length, draw, stratum, block, w): blocks redrawn within their stratum."""
+def block_plan(spark, *, last_frame: Column, stratum_frames: int, lengths: Sequence[int], draws: int, seed: int) -> DataFrame:
+    """Shared block weights (length, draw, stratum, block, w): blocks redrawn within their stratum.
+
+    Strata cover frames 0 to ``last_frame``, which may be a scalar subquery over the movie; the last one may be cut short.
+    """
     for length in lengths:
-        if length <= 1 or stratum_frames % length or frames % stratum_frames:
-            raise ValueError("a block must divide its stratum and strata must divide the movie")
+        if length <= 1 or stratum_frames % length:
+            raise ValueError("a block must divide its stratum")
     base = spark.range(draws).select(F.col("id").cast("int").alias("draw"), F.explode(F.array(*[F.lit(v) for v in lengths])).alias("length"))
     per = F.lit(stratum_frames) / F.col("length")
     slots = base.withColumn("per", per.cast("int")).withColumn(
-        "stratum", F.explode(F.sequence(F.lit(0), F.lit(frames // stratum_frames - 1)))).withColumn(
+        "stratum", F.explode(F.sequence(F.lit(0), F.floor(last_frame / stratum_frames).cast("int")))).withColumn(
         "slot", F.explode(F.sequence(F.lit(0), F.col("per") - 1)))
     pick = F.pmod(hash_int(F.lit(seed), F.col("length"), F.col("draw"), F.col("stratum"), F.col("slot")), F.col("per"))
     block = (F.col("stratum") * F.col("per") + pick).cast("int").alias("block")

@@ -96,11 +96,17 @@ class Tables:
 
     @cached_property
     def frame_map(self) -> DataFrame:
-        """Frames 0..719 with their block; the hours the events table spans."""
-        return self.spark.range(720).select(
-            F.col("id").cast("int").alias("frame"),
-            F.floor(F.col("id") / BLOCK_FRAMES).cast("int").alias("block"),
-            (F.col("id") % 97 != 13).alias("participating"),
+        """Every frame from the first to the last that the events reach, with its block counted from the first.
+
+        A frame takes part when it has events and isn't declared missing (13 modulo 97).
+        """
+        seen = self.pixels.select("frame").distinct()
+        span = seen.agg(F.min("frame").alias("lo"), F.max("frame").alias("hi"))
+        frames = span.select("lo", F.explode(F.sequence("lo", "hi")).alias("frame"))
+        return frames.join(seen.withColumn("seen", F.lit(True)), "frame", "left").select(
+            "frame",
+            F.floor((F.col("frame") - F.col("lo")) / BLOCK_FRAMES).cast("int").alias("block"),
+            (F.coalesce("seen", F.lit(False)) & (F.col("frame") % 97 != 13)).alias("participating"),
         )
 
     @cached_property

@@ -41,11 +41,11 @@ def test_block_units_never_cross_a_join(spark):
     u = rs.resampling_units(spark, frames=20, length=5, stratum_frames=10)
     assert u.count() == 16 and u.where("floor(source_frame / 5) <> floor(target_frame / 5)").count() == 0
     with pytest.raises(ValueError):
-        rs.block_plan(spark, frames=20, stratum_frames=10, lengths=[3], draws=2, seed=1)
+        rs.block_plan(spark, last_frame=F.lit(19), stratum_frames=10, lengths=[3], draws=2, seed=1)
 
 
 def test_block_plan_keeps_every_stratum_full(spark):
-    p = rs.block_plan(spark, frames=20, stratum_frames=10, lengths=[5, 2], draws=7, seed=1)
+    p = rs.block_plan(spark, last_frame=F.lit(19), stratum_frames=10, lengths=[5, 2], draws=7, seed=1)
     got = p.groupBy("length", "draw", "stratum").agg(F.sum("w").alias("w")).select("length", "w").distinct().collect()
     assert {(r[0], r[1]) for r in got} == {(5, 2), (2, 5)}
 
