@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stipple.llm.registry import named, table
-from stipple.llm.shared import LOWER, byte_values, Prefixes, components, mixed, slices, word_bounds, written
+from stipple.llm.shared import LOWER, byte_values, Prefixes, components, mixed, slices, with_short_batches, word_bounds, written
 
 WORDS = 5
 SYMBOLS = 64
@@ -101,7 +101,7 @@ def signed(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
                      pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "hash_a", "hash_b", "sig"])
 
     schema = "doc_id long, n_shingles long, hash_a long, hash_b long, sig binary"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(sign, schema)
+    return with_short_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(sign, schema)
 
 
 def filed(reps: DataFrame) -> DataFrame:

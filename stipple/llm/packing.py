@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stipple.llm.registry import named, table
-from stipple.llm.shared import Prefixes, byte_values, slices, written
+from stipple.llm.shared import Prefixes, byte_values, slices, with_short_batches, written
 
 CAPACITY = 4096
 END_ID = 1
@@ -191,7 +191,7 @@ def pieces_of(docs: DataFrame, *, id_col: str, text_col: str, capacity: int, voc
             names = ("doc_id", "piece", "start", "length", "ids_crc32")
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(cut, PIECES)
+    return with_short_batches(docs).select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(cut, PIECES)
 
 
 def fullest(counts: dict[int, int], capacity: int) -> list[tuple[int, int]]:

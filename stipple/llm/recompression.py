@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stipple.llm.registry import named, table
-from stipple.llm.shared import Prefixes, byte_values, mixed, slices, word_bounds, written
+from stipple.llm.shared import Prefixes, byte_values, mixed, slices, with_short_batches, word_bounds, written
 
 WINDOW = 50
 SPAN = 6
@@ -139,7 +139,7 @@ def passages_removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     text = F.coalesce(F.col(text_col), F.lit(""))
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
     base = docs.select(doc.alias("doc"), F.xxhash64(doc, text).alias("key"), text.alias("__text"))
-    marks = marked(base, window)
+    marks = marked(with_short_batches(base), window)
     shared = written(marks.groupBy("name").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("name"))
     hits = written(marks.select("name", "key", "slot").join(shared, "name", "left_semi").select("key", "slot"))
     # a stretch is worth a look when one of the symbols that its windows can hold is shared

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from stipple.session import cut_lineage
 
+BATCH_ROWS = 500
 SLICE_BYTES = 500_000  # bytes of text that are laid out as arrays at once; longer texts come alone
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -106,6 +107,14 @@ def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return Prefixes(byte_values(data)).part(starts, ends), rows
 
 
+def with_short_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches hold at most BATCH_ROWS rows: whole texts are long rows."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared checkpoint folder: recovery after a lost executor starts there."""
     return cut_lineage(df)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stipple.llm.registry import named, table
-from stipple.llm.shared import Prefixes, byte_values, mixed, slices, written
+from stipple.llm.shared import Prefixes, byte_values, mixed, slices, with_short_batches, written
 
 WIDTH = 400
 ROLL = 16
@@ -346,7 +346,7 @@ def repeats_removed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     text = F.coalesce(F.col(text_col), F.lit(""))
     doc = F.col(id_col).cast("long")
     base = docs.select(doc.alias("doc_id"), F.xxhash64(F.coalesce(doc.cast("string"), F.lit("none")), text).alias("key"), text.alias("__text"))
-    marks = marked(base, width)
+    marks = marked(with_short_batches(base), width)
     shared = written(marks.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"))
     hits = written(marks.select("name", "key", "slot", "back").join(shared, "name", "left_semi"))
     near = hits.select("name", "key", F.explode(F.sequence(F.col("slot") - F.col("back"), F.col("slot"))).alias("slot"))

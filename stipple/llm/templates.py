@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stipple.llm.registry import named, table
-from stipple.llm.shared import written
+from stipple.llm.shared import with_short_batches, written
 
 MIN_PAGES = 5
 MIN_SHARE = 0.02
@@ -169,7 +169,7 @@ def subtrees(pages: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
               min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
-    rows = keyed(pages, id_col, url_col, html_col)
+    rows = keyed(with_short_batches(pages), id_col, url_col, html_col)
     counts = written(subtrees(rows).groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("hash").isNull() | (F.col("n") >= min_pages)))
     sizes = counts.where("hash is null").select("host", F.col("n").alias("pages"))
     template = written(counts.where("hash is not null").join(sizes, "host").where(F.col("n") >= F.col("pages") * min_share).select("host", "hash"))

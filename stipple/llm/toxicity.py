@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stipple.llm.registry import named, table
-from stipple.llm.shared import LOWER, Prefixes, byte_values, mixed, slices, word_bounds
+from stipple.llm.shared import LOWER, Prefixes, byte_values, mixed, slices, with_short_batches, word_bounds
 
 BITS = 20
 MAX_ROWS = 10_000
@@ -86,7 +86,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, *, id_col: str, te
     marks = (labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y"))
              .where(F.col("__y").isin(0, 1) & F.col("__id").isNotNull()).groupBy("__id").agg(F.max("__y").alias("__y")))
     chosen = (marks.where(usable).withColumn("__h", F.xxhash64("__id")).orderBy("__h", "__id").limit(max_rows))
-    own = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    own = with_short_batches(docs).select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,7 +112,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, *, id_col: str, te
 def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], *, text_col: str = "text",
            bits: int = BITS) -> DataFrame:
     """``docs`` with a column ``__score``; all of its rows and columns stay."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # 2**bits numbers at most
+    sent = with_short_batches(docs).sparkSession.sparkContext.broadcast(model)  # 2**bits numbers at most
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         live, w, bias = sent.value
