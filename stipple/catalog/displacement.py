@@ -11,6 +11,7 @@ from stipple.operators import decompose as dc
 from stipple.operators import pairs as pr
 from stipple.plans.displacement import cell_curves
 from stipple.sources.standins import MAX_UM, N_BINS
+from stipple.sources.tables import stored
 
 DIST = "sqrt((a.x_um-b.x_um)*(a.x_um-b.x_um)+(a.y_um-b.y_um)*(a.y_um-b.y_um))"
 BIN = sql_bin("d", N_BINS, MAX_UM)
@@ -166,7 +167,7 @@ def cell_distribution(t):
     )
     values = ["left_um", "right_um", "total", "background", "inter", "intra", "intra_conditional", "total_density",
               "intra_density", "intra_conditional_density", "expected_inter_pairs", "expected_intra_pairs"]
-    return round_all(c, *values).select("sample_id", "bin", *values)
+    return stored(round_all(c, *values).select("sample_id", "bin", *values))
 
 
 @query(
@@ -198,9 +199,9 @@ def cell_quality(t):
     c = cell_curves(t.points, max_distance=MAX_UM, n_bins=N_BINS)
     q = dc.cell_quality(t.points, pr.candidate_counts(t.points), c, n_bins=N_BINS)
     q = round_all(q, "negative_intra_mass", "total_retained_fraction", "background_retained_fraction")
-    return q.select("sample_id", "localizations", "frames", "missing_frames", "duplicate_rows", "negative_intra_bins",
+    return stored(q.select("sample_id", "localizations", "frames", "missing_frames", "duplicate_rows", "negative_intra_bins",
                     "negative_intra_mass", "extra_zeros", "total_retained_fraction", "background_retained_fraction",
-                    "flags", "status")
+                    "flags", "status"))
 
 
 @query(
@@ -248,3 +249,13 @@ def frame_step_violations(t):
     from stipple.operators.points import frame_steps
 
     return frame_steps(t.points).where("step <> 1").groupBy("sample_id", "step").agg(F.count("*").alias("n"))
+
+
+@query("point_placement", "PRJ-2",
+       f"""WITH {POINTS}, q AS (SELECT sample_id, CASE WHEN photons_e % 7 < 1 THEN NULL ELSE frame END AS frame, CASE WHEN photons_e % 11 < 1 THEN 'NaN'::DOUBLE WHEN photons_e % 13 < 1 THEN NULL ELSE x_um END AS x_um, y_um FROM points)
+       SELECT sample_id, count(*) AS points_n, count(*) FILTER (frame IS NOT NULL AND x_um IS NOT NULL AND NOT isnan(x_um)) AS placed,
+         count(*) FILTER (frame IS NULL) AS no_frame, count(*) FILTER (x_um IS NULL OR isnan(x_um)) AS no_finite_place FROM q GROUP BY 1""")
+def point_placement(t):
+    """Points whose frame or place is made unusable by their own values, so that every kind of failure occurs."""
+    x = F.when(F.col("photons_e") % 11 < 1, float("nan")).when(F.col("photons_e") % 13 < 1, None).otherwise(F.col("x_um"))
+    return pr.placement_report(t.points.withColumns({"frame": F.when(~(F.col("photons_e") % 7 < 1), F.col("frame")), "x_um": x}))

@@ -11,6 +11,7 @@ from stipple.operators import curves as cv
 from stipple.operators import hierarchy as hi
 from stipple.plans.displacement import cell_curves
 from stipple.sources.standins import MAX_UM, N_BINS, WIDTH_UM
+from stipple.sources.tables import stored
 
 W64 = 1 / 64
 GROUPS = ("On", "Not-on")
@@ -42,7 +43,7 @@ def replicate_curves(t):
        f"""{REPL} SELECT condition, br, bin, {R_all('total')}, {R('"inter"')} AS "inter", {R_all('intra')}, n_cells FROM repl""")
 def replicate_distribution(t):
     r = hi.equal_cell_mean(sited(t), ["condition", "br"], PARTS)
-    return round_all(r, *PARTS)
+    return stored(round_all(r, *PARTS))
 
 
 @query("condition_equal_cell_mean", "AGG-34",
@@ -63,7 +64,7 @@ def condition_equal_cell_mean(t):
 def replicate_totals(t):
     cells = sited(t).groupBy("condition", "br", "sample_id").agg(
         F.max("beta").alias("beta"), F.max("total_pairs").alias("total_pairs"), F.max("background_pairs").alias("background_pairs"))
-    return round_all(hi.replicate_totals(cells, ["condition", "br"]), "beta")
+    return stored(round_all(hi.replicate_totals(cells, ["condition", "br"]), "beta"))
 
 
 BAND = ("mean", "sd", "sem", "low", "high")
@@ -78,7 +79,7 @@ BAND_SQL = """count(value) AS n, avg(value) AS mean, stddev_samp(value) AS sd, s
        b AS (SELECT condition, component, bin, {BAND_SQL} FROM long GROUP BY ALL)
        SELECT condition, component, bin, n, {R_all(*BAND)} FROM b""")
 def group_distribution(t):
-    return round_all(hi.equal_replicate_band(replicate_curves(t), ["condition"], PARTS), *BAND)
+    return stored(round_all(hi.equal_replicate_band(replicate_curves(t), ["condition"], PARTS), *BAND))
 
 
 @query("group_distribution_wide", "SNK-5 SNK-11",
@@ -89,7 +90,7 @@ def group_distribution_wide(t):
     names = [r[0] for r in t.raw("region").select("r_name").distinct().orderBy("r_name").collect()]
     wide = replicate_curves(t).groupBy("bin").pivot("condition", names).agg(
         F.avg("intra").alias("mean"), F.stddev_samp("intra").alias("sd"))
-    return round_all(wide, *[c for c in wide.columns if c != "bin"])
+    return stored(round_all(wide, *[c for c in wide.columns if c != "bin"]))
 
 
 @query("replicate_metric_statistics", "AGG-36 SNK-6 CUR-13",
@@ -102,7 +103,7 @@ def group_distribution_wide(t):
        SELECT condition, metric, n_rows, n, {R_all(*BAND)} FROM b""")
 def replicate_metric_statistics(t):
     s = cv.positive_summary(replicate_curves(t), ["condition", "br"], "intra")
-    return round_all(hi.metric_statistics(s, ["condition"], ["peak_um", "near_mass", "mean_um", "median_um"]), *BAND)
+    return stored(round_all(hi.metric_statistics(s, ["condition"], ["peak_um", "near_mass", "mean_um", "median_um"]), *BAND))
 
 
 @query("group_mean_curve_summary", "CUR-7 CUR-8",
@@ -221,7 +222,7 @@ def node_progress(t):
     FROM cl CROSS JOIN (VALUES ('condition'), ('comparison')) l(level)""")
 def summary_curves(t):
     s = hi.hierarchy_curves(states(t), grouped(t), groups=GROUPS, n_bins=32, width=1 / 32)
-    return s.withColumns({c: rounded(F.col(c), 6) for c in ("mean", "sd", "sem")})
+    return stored(s.withColumns({c: rounded(F.col(c), 6) for c in ("mean", "sd", "sem")}))
 
 
 @query("curve_grid_mismatches", "PRJ-29",

@@ -11,6 +11,7 @@ from stipple.operators import checks as ck
 from stipple.operators import distribution as ds
 from stipple.operators import hierarchy as hi
 from stipple.operators import metrics as mt
+from stipple.sources.tables import stored
 
 M = f"WITH {METRICS}"
 C4 = ('"on"', "not_on", "unknown", "qc_excluded")
@@ -91,7 +92,7 @@ def ratio_estimator_audit(t):
 def count_failures(t):
     saved = t.cell_metrics.withColumns({c: mt.parse_count(F.col(c).cast("string")) for c in mt.COUNTS})
     _, bad = ck.split_failures(saved, mt.count_expectations())
-    return bad.select("cell", "br", "condition", "message")
+    return stored(bad.select("cell", "br", "condition", "message"))
 
 
 @query("metric_validity", "PRJ-26",
@@ -175,7 +176,7 @@ def reader_condition_table(t):
     named = t.cell_metrics.join(t.raw("region"), F.col("condition") == F.col("r_regionkey")).withColumn("condition", F.col("r_name"))
     named = named.withColumn("br", F.concat(F.lit("BR"), F.col("br")))
     r = reader_table(named, preferred=["ASIA", "AFRICA"])
-    return r.withColumns({"on_fraction": rounded(F.col("on_fraction")), "area": rounded(F.col("area"), 5)})
+    return stored(r.withColumns({"on_fraction": rounded(F.col("on_fraction")), "area": rounded(F.col("area"), 5)}))
 
 
 @query("batch_summary", "SNK-9",
@@ -187,7 +188,7 @@ def batch_summary(t):
     from stipple.plans.reports import batch_summary as report
 
     done = t.points.where("frame < 200").groupBy("sample_id").agg(F.count("*").alias("points_n"))
-    return report(t.inventory, done)
+    return stored(report(t.inventory, done))
 
 
 HG = f"WITH {POINTS}"
@@ -257,7 +258,7 @@ def selection_digest(t):
 
 @query("representative_frames", "SNK-13 SRT-4", f"{HG} SELECT uid, sample_id, frame, grp FROM selected WHERE frame IN (0, 100, 200, 300)")
 def representative_frames(t):
-    return t.selected.where(F.col("frame").isin(0, 100, 200, 300)).select("uid", "sample_id", "frame", "grp")
+    return stored(t.selected.where(F.col("frame").isin(0, 100, 200, 300)).select("uid", "sample_id", "frame", "grp"))
 
 
 RT = f"""{M}, named AS (SELECT r_name AS condition, 'BR' || br AS br, CAST(br AS INTEGER) AS br_order, protein, cell, selected, "on", not_on, on_pct / 100 AS of, area,
@@ -280,23 +281,23 @@ def tidy(df, *wide):
 @query("reader_br_summary", "SNK-12 SRT-3",
        f"{RT} SELECT condition_order, br_order, condition, br, protein, {R('of')} AS on_fraction, {R('area', 5)} AS area, n_on, n_area, cells, {NOTE} FROM b")
 def reader_br_summary(t):
-    return tidy(reader_table_set(t)["br_summary"], "on_fraction", "area")
+    return stored(tidy(reader_table_set(t)["br_summary"], "on_fraction", "area"))
 
 
 @query("reader_condition_summary", "SNK-12",
        f"""{RT}, c AS (SELECT condition_order, condition, protein, avg(of) AS of, avg(area) AS area, CAST(sum(n_on) AS BIGINT) AS n_on, CAST(sum(n_area) AS BIGINT) AS n_area, count(*) AS replicates FROM b GROUP BY ALL)
        SELECT condition_order, condition, protein, {R('of')} AS on_fraction, {R('area', 5)} AS area, n_on, n_area, replicates, {NOTE} FROM c""")
 def reader_condition_summary(t):
-    return tidy(reader_table_set(t)["condition_summary"], "on_fraction", "area")
+    return stored(tidy(reader_table_set(t)["condition_summary"], "on_fraction", "area"))
 
 
 @query("reader_localization_means", "SNK-12",
        f"""{RT} SELECT condition_order, condition, br, protein, count(*) AS cells, {R('avg(selected)')} AS selected_mean, {R('avg("on")')} AS on_mean, {R('avg(not_on)')} AS not_on_mean
        FROM named WHERE selected IS NOT NULL GROUP BY ALL""")
 def reader_localization_means(t):
-    return tidy(reader_table_set(t)["localization_means"], "selected_mean", "on_mean", "not_on_mean")
+    return stored(tidy(reader_table_set(t)["localization_means"], "selected_mean", "on_mean", "not_on_mean"))
 
 
 @query("reader_cells", "SNK-12", f"""{RT} SELECT condition_order, br_order, condition, br, protein, cell, selected, "on", not_on, {R('of')} AS on_fraction, {R('area', 5)} AS area FROM named""")
 def reader_cells(t):
-    return tidy(reader_table_set(t)["cells"], "on_fraction", "area")
+    return stored(tidy(reader_table_set(t)["cells"], "on_fraction", "area"))

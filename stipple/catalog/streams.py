@@ -25,18 +25,27 @@ def pixels(stream):
         "ts", "value", "event_id", (F.col("event_id") % GRID).cast("int").alias("y"), (F.floor(F.col("event_id") / GRID) % GRID).cast("int").alias("x"), hour().alias("frame"))
 
 
+def days(t):
+    """All days from the first event to the last: the windows that a result must speak of."""
+    span = t.raw("events").withColumn("ts", F.col("ts").cast("timestamp")).agg(F.min(hour()).alias("lo"), F.max(hour()).alias("hi"))
+    return span.select(F.explode(F.sequence(F.floor(F.col("lo") / 24).cast("int"), F.floor(F.col("hi") / 24).cast("int"))).alias("day"))
+
+
 HOURS = "h AS (SELECT *, CAST(floor((epoch_ms(ts) // 1000 - 1704067200) / 3600.0) AS INTEGER) AS frame FROM events), mx AS (SELECT max(ts) AS top FROM events)"
 
 
 @query("stream_support_windows", "STR-1 STR-2",
-       f"""WITH {HOURS}, w AS (SELECT frame // 24 AS d, count(*) AS rows_n, count(DISTINCT frame) AS seen FROM h GROUP BY 1)
-       SELECT CAST(d AS INTEGER) AS day, rows_n, seen, seen = 24 AS valid, CASE WHEN seen = 24 THEN '' ELSE 'incomplete_support_block' END AS reason FROM w, mx
-       WHERE TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * (d + 1) <= top - INTERVAL 1 HOUR""")
+       f"""WITH {HOURS}, w AS (SELECT frame // 24 AS d, count(*) AS rows_n, count(DISTINCT frame) AS seen FROM h GROUP BY 1),
+       r AS (SELECT unnest(range(min(frame) // 24, max(frame) // 24 + 1)) AS d FROM h),
+       c AS (SELECT * FROM w, mx WHERE TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * (d + 1) <= top - INTERVAL 1 HOUR)
+       SELECT CAST(d AS INTEGER) AS day, rows_n, seen, coalesce(seen = 24, false) AS valid,
+         CASE WHEN seen IS NULL THEN 'window_not_closed' WHEN seen = 24 THEN '' ELSE 'incomplete_support_block' END AS reason FROM r LEFT JOIN c USING (d)""")
 def stream_support_windows(t):
     folder = scratch_folder(t.spark)
     st.run_available(st.support_windows(pixels(live(t)), time="ts", delay="1 hour", window="24 hours", frame=F.col("frame"), expected=24), folder)
     day = F.datediff("window_start", F.lit("2024-01-01")).alias("day")
-    return t.spark.read.parquet(folder).select(day, "rows_n", "seen", "valid", "reason")
+    closed = t.spark.read.parquet(folder).select(day, "rows_n", "seen", "valid", "reason")
+    return st.with_roster(closed, days(t), ["day"]).select("day", "rows_n", "seen", "valid", "reason")
 
 
 @query("stream_support_pixels", "STR-1",
@@ -77,7 +86,7 @@ CLASS = "CASE WHEN value >= 70 THEN 'On' WHEN value >= 20 THEN 'Not-on' ELSE 'un
        f"""WITH {HOURS} SELECT user_id % 12 AS sample_id, frame, count(*) FILTER (value >= 70) AS "on", count(*) FILTER (value >= 20 AND value < 70) AS not_on, count(*) FILTER (value < 20) AS unknown, count(*) AS total FROM h GROUP BY ALL""")
 def stream_class_counts(t):
     folder = scratch_folder(t.spark)
-    p = live(t).select((F.col("user_id") % 12).alias("sample_id"), hour().alias("frame"), F.expr(CLASS).alias("grp"))
+    p = live(t).select("ts", (F.col("user_id") % 12).alias("sample_id"), hour().alias("frame"), F.expr(CLASS).alias("grp"))
     st.run_available(st.class_counts(p), folder, sink=st.versioned_sink(folder), mode="update")
     return st.latest_version(t.spark, folder, ["sample_id", "frame"])
 

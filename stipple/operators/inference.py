@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from stipple.functions.columns import inverse_normal
 from stipple.operators.skew import numbered
+from stipple.session import cut_lineage
 
 EPSILON = 2.220446049250313e-16
-MAX_VALUES = 20
+STATE_ROUNDS = 4  # values added between two written tables of states
 EXACT = "decimal(28,9)"
 
 
@@ -19,7 +20,7 @@ def planned_comparisons(means: DataFrame) -> DataFrame:
     """Proteins within a condition and condition pairs within a protein, per endpoint.
 
     ``means`` has one row per (endpoint, protein, condition, br). The result has both value
-    lists; a list holds one mean per replicate and a cohort may have at most twenty.
+    lists; a list holds one mean per replicate.
     """
     lists = means.where("mean is not null").groupBy("endpoint", "protein", "condition").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("br", "mean"))), lambda s: s["mean"]).alias("values"), F.sum("n").alias("n_cells"))
@@ -35,33 +36,44 @@ def planned_comparisons(means: DataFrame) -> DataFrame:
 
 
 def exact_permutation(comparisons: DataFrame, key: str = "comparison_id") -> DataFrame:
-    """Two-sided exact permutation p of the difference of means, all partitions enumerated.
+    """Two-sided exact permutation p of the difference of means over all partitions, for any number of values.
 
-    p = min(1, 2 * smaller tail) with a relative tolerance on ties. Sums are exact decimals.
-    More than twenty values per comparison are refused, which bounds the partitions.
+    Partitions are not listed but counted: value by value, each state (how many went left, their
+    exact sum) either takes the value or leaves it, and equal states are added up. Lists of equal or
+    rounded values thus stay small, and the states of one comparison are spread over tasks.
+    p = min(1, 2 * smaller tail) with a relative tolerance on ties; equal exact sums are ties.
     """
     c = comparisons.select(
         key, F.size("values_a").alias("na"), F.size("values_b").alias("nb"),
         F.transform(F.concat("values_a", "values_b"), lambda v: F.round(v, 9).cast(EXACT)).alias("v"))
-    n = F.col("na") + F.col("nb")
-    c = c.withColumn("n", F.when(n <= MAX_VALUES, n).otherwise(F.raise_error(F.lit("exact permutation needs at most 20 values"))))
-    # a partition is a bit mask of the rows that go left
-    masks = c.withColumn("mask", F.explode(F.expr("sequence(0, shiftleft(1, n) - 1)"))).where(F.bit_count("mask") == F.col("na"))
-    zero = F.lit(0).cast("decimal(38,9)")
-    chosen = F.expr("filter(v, (e, i) -> (shiftright(mask, i) & 1) = 1)")
-    add = lambda s, v: (s + v).cast("decimal(38,9)")
-    masks = masks.withColumn("left", F.aggregate(chosen, zero, add)).withColumn("all", F.aggregate("v", zero, add)).withColumn(
-        "seen", F.aggregate(F.slice("v", F.lit(1), F.col("na")), zero, add))
+    c = cut_lineage(c)
+    longest = c.agg(F.coalesce(F.max(F.size("v")), F.lit(0))).first()[0]
+    zero, wide = F.lit(0).cast("decimal(38,9)"), "decimal(38,9)"
+    states = c.select(key, F.lit(0).alias("size"), zero.alias("left"), F.lit(1).cast("decimal(38,0)").alias("n"))
+    values = c.select(key, "na", "v")
+    for i in range(longest):
+        value = F.get("v", F.lit(i))
+        take = F.struct((F.col("size") + 1).alias("size"), (F.col("left") + value).cast(wide).alias("left"))
+        leave = F.struct(F.col("size").alias("size"), F.col("left").alias("left"))
+        grown = states.join(values, key).select(
+            key, "n", F.inline(F.when(value.isNull(), F.array(leave)).when(F.col("size") < F.col("na"), F.array(leave, take)).otherwise(F.array(leave))))
+        states = grown.groupBy(key, "size", "left").agg(F.sum("n").cast("decimal(38,0)").alias("n"))
+        if i % STATE_ROUNDS == STATE_ROUNDS - 1:
+            states = cut_lineage(states)
+    add = lambda s, v: (s + v).cast(wide)
+    whole = c.withColumn("all", F.aggregate("v", zero, add)).withColumn("seen", F.aggregate(F.slice("v", F.lit(1), F.col("na")), zero, add))
+    ends = states.join(whole.drop("v"), key).where(F.col("size") == F.col("na"))
     na, nb = F.col("na").cast("double"), F.col("nb").cast("double")
     effect = lambda s: s.cast("double") / na - (F.col("all") - s).cast("double") / nb
-    masks = masks.withColumn("x", effect(F.col("left"))).withColumn("obs", effect(F.col("seen")))
+    ends = ends.withColumn("x", effect(F.col("left"))).withColumn("obs", effect(F.col("seen")))
     tol = F.lit(100 * EPSILON) * F.greatest(F.abs("obs"), F.lit(1.0))
-    # equal exact sums are ties whatever the floating difference says
     tie = F.col("left") == F.col("seen")
-    out = masks.groupBy(key).agg(
-        F.max("obs").alias("difference"), F.count("*").alias("partitions"),
-        F.count_if((F.col("x") <= F.col("obs") + tol) | tie).alias("lower"), F.count_if((F.col("x") >= F.col("obs") - tol) | tie).alias("upper"))
-    return out.select(key, "difference", "partitions", F.least(F.lit(1.0), 2.0 * F.least("lower", "upper") / F.col("partitions")).alias("p_raw"))
+    some = lambda ok: F.sum(F.when(ok, F.col("n")).otherwise(0)).cast("double")
+    out = ends.groupBy(key).agg(
+        F.max("obs").alias("difference"), F.sum("n").cast("long").alias("partitions"),
+        some((F.col("x") <= F.col("obs") + tol) | tie).alias("lower"), some((F.col("x") >= F.col("obs") - tol) | tie).alias("upper"),
+        F.sum("n").cast("double").alias("__n"))
+    return out.select(key, "difference", "partitions", F.least(F.lit(1.0), 2.0 * F.least("lower", "upper") / F.col("__n")).alias("p_raw"))
 
 
 def holm(tests: DataFrame, p: str = "p_raw", key: str = "comparison_id", *, family: Sequence[str] = ()) -> DataFrame:

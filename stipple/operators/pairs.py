@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stipple.functions.columns import bin_index
+from stipple.functions.columns import bin_index, finite
 from stipple.operators.skew import broadcast_if_small
 
 HOT_FRAME_POINTS = 20_000
@@ -22,9 +22,23 @@ SAMPLE = "sample_id"
 FRAME_KEYS = [SAMPLE, "frame"]
 
 
+def has_place() -> Column:
+    """A point that can be paired: it has a sample, a frame and finite coordinates."""
+    here = F.col(SAMPLE).isNotNull() & F.col("frame").isNotNull()
+    return here & F.coalesce(finite(F.col("x_um").cast("double")) & finite(F.col("y_um").cast("double")), F.lit(False))
+
+
+def placement_report(points: DataFrame) -> DataFrame:
+    """Per sample how many points enter the pair analysis and why the others don't."""
+    bad = lambda c: ~F.coalesce(finite(F.col(c).cast("double")), F.lit(False))
+    return points.groupBy(SAMPLE).agg(
+        F.count("*").alias("points_n"), F.count_if(has_place()).alias("placed"), F.count_if(F.col("frame").isNull()).alias("no_frame"),
+        F.count_if(bad("x_um") | bad("y_um")).alias("no_finite_place"))
+
+
 def collapse(points: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Distinct coordinates per key with their multiplicity ``w``; rows without a place are left out."""
-    placed = points.dropna(subset=[*keys, "x_um", "y_um"])
+    """Distinct coordinates per key with their multiplicity ``w``; rows without a place are left to ``placement_report``."""
+    placed = points.where(has_place()).dropna(subset=list(keys))
     return placed.groupBy(*keys, "x_um", "y_um").agg(F.count("*").alias("w"))
 
 
@@ -38,7 +52,7 @@ class Layout:
 
 def measure(points: DataFrame, *, hot_points: int = HOT_FRAME_POINTS) -> Layout:
     """One aggregate pass: bounding box and largest frame; dense frames are listed only if there are any."""
-    sizes = points.groupBy(*FRAME_KEYS).agg(
+    sizes = points.where(has_place()).groupBy(*FRAME_KEYS).agg(
         F.count("*").alias("n"), F.min("x_um").alias("x0"), F.max("x_um").alias("x1"), F.min("y_um").alias("y0"), F.max("y_um").alias("y1"))
     top, *box = sizes.agg(F.max("n"), F.min("x0"), F.max("x1"), F.min("y0"), F.max("y1")).first()
     hot = None
@@ -129,7 +143,8 @@ def pair_counts(
 
 
 def frame_sizes(points: DataFrame, keys: Sequence[str] = (SAMPLE,)) -> DataFrame:
-    return points.groupBy(*keys, "frame").agg(F.count("*").alias("n"))
+    """Points with a place per frame."""
+    return points.where(has_place()).groupBy(*keys, "frame").agg(F.count("*").alias("n"))
 
 
 def candidate_counts(points: DataFrame, *, lag: int = 1) -> DataFrame:

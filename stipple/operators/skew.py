@@ -11,6 +11,7 @@ from stipple.session import cut_lineage
 
 BROADCAST_ROWS = 100_000
 QUANTILE_SLICES = 4096
+ORDERED_VALUES = 200_000
 
 
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -56,52 +57,51 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], *, slices: int = QUANTILE_SLICES
+    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], *, slices: int = QUANTILE_SLICES,
+    ordered: int = ORDERED_VALUES,
 ) -> DataFrame:
-    """Exact linear-interpolated quantiles per key: rows of (keys, prob, quantile, n).
+    """Exact linear-interpolated quantiles per key: rows of (keys, prob, quantile).
 
-    Values are first counted by (key, value); each key's range is cut into equal slices
-    whose counts locate the wanted ranks, and only rows of the slices that hold such a
-    rank are ordered. No task ever sees all values of a key.
+    Values are counted by (key, value). A group of more than ``ordered`` distinct values is cut
+    into equal slices whose counts locate the wanted ranks, and only slices that hold such a rank stay, as
+    groups of the next round. Each round narrows the range ``slices`` times, so far outliers cost
+    a round and no task ever orders more than ``ordered`` values of a group.
     """
     keys = list(keys)
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(
-        F.count("*").alias("__w")
-    )
-    spread = counted.groupBy(*keys).agg(
-        F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__w").alias("__n")
-    )
-    step = (F.col("__hi") - F.col("__lo")) / F.lit(float(slices))
-    sliced = counted.join(spread, keys).withColumn(
-        "__s",
-        F.when(step > 0, F.least(F.floor((F.col("__v") - F.col("__lo")) / step), F.lit(slices - 1)))
-        .otherwise(F.lit(0)).cast("int"),
-    )
-    by_slice = sliced.groupBy(*keys, "__s", "__n").agg(F.sum("__w").alias("__sw"))
-    upto = Window.partitionBy(*keys).orderBy("__s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    by_slice = by_slice.withColumn("__end", F.sum("__sw").over(upto)).withColumn(
-        "__start", F.col("__end") - F.col("__sw")
-    )
+    counted = cut_lineage(df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(
+        F.count("*").alias("__w")).withColumn("__g", F.lit(0).cast("bigint")))
+    totals = counted.groupBy(*keys).agg(F.sum("__w").alias("__n"))
     place = [(F.col("__n") - 1) * F.lit(float(p)) for p in probs]
-    wanted = F.array(*[
-        F.struct(F.lit(float(p)).alias("prob"), F.floor(h).alias("lo"), F.ceil(h).alias("hi"), h.alias("at"))
-        for p, h in zip(probs, place)
-    ])
-    targets = by_slice.select(*keys, "__s", "__start", "__end", F.explode(wanted).alias("__t")).where(
-        "(__t.lo >= __start and __t.lo < __end) or (__t.hi >= __start and __t.hi < __end)"
-    )
-    needed = targets.select(*keys, "__s", "__start").distinct()
-    inside = Window.partitionBy(*keys, "__s").orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = (
-        sliced.join(needed, [*keys, "__s"])
-        .withColumn("__e", F.col("__start") + F.sum("__w").over(inside))
-        .select(*keys, "__s", "__v", (F.col("__e") - F.col("__w")).alias("__b"), "__e")
-    )
-    hits = ranked.join(targets.select(*keys, "__s", "__t"), [*keys, "__s"])
-    low = F.max(F.when((F.col("__t.lo") >= F.col("__b")) & (F.col("__t.lo") < F.col("__e")), F.col("__v")))
-    high = F.max(F.when((F.col("__t.hi") >= F.col("__b")) & (F.col("__t.hi") < F.col("__e")), F.col("__v")))
-    found = hits.groupBy(*keys, "__t").agg(low.alias("__l"), high.alias("__h"))
-    part = F.col("__t.at") - F.col("__t.lo")
-    return found.select(
-        *keys, F.col("__t.prob").alias("prob"), (F.col("__l") + (F.col("__h") - F.col("__l")) * part).alias("quantile")
-    )
+    wanted = F.array(*[F.struct(F.lit(float(p)).alias("prob"), h.alias("at"), F.floor(h).alias("lo"), F.ceil(h).alias("hi"))
+                       for p, h in zip(probs, place)])
+    asked = totals.select(*keys, F.inline(wanted))
+    ranks = asked.select(*keys, F.explode(F.array("lo", "hi")).alias("__rank")).distinct()
+    targets = ranks.withColumns({"__g": F.lit(0).cast("bigint"), "__base": F.lit(0).cast("bigint")})
+    group = [*keys, "__g"]
+    while True:
+        spread = counted.groupBy(*group).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.count("*").alias("__d"))
+        largest = spread.agg(F.max("__d")).first()[0] or 0
+        if largest <= ordered:
+            break
+        step = (F.col("__hi") - F.col("__lo")) / F.lit(float(slices))
+        part = F.when(step > 0, F.least(F.floor((F.col("__v") - F.col("__lo")) / step), F.lit(slices - 1))).otherwise(F.lit(0)).cast("int")
+        sliced = counted.join(spread, group).withColumn("__s", part)
+        sums = sliced.groupBy(*group, "__s").agg(F.sum("__w").alias("__sw"))
+        upto = Window.partitionBy(*group).orderBy("__s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        sums = sums.withColumn("__end", F.sum("__sw").over(upto)).withColumn("__start", F.col("__end") - F.col("__sw"))
+        rank = F.col("__rank") - F.col("__base")
+        hit = targets.join(sums, group).where((rank >= F.col("__start")) & (rank < F.col("__end")))
+        inner = F.xxhash64("__g", "__s")
+        targets = cut_lineage(hit.select(*group, "__s", "__rank", (F.col("__base") + F.col("__start")).alias("__base")))
+        counted = cut_lineage(sliced.join(targets.select(*group, "__s").distinct(), [*group, "__s"]).select(
+            *keys, inner.alias("__g"), "__v", "__w"))
+        targets = targets.select(*keys, inner.alias("__g"), "__rank", "__base")
+    inside = Window.partitionBy(*group).orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = counted.withColumn("__e", F.sum("__w").over(inside))
+    rank = F.col("__rank") - F.col("__base")
+    found = targets.join(ends, group).where((rank < F.col("__e")) & (rank >= F.col("__e") - F.col("__w"))).select(*keys, "__rank", "__v")
+    low = found.select(*keys, F.col("__rank").alias("lo"), F.col("__v").alias("__l"))
+    high = found.select(*keys, F.col("__rank").alias("hi"), F.col("__v").alias("__h"))
+    both = asked.join(low, [*keys, "lo"]).join(high, [*keys, "hi"])
+    part = F.col("at") - F.col("lo")
+    return both.select(*keys, "prob", (F.col("__l") + (F.col("__h") - F.col("__l")) * part).alias("quantile"))

@@ -18,6 +18,14 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
+    """Write the whole table as Parquet, partitioned ``by`` columns, and read it back in the same column order and types."""
+    folder = scratch_folder(df.sparkSession)
+    writer = df.write.mode("errorifexists")
+    (writer.partitionBy(*by) if by else writer).parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def write_csv(df: DataFrame, path: str, *, by: Sequence[str] = (), compression: str = "none") -> None:
     """Full-precision CSV: NULL is blank, nested columns become JSON."""
     nested = (T.MapType, T.ArrayType, T.StructType)

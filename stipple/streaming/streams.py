@@ -70,11 +70,21 @@ def pair_histogram_sink(folder: str, *, n_bins: int, upper: float) -> Callable[[
     return sink
 
 
-def class_counts(points: DataFrame) -> DataFrame:
-    """Running counts per sample, frame and class; conserved at any time. For update mode."""
-    return points.groupBy("sample_id", "frame").agg(
+def class_counts(points: DataFrame, *, time: str = "ts", delay: str = "1 hour", frame_length: str = "1 hour") -> DataFrame:
+    """Running counts per sample, frame and class; conserved at any time. For update mode.
+
+    A frame belongs to one time window, so its state is dropped once the watermark has passed the window.
+    """
+    w = points.withWatermark(time, delay).groupBy("sample_id", "frame", F.window(time, frame_length).alias("w"))
+    return w.agg(
         F.count_if(F.col("grp") == "On").alias("on"), F.count_if(F.col("grp") == "Not-on").alias("not_on"),
-        F.count_if(F.col("grp") == "unknown").alias("unknown"), F.count("*").alias("total"))
+        F.count_if(F.col("grp") == "unknown").alias("unknown"), F.count("*").alias("total")).drop("w")
+
+
+def with_roster(closed: DataFrame, roster: DataFrame, keys: list[str], *, reason: str = "window_not_closed") -> DataFrame:
+    """Every window of the roster; one that the stream hasn't closed, or that had no row, is unknown and not empty."""
+    out = roster.join(closed, keys, "left")
+    return out.withColumns({"valid": F.coalesce("valid", F.lit(False)), "reason": F.coalesce("reason", F.lit(reason))})
 
 
 def versioned_sink(folder: str) -> Callable[[DataFrame, int], None]:

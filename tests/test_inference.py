@@ -22,11 +22,6 @@ def test_exact_permutation(spark):
     assert nf.exact_permutation(comparison(spark, [1.0, 1.0, 1.0], [1.0, 1.0, 1.0])).first()["p_raw"] == 1.0
 
 
-def test_permutation_refuses_large_input(spark):
-    with pytest.raises(Exception, match="at most 20"):
-        nf.exact_permutation(comparison(spark, [1.0] * 11, [2.0] * 10)).collect()
-
-
 def test_holm(spark):
     df = spark.createDataFrame(list(zip("abcd", [0.01, 0.04, 0.03, 0.2])), "comparison_id string, p_raw double")
     assert [r["p_holm"] for r in nf.holm(df).orderBy("comparison_id").collect()] == pytest.approx([0.04, 0.09, 0.09, 0.2])
