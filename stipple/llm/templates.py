@@ -9,8 +9,9 @@ or id names an advert, notice, menu, sidebar or comment section; where a page ma
 part, text outside it. Paragraphs, headings, lists and tables inside a marked article are never
 template: an article published twice stays whole.
 
-Counting moves two hashes for each block; a host of any size is combined before it moves. Text moves
-once, when a page meets the list of its recurring subtrees.
+Counting moves two hashes for each block; a host of any size is combined before it moves. Pages then meet
+the list of their host's recurring subtrees, which ``min_share`` bounds: while Spark finds the table of lists
+small it is sent to the tasks, beyond that pages are joined by host and large hosts split.
 
 Null html is empty and gives an empty text. A null or odd url belongs to a host named by what it
 has. A null page_id keeps its row; repeated rows come out as often as they went in. Other columns are
@@ -174,34 +175,29 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     sizes = counts.where("hash is null").select("host", F.col("n").alias("pages"))
     template = written(counts.where("hash is not null").join(sizes, "host").where(F.col("n") >= F.col("pages") * min_share).select("host", "hash"))
 
+    # at most (subtrees of a page) / min_share hashes recur on that share of a host's pages, so a host's list is bounded
+    by_host = written(template.groupBy("host").agg(F.collect_set("hash").alias("gone")))
+
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, by_kind, trees, hashes, keys = [], [], [], [], []
+            texts, by_kind, trees = [], [], []
             for html in batch.column(3):
                 blocks, own, marked = read(html.as_py())
                 texts.append([b[0] for b in blocks])
                 by_kind.append([b[1] and (b[2] or not marked) for b in blocks])
                 trees.append([[own[i] for i in b[3]] for b in blocks])
-                hashes.append(sorted({h for b in trees[-1] for h in b}))
-                keys.append(xxhash.xxh64_intdigest("\n".join(texts[-1])) >> 1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(keys, pa.int64()), pa.array(texts, pa.list_(pa.string())),
-                 pa.array(by_kind, pa.list_(pa.bool_())),
-                 pa.array(trees, pa.list_(pa.list_(pa.int64()))), pa.array(hashes, pa.list_(pa.int64()))],
-                names=["page_id", "url", "host", "key", "blocks", "main", "trees", "hashes"])
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(texts, pa.list_(pa.string())),
+                 pa.array(by_kind, pa.list_(pa.bool_())), pa.array(trees, pa.list_(pa.list_(pa.int64())))],
+                names=["page_id", "url", "host", "blocks", "main", "trees"])
 
     id_type = dict(rows.dtypes)["page_id"]
-    read_pages = rows.mapInArrow(parse, f"page_id {id_type}, url string, host long, key long, blocks array<string>, "
-                                        "main array<boolean>, trees array<array<long>>, hashes array<long>")
-    joined = lambda blocks: F.array_join(blocks, "\n")
-    bare = read_pages.where(F.size("hashes") == 0).select("page_id", "url", joined(F.filter("blocks", lambda b, i: F.get(F.col("main"), i))).alias("text"))
-    held = read_pages.where(F.size("hashes") > 0)
-    lists = (held.select("host", "key", "hashes").select("host", "key", F.explode("hashes").alias("hash")).distinct()
-             .join(template, ["host", "hash"]).groupBy("host", "key").agg(F.collect_set("hash").alias("gone")))
-    both = held.join(written(lists), ["host", "key"], "left").select(
+    read_pages = rows.mapInArrow(parse, f"page_id {id_type}, url string, host long, blocks array<string>, main array<boolean>, "
+                                        "trees array<array<long>>")
+    both = read_pages.join(by_host, "host", "left").select(
         "page_id", "url", "blocks", "main", "trees", F.coalesce("gone", F.array().cast("array<long>")).alias("gone"))
     kept = F.filter("blocks", lambda b, i: F.get(F.col("main"), i) & ~F.arrays_overlap(F.get(F.col("trees"), i), F.col("gone")))
-    out = bare.unionByName(both.select("page_id", "url", joined(kept).alias("text")))
+    out = both.select("page_id", "url", F.array_join(kept, "\n").alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
