@@ -259,3 +259,20 @@ def point_placement(t):
     """Points whose frame or place is made unusable by their own values, so that every kind of failure occurs."""
     x = F.when(F.col("photons_e") % 11 < 1, float("nan")).when(F.col("photons_e") % 13 < 1, None).otherwise(F.col("x_um"))
     return pr.placement_report(t.points.withColumns({"frame": F.when(~(F.col("photons_e") % 7 < 1), F.col("frame")), "x_um": x}))
+
+
+@query("unit_conversion", "PRJ-1",
+       f"""WITH {POINTS}, q AS (SELECT ['m', 'um', 'µm', 'nm', 'inch', NULL][CAST(sample_id % 6 AS INTEGER) + 1] AS unit, x_um FROM points),
+       s AS (SELECT unit, CASE unit WHEN 'm' THEN x_um / 1000000 WHEN 'nm' THEN x_um * 1000 ELSE x_um END AS saved, x_um FROM q)
+       SELECT coalesce(unit, '(none)') AS unit, count(*) AS rows_n, count(*) FILTER (unit IS NULL OR unit = 'inch') AS failures,
+         {R("max(CASE WHEN unit <> 'inch' THEN x_um END)", 6)} AS largest_um FROM s GROUP BY unit""")
+def unit_conversion(t):
+    """Positions saved in metres, micrometres, nanometres, an unknown unit and none, read back as micrometres or failed."""
+    from stipple.functions.columns import to_um
+
+    unit = F.get(F.array(*[F.lit(u) for u in ("m", "um", "µm", "nm", "inch")], F.lit(None)), (F.col("sample_id") % 6).cast("int"))
+    saved = t.points.select(unit.alias("unit"), F.when(unit == "m", F.col("x_um") / 1e6).when(unit == "nm", F.col("x_um") * 1e3).otherwise(F.col("x_um")).alias("saved"))
+    read = to_um(F.col("saved"), F.col("unit"))
+    return saved.groupBy("unit").agg(
+        F.count("*").alias("rows_n"), F.count_if(read.isNull()).alias("failures"), rounded(F.max(read), 6).alias("largest_um")).withColumn(
+        "unit", F.coalesce("unit", F.lit("(none)")))

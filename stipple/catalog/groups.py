@@ -12,6 +12,7 @@ from stipple.operators import curves as cv
 from stipple.operators import decompose as dc
 from stipple.operators import labels as lb
 from stipple.operators import pairs as pr
+from stipple.operators import points as pt
 from stipple.operators.skew import exact_quantiles
 from stipple.plans.displacement import scoped_curves
 from stipple.sources.standins import FRAME_S, MAX_UM, N_BINS, WIDTH_UM
@@ -304,7 +305,23 @@ def selected_row_violations(t):
     return ck.violation_counts(p, tests, ["sample_id"])
 
 
-@query("localization_table_violations", "PRJ-14 JOIN-8 JOIN-9 JOIN-10",
+@query("fit_detection_by_index", "JOIN-8",
+       f"""WITH {POINTS}, d AS (SELECT sample_id, uid, frame, row_number() OVER (PARTITION BY sample_id ORDER BY frame, x_um, y_um, uid) - 1 AS i FROM points),
+       f AS (SELECT sample_id, i, uid FROM d WHERE i % 11 <> 2 UNION ALL SELECT sample_id, i, uid FROM d WHERE i % 29 = 3 UNION ALL SELECT sample_id, i + 1000000, uid FROM d WHERE i % 31 = 4),
+       m AS (SELECT sample_id, i, count(*) AS n FROM f GROUP BY ALL)
+       SELECT sample_id, count(m.n) AS fitted_candidates, CAST(coalesce(sum(m.n), 0) AS BIGINT) AS fits, count(*) FILTER (m.n > 1) AS fitted_twice,
+         count(*) FILTER (m.n IS NULL) AS without_fit, count(*) FILTER (d.here IS NULL) AS without_detection, bool_and(coalesce(m.n = 1 AND d.here, false)) AS one_to_one
+       FROM (SELECT sample_id, i, true AS here FROM d) d FULL JOIN m USING (sample_id, i) GROUP BY sample_id""")
+def fit_detection_by_index(t):
+    """Fits refer to detections by candidate index; some are missing, some come twice, some point nowhere."""
+    detections = pt.candidate_index(t.points.select("uid", "sample_id", "frame", "x_um", "y_um"))
+    i = F.col("candidate_index")
+    fits = detections.where(i % 11 != 2).unionByName(detections.where(i % 29 == 3)).unionByName(
+        detections.where(i % 31 == 4).withColumn("candidate_index", i + 1_000_000))
+    return lb.index_match_report(fits.select("sample_id", "candidate_index"), detections.select("sample_id", "candidate_index"))
+
+
+@query("localization_table_violations", "PRJ-14 JOIN-9 JOIN-10",
        f"""WITH {POINTS}, d AS (SELECT uid, frame, x_px FROM points WHERE photons_e > 5000),
        j AS (SELECT p.sample_id, d.uid AS du FROM points p LEFT JOIN d USING (uid))
        SELECT sample_id, count(*) AS rows_n, "check", CASE WHEN "check" IN ('detection_exists', 'same_frame', 'same_position')
@@ -342,9 +359,15 @@ def block_class_counts(t):
 
 
 @query("count_conservation_violations", "PRJ-24",
-       f"""{FRAMES} SELECT * FROM fc WHERE "on" + not_on + unknown + qc_excluded <> roi_candidates""")
+       f"""{FRAMES} SELECT sample_id, frame, "on" + 1 AS "on", not_on, unknown, qc_excluded, roi_candidates FROM fc WHERE frame % 50 = 7
+       UNION ALL SELECT sample_id, frame, "on", not_on, unknown, 0, roi_candidates FROM fc WHERE frame % 50 = 8 AND qc_excluded > 0""")
 def count_conservation_violations(t):
-    return lb.conservation_violations(lb.frame_class_counts(all_movie_points(t)))
+    """Counts with one point too many in some frames and excluded points forgotten in others: only those are reported."""
+    frame = F.col("frame")
+    faulty = lb.frame_class_counts(all_movie_points(t)).withColumns({
+        "on": F.when(frame % 50 == 7, F.col("on") + 1).otherwise(F.col("on")),
+        "qc_excluded": F.when(frame % 50 == 8, F.lit(0)).otherwise(F.col("qc_excluded"))})
+    return lb.conservation_violations(faulty)
 
 
 @query("frame_audit_counts", "AGG-58",

@@ -88,9 +88,20 @@ def ratio_estimator_audit(t):
 
 
 @query("count_failures", "PRJ-23 SNK-8",
-       f"""{M} SELECT cell, br, condition, 'counts_present;selected_total;candidate_total;percentage_agrees' AS message FROM cell_metrics WHERE selected IS NULL""")
+       f"""{M}, s AS (SELECT cell, br, condition, CASE WHEN cell % 17 = 5 THEN NULL ELSE "on" END AS o, not_on AS n, unknown AS u, qc_excluded AS q,
+         CASE WHEN cell % 10 = 3 THEN selected + 1 ELSE selected END AS s, CASE WHEN cell % 19 = 4 THEN NULL ELSE roi_candidates END AS r, on_pct AS p FROM cell_metrics),
+       v AS (SELECT *, o IS NULL OR n IS NULL OR u IS NULL AS a, coalesce(o + n + u <> s, true) AS b, coalesce(s + q <> r, true) AS c,
+         coalesce(CASE WHEN p IS NULL THEN o + n <> 0 ELSE o + n = 0 OR abs(p - o * 100.0 / nullif(o + n, 0)) > CAST(1e-6 AS DOUBLE) END, true) AS d FROM s)
+       SELECT cell, br, condition, concat_ws(';', CASE WHEN a THEN 'counts_present' END, CASE WHEN b THEN 'selected_total' END,
+         CASE WHEN c THEN 'candidate_total' END, CASE WHEN d THEN 'percentage_agrees' END) AS message FROM v WHERE a OR b OR c OR d""")
 def count_failures(t):
-    saved = t.cell_metrics.withColumns({c: mt.parse_count(F.col(c).cast("string")) for c in mt.COUNTS})
+    """Saved text with faults of several kinds: a fraction, a wrong total, a negative count."""
+    cell = F.col("cell")
+    text = t.cell_metrics.withColumns({c: F.col(c).cast("string") for c in mt.COUNTS}).withColumns({
+        "on": F.when(cell % 17 == 5, F.concat("on", F.lit(".5"))).otherwise(F.col("on")),
+        "selected": F.when(cell % 10 == 3, (F.col("selected").cast("long") + 1).cast("string")).otherwise(F.col("selected")),
+        "roi_candidates": F.when(cell % 19 == 4, F.concat(F.lit("-"), "roi_candidates")).otherwise(F.col("roi_candidates"))})
+    saved = text.withColumns({c: mt.parse_count(F.col(c)) for c in mt.COUNTS})
     _, bad = ck.split_failures(saved, mt.count_expectations())
     return stored(bad.select("cell", "br", "condition", "message"))
 

@@ -61,6 +61,18 @@ def table_expectations() -> list[tuple[str, Column]]:
     ]
 
 
+def index_match_report(fits: DataFrame, detections: DataFrame, *, key: str = "sample_id", index: str = "candidate_index") -> DataFrame:
+    """Fits against detections by candidate index, per sample: missing, repeated and unknown indices, and is the match one to one?"""
+    m = fits.groupBy(key, index).agg(F.count("*").alias("n"))
+    d = detections.select(key, index, F.lit(True).alias("__d"))
+    both = d.join(m, [key, index], "full_outer")
+    right = F.coalesce((F.col("n") == 1) & F.col("__d"), F.lit(False))
+    return both.groupBy(key).agg(
+        F.count("n").alias("fitted_candidates"), F.coalesce(F.sum("n"), F.lit(0)).alias("fits"), F.count_if(F.col("n") > 1).alias("fitted_twice"),
+        F.count_if(F.col("n").isNull()).alias("without_fit"), F.count_if(F.col("__d").isNull()).alias("without_detection"),
+        F.bool_and(right).alias("one_to_one"))
+
+
 def frame_class_counts(points: DataFrame, *, key: str = "sample_id") -> DataFrame:
     """Counts per frame of each class, with every frame of the table's range present for every sample.
 

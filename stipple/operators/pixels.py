@@ -30,6 +30,17 @@ def contract_check(pixels: DataFrame, *, frames: int, height: int, width: int, l
     return out.withColumn("meets_contract", ok)
 
 
+def metadata_expectations(*, height: int, width: int, pixel_nm: float, block_frames: int, support_minimum: int) -> list:
+    """What the saved metadata of a mask must say: shape and axes, units, window length, thresholds and connectivity."""
+    return [
+        ("shape", (F.col("height") == height) & (F.col("width") == width) & (F.col("axes") == "TYX")),
+        ("pixel_size", F.col("pixel_nm") == pixel_nm),
+        ("block_length", F.col("block_frames") == block_frames),
+        ("support_minimum", F.col("support_minimum") == support_minimum),
+        ("connectivity", (F.col("foreground_connectivity") == 8) & (F.col("background_connectivity") == 4)),
+    ]
+
+
 def block_validity(frame_map: DataFrame, *, window: int, by: Sequence[str] = ()) -> DataFrame:
     """Completeness of each support window: an incomplete one is unknown, never empty."""
     out = frame_map.groupBy(*by, "block").agg(
