@@ -16,8 +16,8 @@ from stipple.plans.displacement import scoped_curves
 from stipple.session import cut_lineage
 from stipple.sources.standins import MAX_UM, N_BINS, WIDTH_UM
 
-DRAWS, SEED = 200, 7
-BDRAWS, LENGTHS, LENGTH, STRATUM = 100, (10, 25, 50), 25, 100
+DRAWS, SEED = 2000, 7
+BDRAWS, LENGTHS, LENGTH, STRATUM = 1000, (10, 25, 50), 25, 100
 
 
 def hash_sql(*parts: str) -> str:
@@ -92,9 +92,9 @@ BOOT = f"""{gp.G}, {PLAN}, bs AS (SELECT sample_id, grp, component, frame // {LE
 
 @query("block_bootstrap_intervals", "RES-4 RES-5",
        f"""{BOOT}, l AS (SELECT sample_id, grp, metric, value FROM (SELECT sample_id, grp, 'beta' AS metric, beta AS value FROM dsum UNION ALL SELECT sample_id, grp, 'signed_area', signed_area FROM dsum)),
-       i AS (SELECT sample_id, grp, metric, count(value) AS valid_draws, CASE WHEN count(value) >= 95 THEN quantile_cont(value, 0.025) END AS low, CASE WHEN count(value) >= 95 THEN quantile_cont(value, 0.975) END AS high FROM l GROUP BY ALL),
+       i AS (SELECT sample_id, grp, metric, count(value) AS valid_draws, CASE WHEN count(value) >= {0.95 * BDRAWS} THEN quantile_cont(value, 0.025) END AS low, CASE WHEN count(value) >= {0.95 * BDRAWS} THEN quantile_cont(value, 0.975) END AS high FROM l GROUP BY ALL),
        p AS (SELECT sample_id, grp, metric, point FROM (SELECT sample_id, grp, 'beta' AS metric, beta AS point FROM summary WHERE scope = 'full' UNION ALL SELECT sample_id, grp, 'signed_area', signed_area FROM summary WHERE scope = 'full'))
-       SELECT sample_id, grp, metric, valid_draws, {R('valid_draws / 100.0')} AS valid_fraction, {R('point')} AS point, {R('CASE WHEN point IS NOT NULL THEN low END')} AS low, {R('CASE WHEN point IS NOT NULL THEN high END')} AS high
+       SELECT sample_id, grp, metric, valid_draws, {R(f'valid_draws / {float(BDRAWS)}')} AS valid_fraction, {R('point')} AS point, {R('CASE WHEN point IS NOT NULL THEN low END')} AS low, {R('CASE WHEN point IS NOT NULL THEN high END')} AS high
        FROM i LEFT JOIN p USING (sample_id, grp, metric)""")
 def block_bootstrap_intervals(t):
     counts = saved_counts(t)
@@ -109,8 +109,8 @@ def block_bootstrap_intervals(t):
 
 @query("paired_curve_bands", "RES-6",
        f"""{BOOT}, d AS (SELECT a.sample_id, a.draw, a.bin, a.intra - b.intra AS difference FROM d_split a JOIN d_split b ON a.sample_id = b.sample_id AND a.draw = b.draw AND a.bin = b.bin WHERE a.grp = 'On' AND b.grp = 'Not-on')
-       SELECT sample_id, bin, count(difference) AS valid_draws, {R('count(difference) / 100.0')} AS valid_fraction, CASE WHEN count(difference) >= 95 THEN {R('quantile_cont(difference, 0.025)')} END AS low,
-         CASE WHEN count(difference) >= 95 THEN {R('quantile_cont(difference, 0.975)')} END AS high FROM d GROUP BY ALL""")
+       SELECT sample_id, bin, count(difference) AS valid_draws, {R(f'count(difference) / {float(BDRAWS)}')} AS valid_fraction, CASE WHEN count(difference) >= {0.95 * BDRAWS} THEN {R('quantile_cont(difference, 0.025)')} END AS low,
+         CASE WHEN count(difference) >= {0.95 * BDRAWS} THEN {R('quantile_cont(difference, 0.975)')} END AS high FROM d GROUP BY ALL""")
 def paired_curve_bands(t):
     d = rs.paired_difference(draw_curves(t), ["sample_id", "draw", "bin"], "intra")
     return round_all(rs.interval(d, ["sample_id", "bin"], "difference", total=BDRAWS), "valid_fraction", "low", "high")
@@ -118,8 +118,8 @@ def paired_curve_bands(t):
 
 @query("paired_scalar_differences", "RES-7",
        f"""{BOOT}, d AS (SELECT a.sample_id, a.beta - b.beta AS difference FROM dsum a JOIN dsum b ON a.sample_id = b.sample_id AND a.draw = b.draw WHERE a.grp = 'On' AND b.grp = 'Not-on')
-       SELECT sample_id, count(difference) AS valid_draws, {R('count(difference) / 100.0')} AS valid_fraction, CASE WHEN count(difference) >= 95 THEN {R('quantile_cont(difference, 0.025)')} END AS low,
-         CASE WHEN count(difference) >= 95 THEN {R('quantile_cont(difference, 0.975)')} END AS high FROM d GROUP BY ALL""")
+       SELECT sample_id, count(difference) AS valid_draws, {R(f'count(difference) / {float(BDRAWS)}')} AS valid_fraction, CASE WHEN count(difference) >= {0.95 * BDRAWS} THEN {R('quantile_cont(difference, 0.025)')} END AS low,
+         CASE WHEN count(difference) >= {0.95 * BDRAWS} THEN {R('quantile_cont(difference, 0.975)')} END AS high FROM d GROUP BY ALL""")
 def paired_scalar_differences(t):
     s = dc.guarded_summary(draw_curves(t), DKEYS, n_bins=N_BINS, width=WIDTH_UM)
     d = rs.paired_difference(s, ["sample_id", "draw"], "beta")
