@@ -36,7 +36,7 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col).cast("long"), text).alias("key"), text.alias("t"))
     split = rows.select("doc_id", "key", F.posexplode(F.split("t", "\n", -1)).alias("no", "line"))
-    trimmed = F.regexp_replace("line", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    trimmed = F.btrim("line", F.lit(" \t\n\x0b\x0c\r"))
     return split.select("doc_id", "key", "no", trimmed.alias("line")).where("line <> ''").select(
         "doc_id", "key", "no", F.xxhash64("line").alias("id"), "line")
 
@@ -51,7 +51,7 @@ def shingle_set(line: Column) -> Column:
 def band_keys(lines: DataFrame) -> DataFrame:
     """(band key, id) of every line."""
     part = lambda x: F.shiftrightunsigned(x, 59)
-    sets = lines.select("id", F.array_sort(shingle_set(F.col("line"))).alias("h"))
+    sets = lines.select("id", F.sort_array(shingle_set(F.col("line"))).alias("h"))
     # ascending order begins with the ranges of negative hashes: 16..31, then 0..15
     least = sets.select("id", F.filter("h", lambda x, i: (i == 0) | (part(x) != part(F.get(F.col("h"), i - 1)))).alias("m"))
     at_least = lambda b: F.get(F.filter("m", lambda x: (part(x) + 16) % 32 >= b), F.lit(0))
