@@ -9,7 +9,8 @@ aren't linked to it are compared among themselves in the next round, until no tw
 left that are neither linked nor compared. Links are confirmed on the full sets. Components come from
 distributed union-find, and of each component the first line by (doc_id, line number) stays.
 
-Only DataFrame operations are used. Keys are combined as minima before they move and joined back, so
+Signatures are made by numpy in tasks: array functions took one to two microseconds a character. All
+else is DataFrame operations. Keys are combined as minima before they move and joined back, so
 a line of any frequency stays spread; equal lines never multiply.
 
 Null and empty texts have no lines; lines of white space are kept and not counted. A null doc_id comes
@@ -19,11 +20,15 @@ table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stipple.llm.registry import named, table
-from stipple.llm.shared import components, written
+from stipple.llm.shared import Prefixes, byte_values, components, mixed, slices, with_short_batches, written
 
 SHINGLE = 10
 PERCENT = 80
@@ -48,18 +53,36 @@ def shingle_set(line: Column) -> Column:
     return F.array_distinct(F.transform(runs, lambda x: F.xxhash64(x)))
 
 
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The least hash of each of RANGES equal ranges of 64-bit values; an empty range takes the next one's, going round."""
+    ordered = np.sort(hashes)
+    part = (ordered >> np.uint64(59)).astype(np.int64)
+    return ordered[np.searchsorted(part, np.arange(RANGES)) % len(ordered)]
+
+
 def band_keys(lines: DataFrame) -> DataFrame:
     """(band key, id) of every line."""
-    part = lambda x: F.shiftrightunsigned(x, 59)
-    sets = lines.select("id", F.sort_array(shingle_set(F.col("line"))).alias("h"))
-    # ascending order begins with the ranges of negative hashes: 16..31, then 0..15
-    least = sets.select("id", F.filter("h", lambda x, i: (i == 0) | (part(x) != part(F.get(F.col("h"), i - 1)))).alias("m"))
-    at_least = lambda b: F.get(F.filter("m", lambda x: (part(x) + 16) % 32 >= b), F.lit(0))
-    full = F.when(F.size("m") == RANGES, F.col("m")).otherwise(
-        F.transform(F.sequence(F.lit(0), F.lit(RANGES - 1)), lambda b: F.coalesce(at_least(b), F.get(F.col("m"), F.lit(0)))))
-    signed = least.select("id", full.alias("m"))
-    bands = F.array(*[F.xxhash64(F.lit(b), *[F.get("m", F.lit(b * BAND + k)) for k in range(BAND)]) for b in range(RANGES // BAND)])
-    return signed.select(F.explode(bands).alias("band"), "id")
+
+    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, at in slices(batch, "line"):
+                values = Prefixes(byte_values(data))
+                edge = np.r_[np.flatnonzero((data & 0xC0) != 0x80), len(data)]  # characters begin here
+                first = np.searchsorted(edge, at)
+                keys = np.empty((part.num_rows, RANGES // BAND), np.uint64)
+                for r in range(part.num_rows):
+                    n = max(1, first[r + 1] - first[r] - SHINGLE + 1)
+                    start = edge[first[r] : first[r] + n]
+                    end = edge[np.minimum(np.arange(first[r], first[r] + n) + SHINGLE, first[r + 1])]
+                    m = minima(values.part(start, end)).reshape(-1, BAND)
+                    key = np.arange(len(m), dtype=np.uint64)
+                    for k in range(BAND):
+                        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + m[:, k])
+                    keys[r] = key
+                ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), keys.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(ids)], names=["band", "id"])
+
+    return with_short_batches(lines).select("id", "line").mapInArrow(file, "band long, id long")
 
 
 def confirmed(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
