@@ -2,16 +2,16 @@
 
 Every page is read as a tree of elements. Each block element gets a hash of its whole subtree (tag,
 text and children). Spark counts on how many pages of a host each subtree recurs; subtrees on at
-least ``min_pages`` pages and ``min_share`` of the host's pages are template and are deleted. What
-recurs too seldom to be seen that way, such as the comments below one article, goes by its kind:
-navigation, headers and footers of the page, asides, forms, scripts, styles, and elements whose class
-or id names an advert, notice, menu, sidebar or comment section; where a page marks its article or main
-part, text outside it. Paragraphs, headings, lists and tables inside a marked article are never
-template: an article published twice stays whole.
+least ``min_pages`` pages and ``min_share`` of the host's pages are template and are deleted. Inside a marked article or main part
+a subtree counts once for each different article around it, so what every article carries goes, and an article
+published often stays whole; elements around an article are never template.
 
-Counting moves two hashes for each block; a host of any size is combined before it moves. Pages then meet
-the list of their host's recurring subtrees, which ``min_share`` bounds: while Spark finds the table of lists
-small it is sent to the tasks, beyond that pages are joined by host and large hosts split.
+What the counts leave goes by its kind: navigation, headers and footers of the page, asides, forms, scripts, styles, and
+elements whose class or id names an advert, notice, menu, sidebar or comment section; where a page marks its article or
+main part, text outside it.
+
+Counting moves three hashes for each block; a host of any size is combined before it moves. The recurring (host, hash)
+pairs, which ``min_share`` bounds, are sent to the tasks.
 
 Null html is empty and gives an empty text. A null or odd url belongs to a host named by what it
 has. A null page_id keeps its row; repeated rows come out as often as they went in. Other columns are
@@ -24,13 +24,14 @@ import re
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stipple.llm.registry import named, table
-from stipple.llm.shared import with_short_batches, written
+from stipple.llm.shared import mixed, with_short_batches, written
 
 MIN_PAGES = 5
 MIN_SHARE = 0.02
@@ -41,7 +42,6 @@ RAW = set("script style textarea title noscript template iframe svg xmp".split()
 NEVER = RAW | set("head nav footer aside form button select option label fieldset menu dialog object canvas video audio".split())
 BLOCK = set("html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption "
             "blockquote pre figure figcaption address details summary header footer nav aside form fieldset hr center".split())
-CONTENT = set("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th blockquote pre figure figcaption".split())
 #: A start of the first closes an open element of the second without an end tag.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPE = set("html body article main section div table td th ul ol dl nav aside footer header form blockquote".split())
@@ -53,27 +53,38 @@ BESIDE = set("ad ads advert adverts advertisement advertising sponsor sponsored
 
 
 class Element:
-    __slots__ = ("tag", "drop", "inside", "parts", "first", "hashes")
+    __slots__ = ("tag", "hard", "soft", "main", "article", "scope", "above", "numbered", "parts", "size", "hash")
+
+    def __init__(self, tag, above):
+        self.tag, self.above, self.parts, self.size, self.hash = tag, above, [tag], 0, 0
+        self.hard = above is not None and above.hard
+        self.soft, self.main, self.numbered = 0, False, False
+        #: The innermost marked part around the element, and whether an article is around it.
+        self.scope = (above if above.main else above.scope) if above is not None else None
+        self.article = above is not None and (above.article or (above.main and above.tag == "article"))
 
-    def __init__(self, tag, drop, inside, first):
-        self.tag, self.drop, self.inside, self.first = tag, drop, inside, first
-        self.parts: list[str] = [tag]
+    def around(self):
+        e = self.above
+        while e is not None:
+            yield e
+            e = e.above
 
 
 def beside(attributes: str) -> bool:
     return any(w in BESIDE for m in NAMED.finditer(attributes) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower()))
 
 
-def read(html: str) -> tuple[list[tuple[str, bool, bool, list[int]]], list[int], bool]:
-    """Blocks of (text, main text by its kind, in the marked part, indices of enclosing subtrees), subtree hashes, main part marked.
+def read(html: str) -> tuple[list[tuple[str, bool, bool, list[int]]], list[tuple[int, int | None]], bool]:
+    """Blocks of (text, main text by its kind, in the marked part, indices of enclosing subtrees), subtrees, main part marked.
 
-    Subtrees that may be template are numbered; ``hashes[i]`` is the signed 64-bit hash of the i-th.
+    Subtrees that may be template are numbered; the i-th is (signed 64-bit hash, hash of the innermost marked part around it).
     """
-    blocks: list[tuple[str, bool, bool, list[int]]] = []
-    hashes: list[int] = []
-    stack = [Element("", False, False, -1)]
+    found: list[tuple[str, Element]] = []
+    root = Element("", None)
+    stack = [root]
+    numbered: list[Element] = []
+    mains: list[Element] = []
     text: list[str] = []
-    marked = False
 
     def flush() -> None:
         joined = " ".join(unescape("".join(text)).split()) if text else ""
@@ -81,14 +92,16 @@ def read(html: str) -> tuple[list[tuple[str, bool, bool, list[int]]], list[int],
         if joined:
             top = stack[-1]
             top.parts.append(joined)
-            blocks.append((joined, not top.drop, top.inside, [e.first for e in stack if e.first >= 0]))
+            top.size += 0 if top.hard else len(joined)
+            found.append((joined, top))
 
     def close() -> None:
         element = stack.pop()
         digest = xxhash.xxh64_intdigest("\x1f".join(element.parts))
         stack[-1].parts.append(f"{digest:x}")
-        if element.first >= 0:
-            hashes[element.first] = digest - (1 << 64) if digest >> 63 else digest
+        stack[-1].size += element.size
+        element.parts = []
+        element.hash = digest - (1 << 64) if digest >> 63 else digest
 
     at = 0
     while True:
@@ -130,20 +143,42 @@ def read(html: str) -> tuple[list[tuple[str, bool, bool, list[int]]], list[int],
                     break
             elif stack[k].tag in SCOPE:
                 break
-        top = stack[-1]
-        main = tag in ("article", "main")
-        marked |= main and not top.drop
-        inside = top.inside or (main and not top.drop)
-        kind = tag in NEVER or (tag == "header" and not top.inside) or (not main and tag not in ("html", "body") and beside(m[3]))
-        own = Element(tag, top.drop or kind, inside, -1)
-        if tag not in ("html", "body", "article", "main") and not (inside and not own.drop and tag in CONTENT):
-            own.first = len(hashes)
-            hashes.append(0)
+        own = Element(tag, stack[-1])
+        own.main = tag in ("article", "main") and not own.hard
+        own.hard |= tag in NEVER or (tag == "header" and own.scope is None)
+        if own.main:
+            mains.append(own)
+            for e in own.around():  # what is around an article is no template, or an article published often would go with it
+                e.numbered = e.numbered and e.article
+        elif not own.hard and tag not in ("html", "body"):
+            own.soft = beside(m[3])
+        own.numbered = tag not in ("html", "body") and (tag not in ("article", "main") or own.article)
+        if own.numbered:
+            numbered.append(own)
         stack.append(own)
     flush()
     while len(stack) > 1:
         close()
-    return blocks, hashes, marked
+    numbered = [e for e in numbered if e.numbered]
+    number = {id(e): k for k, e in enumerate(numbered)}
+    known: dict[int, tuple[bool, bool, list[int]]] = {id(root): (True, False, [])}
+
+    def state(e: Element) -> tuple[bool, bool, list[int]]:
+        """Kept by kind, in a marked part that is kept, numbers of the subtrees around."""
+        path = []
+        while id(e) not in known:
+            path.append(e)
+            e = e.above
+        got = known[id(e)]
+        for x in reversed(path):
+            kept = got[0] and not x.hard and not x.soft
+            trees = [*got[2], number[id(x)]] if x.numbered else got[2]
+            got = known[id(x)] = (kept, got[1] or (x.main and kept), trees)
+        return got
+
+    blocks = [(joined, *state(e)) for joined, e in found]
+    marked = any(state(e)[1] for e in mains)
+    return blocks, [(e.hash, e.scope.hash if e.scope is not None else None) for e in numbered], marked
 
 
 def keyed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
@@ -153,51 +188,59 @@ def keyed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFra
 
 
 def subtrees(pages: DataFrame) -> DataFrame:
-    """(host, hash) once for each page that has a subtree that may be template; (host, NULL) once for each page."""
+    """(host, hash, part) once for each page that has a subtree that may be template; part is the marked part around it."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, found = [], []
+            hosts, found, parts = [], [], []
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = [None, *set(read(html.as_py())[1])]
+                own = set(read(html.as_py())[1])
                 hosts += [host] * len(own)
-                found += own
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(found, pa.int64())], names=["host", "hash"])
+                found += [h for h, _ in own]
+                parts += [p for _, p in own]
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.int64()), pa.array(found, pa.int64()), pa.array(parts, pa.int64())],
+                                             names=["host", "hash", "part"])
+
+    return pages.select("host", "html").mapInArrow(count, "host long, hash long, part long")
+
+
+def recurring(pages: DataFrame, min_pages: int, min_share: float) -> DataFrame:
+    """(host, hash) of subtrees on ``min_pages`` pages and ``min_share`` of the pages of a host; in marked parts, in as many different ones."""
+    once = subtrees(pages).groupBy("host", "hash", "part").agg(F.count("*").alias("n"))
+    n = F.sum(F.when(F.col("part").isNull(), F.col("n")).otherwise(1))
+    return once.groupBy("host", "hash").agg(n.alias("n")).where(F.col("n") >= min_pages).join(
+        pages.groupBy("host").agg(F.count("*").alias("pages")), "host").where(F.col("n") >= F.col("pages") * min_share).select("host", "hash")
 
-    return pages.select("host", "html").mapInArrow(count, "host long, hash long")
+
+def pair_keys(host: int, hashes: list[int]) -> np.ndarray:
+    """One 64-bit name of each (host, hash)."""
+    step = np.uint64(host % (1 << 64) * 0x9E3779B97F4A7C15 % (1 << 64))
+    return mixed(np.array(hashes, np.int64).view(np.uint64) + step)
 
 
 def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
               min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
     rows = keyed(with_short_batches(pages), id_col, url_col, html_col)
-    counts = written(subtrees(rows).groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("hash").isNull() | (F.col("n") >= min_pages)))
-    sizes = counts.where("hash is null").select("host", F.col("n").alias("pages"))
-    template = written(counts.where("hash is not null").join(sizes, "host").where(F.col("n") >= F.col("pages") * min_share).select("host", "hash"))
-
-    # at most (subtrees of a page) / min_share hashes recur on that share of a host's pages, so a host's list is bounded
-    by_host = written(template.groupBy("host").agg(F.collect_set("hash").alias("gone")))
+    template = written(recurring(rows, min_pages, min_share))
+    id_type = dict(rows.dtypes)["page_id"]
+    keys = np.sort(np.concatenate([np.empty(0, np.uint64)] + [
+        pair_keys(host, group["hash"].tolist()) for host, group in template.toPandas().groupby("host")]))
+    sent = pages.sparkSession.sparkContext.broadcast(keys)  # min_share bounds the numbers of a host
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, by_kind, trees = [], [], []
-            for html in batch.column(3):
+            texts = []
+            for host, html in zip(batch.column(2).to_pylist(), batch.column(3)):
                 blocks, own, marked = read(html.as_py())
-                texts.append([b[0] for b in blocks])
-                by_kind.append([b[1] and (b[2] or not marked) for b in blocks])
-                trees.append([[own[i] for i in b[3]] for b in blocks])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(texts, pa.list_(pa.string())),
-                 pa.array(by_kind, pa.list_(pa.bool_())), pa.array(trees, pa.list_(pa.list_(pa.int64())))],
-                names=["page_id", "url", "host", "blocks", "main", "trees"])
-
-    id_type = dict(rows.dtypes)["page_id"]
-    read_pages = rows.mapInArrow(parse, f"page_id {id_type}, url string, host long, blocks array<string>, main array<boolean>, "
-                                        "trees array<array<long>>")
-    both = read_pages.join(by_host, "host", "left").select(
-        "page_id", "url", "blocks", "main", "trees", F.coalesce("gone", F.array().cast("array<long>")).alias("gone"))
-    kept = F.filter("blocks", lambda b, i: F.get(F.col("main"), i) & ~F.arrays_overlap(F.get(F.col("trees"), i), F.col("gone")))
-    out = both.select("page_id", "url", F.array_join(kept, "\n").alias("text"))
+                names = [h for h, _ in own]
+                keys_ = pair_keys(host, names)
+                gone = (np.searchsorted(sent.value, keys_, "right") > np.searchsorted(sent.value, keys_)).tolist()
+                texts.append("\n".join(t for t, kept, inside, trees in blocks
+                                       if kept and (inside or not marked) and not any(gone[i] for i in trees)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+    out = rows.mapInArrow(parse, f"page_id {id_type}, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
