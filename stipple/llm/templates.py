@@ -2,7 +2,7 @@
 
 Every page is read as a tree of elements. Each block element gets a hash of its whole subtree (tag,
 text and children). Spark counts on how many pages of a host each subtree recurs; subtrees on at
-least ``min_pages`` pages and ``min_share`` of the host's pages are template and are deleted. Inside a marked article or main part
+least ``min_pages`` pages are template and are deleted, whatever the size of the host. Inside a marked article or main part
 a subtree counts once for each different article around it, so what every article carries goes, and an article
 published often stays whole; elements around an article are never template.
 
@@ -11,7 +11,7 @@ elements whose class or id names an advert, notice, menu, sidebar or comment sec
 main part, text outside it.
 
 Counting moves three hashes for each block; a host of any size is combined before it moves. The recurring (host, hash)
-pairs, which ``min_share`` bounds, are sent to the tasks.
+pairs are sent to the tasks up to ``max_sent`` of them; beyond, pages meet them by a join on host, hash and a salt.
 
 Null html is empty and gives an empty text. A null or odd url belongs to a host named by what it
 has. A null page_id keeps its row; repeated rows come out as often as they went in. Other columns are
@@ -34,7 +34,8 @@ from stipple.llm.registry import named, table
 from stipple.llm.shared import mixed, with_short_batches, written
 
 MIN_PAGES = 5
-MIN_SHARE = 0.02
+MAX_SENT = 500_000  # recurring subtrees that are sent to all tasks; more are joined
+SALTS = 16
 TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|(/?)([A-Za-z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>)""", re.S)
 NAMED = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
@@ -204,12 +205,11 @@ def subtrees(pages: DataFrame) -> DataFrame:
     return pages.select("host", "html").mapInArrow(count, "host long, hash long, part long")
 
 
-def recurring(pages: DataFrame, min_pages: int, min_share: float) -> DataFrame:
-    """(host, hash) of subtrees on ``min_pages`` pages and ``min_share`` of the pages of a host; in marked parts, in as many different ones."""
+def recurring(pages: DataFrame, min_pages: int) -> DataFrame:
+    """(host, hash) of subtrees on ``min_pages`` pages of a host; in marked parts, in as many different ones."""
     once = subtrees(pages).groupBy("host", "hash", "part").agg(F.count("*").alias("n"))
     n = F.sum(F.when(F.col("part").isNull(), F.col("n")).otherwise(1))
-    return once.groupBy("host", "hash").agg(n.alias("n")).where(F.col("n") >= min_pages).join(
-        pages.groupBy("host").agg(F.count("*").alias("pages")), "host").where(F.col("n") >= F.col("pages") * min_share).select("host", "hash")
+    return once.groupBy("host", "hash").agg(n.alias("n")).where(F.col("n") >= min_pages).select("host", "hash")
 
 
 def pair_keys(host: int, hashes: list[int]) -> np.ndarray:
@@ -219,23 +219,32 @@ def pair_keys(host: int, hashes: list[int]) -> np.ndarray:
 
 
 def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-              min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+              min_pages: int = MIN_PAGES, max_sent: int = MAX_SENT) -> DataFrame:
     """One row per page: page_id, url, text, n_chars."""
     rows = keyed(with_short_batches(pages), id_col, url_col, html_col)
-    template = written(recurring(rows, min_pages, min_share))
+    template = written(recurring(rows, min_pages))
     id_type = dict(rows.dtypes)["page_id"]
-    keys = np.sort(np.concatenate([np.empty(0, np.uint64)] + [
-        pair_keys(host, group["hash"].tolist()) for host, group in template.toPandas().groupby("host")]))
-    sent = pages.sparkSession.sparkContext.broadcast(keys)  # min_share bounds the numbers of a host
+    listed = template.count() > max_sent
+    if listed:
+        rows = with_lists(rows, template)
+        sent = None
+    else:
+        keys = np.sort(np.concatenate([np.empty(0, np.uint64)] + [
+            pair_keys(host, group["hash"].tolist()) for host, group in template.toPandas().groupby("host")]))
+        sent = pages.sparkSession.sparkContext.broadcast(keys)  # max_sent numbers at most
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for host, html in zip(batch.column(2).to_pylist(), batch.column(3)):
+            for k, (host, html) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3))):
                 blocks, own, marked = read(html.as_py())
                 names = [h for h, _ in own]
-                keys_ = pair_keys(host, names)
-                gone = (np.searchsorted(sent.value, keys_, "right") > np.searchsorted(sent.value, keys_)).tolist()
+                if sent is None:
+                    listed_ = set(batch.column(4)[k].as_py() or ())
+                    gone = [h in listed_ for h in names]
+                else:
+                    keys_ = pair_keys(host, names)
+                    gone = (np.searchsorted(sent.value, keys_, "right") > np.searchsorted(sent.value, keys_)).tolist()
                 texts.append("\n".join(t for t, kept, inside, trees in blocks
                                        if kept and (inside or not marked) and not any(gone[i] for i in trees)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
@@ -244,6 +253,32 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def with_lists(rows: DataFrame, template: DataFrame) -> DataFrame:
+    """``rows`` with ``gone``, the recurring subtrees that a page itself has.
+
+    Pages meet the recurring pairs subtree by subtree, salted by page, so neither a host nor a subtree on all of
+    its pages lands in one task, and no list is longer than its page. Pages with the same html share a list.
+    """
+    page = [F.xxhash64("html").alias("__a"), F.xxhash64(F.lit(1), "html").alias("__b")]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, found = [], []
+            for k, html in enumerate(batch.column(3)):
+                own = {h for h, _ in read(html.as_py())[1]}
+                of += [k] * len(own)
+                found += own
+            at = pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(3)), pa.array(found, pa.int64())],
+                                             names=["host", "__a", "__b", "hash"])
+
+    pairs = rows.select("host", *page, "html").mapInArrow(each, "host long, __a long, __b long, hash long")
+    salts = template.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = pairs.withColumn("__salt", F.pmod("__a", F.lit(SALTS)).cast("int")).join(salts, ["host", "hash", "__salt"], "left_semi")
+    lists = own.groupBy("host", "__a", "__b").agg(F.collect_set("hash").alias("gone"))
+    return rows.select("*", *page).join(lists, ["host", "__a", "__b"], "left").select("page_id", "url", "host", "html", "gone")
+
+
 @named("op5_site_templates")
 def op5_site_templates(spark, sf_dir):
     return main_text(table(spark, sf_dir, "pages"))

@@ -17,3 +17,12 @@ def test_template_inside_articles_goes_and_copies_of_an_article_stay(spark):
     got = texts(spark, pages + copies)
     assert all(got[k] == f"Title {k}\nStory Title {k}\nMore {k}" for k in range(12))
     assert all(got[100 + k] == f"Copy\nStory Copy\nOwn end\nBeside {k}" for k in range(8))
+
+
+def test_threshold_does_not_grow_with_the_host(spark):
+    block = "<div><p>Author of these</p></div>"
+    pages = [(k, "http://h.example/x", f"<body>{block if k < 6 else ''}<p>Text {k}</p></body>") for k in range(400)]
+    pages += [(1000 + k, "http://other.example/x", f"<body>{block}<p>Text {k}</p></body>") for k in range(4)] + [(3, "http://h.example/x", pages[3][2])]
+    sent, joined = texts(spark, pages), texts(spark, pages, max_sent=0)
+    assert sent == joined
+    assert all(sent[k] == f"Text {k}" for k in range(400)) and all(sent[1000 + k] == f"Author of these\nText {k}" for k in range(4))
