@@ -8,7 +8,8 @@ published often stays whole; elements around an article are never template.
 
 What the counts leave goes by its kind: navigation, headers and footers of the page, asides, forms, scripts, styles, and
 elements whose class or id names an advert, notice, menu, sidebar or comment section; where a page marks its article or
-main part, text outside it.
+main part, text outside it. Classes are judged when the page has been read: an element around the only article, or one
+with most of the text that is named by a word within a class alone (``no-sidebar``), is not dropped.
 
 Counting moves three hashes for each block; a host of any size is combined before it moves. The recurring (host, hash)
 pairs are sent to the tasks up to ``max_sent`` of them; beyond, pages meet them by a join on host, hash and a salt.
@@ -53,6 +54,10 @@ BESIDE = set("ad ads advert adverts advertisement advertising sponsor sponsored
              "contentinfo complementary toolbar".split())
 
 
+#: Words that open the class of a part beside the text which may be longer than the text.
+COMMENTS = set("comment comments disqus reply replies".split())
+
+
 class Element:
     __slots__ = ("tag", "hard", "soft", "main", "article", "scope", "above", "numbered", "parts", "size", "hash")
 
@@ -71,8 +76,36 @@ class Element:
             e = e.above
 
 
-def beside(attributes: str) -> bool:
-    return any(w in BESIDE for m in NAMED.finditer(attributes) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower()))
+def beside(attributes: str) -> int:
+    """2 where a whole class, id or role names a part beside the text, 1 where only a word within one does, else 0."""
+    found = 0
+    for m in NAMED.finditer(attributes):
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            words = [w for w in re.split(r"[^a-z]+", name) if w]
+            if name in BESIDE or (words and words[0] in COMMENTS):
+                return 2
+            found = found or int(any(w in BESIDE for w in words))
+    return found
+
+
+def spare(elements: list[Element], mains: list[Element]) -> None:
+    """Takes the drop by class from elements that hold the article or most of the text.
+
+    Where every article lies in such elements, those around the longest one are spared. Elements that only a
+    word within a class names are spared where they hold more than half of the text of their marked part, or
+    of a page without one.
+    """
+    free = lambda e: not e.soft and not any(x.soft for x in e.around())
+    if mains and not any(free(e) for e in mains):
+        longest = max(mains, key=lambda e: e.size)
+        for e in (longest, *longest.around()):
+            e.soft = 0
+    marked = any(free(e) for e in mains)
+    for e in elements:
+        if e.soft == 1 and (e.scope is not None or not marked):
+            whole = e.scope if e.scope is not None else list(e.around())[-1]
+            if 2 * e.size > whole.size:
+                e.soft = 0
 
 
 def read(html: str) -> tuple[list[tuple[str, bool, bool, list[int]]], list[tuple[int, int | None]], bool]:
@@ -84,6 +117,7 @@ def read(html: str) -> tuple[list[tuple[str, bool, bool, list[int]]], list[tuple
     root = Element("", None)
     stack = [root]
     numbered: list[Element] = []
+    named_: list[Element] = []
     mains: list[Element] = []
     text: list[str] = []
 
@@ -153,6 +187,8 @@ def read(html: str) -> tuple[list[tuple[str, bool, bool, list[int]]], list[tuple
                 e.numbered = e.numbered and e.article
         elif not own.hard and tag not in ("html", "body"):
             own.soft = beside(m[3])
+            if own.soft:
+                named_.append(own)
         own.numbered = tag not in ("html", "body") and (tag not in ("article", "main") or own.article)
         if own.numbered:
             numbered.append(own)
@@ -160,6 +196,8 @@ def read(html: str) -> tuple[list[tuple[str, bool, bool, list[int]]], list[tuple
     flush()
     while len(stack) > 1:
         close()
+    if named_:
+        spare(named_, mains)
     numbered = [e for e in numbered if e.numbered]
     number = {id(e): k for k, e in enumerate(numbered)}
     known: dict[int, tuple[bool, bool, list[int]]] = {id(root): (True, False, [])}

@@ -26,3 +26,15 @@ def test_threshold_does_not_grow_with_the_host(spark):
     sent, joined = texts(spark, pages), texts(spark, pages, max_sent=0)
     assert sent == joined
     assert all(sent[k] == f"Text {k}" for k in range(400)) and all(sent[1000 + k] == f"Author of these\nText {k}" for k in range(4))
+
+
+def test_classes_around_the_article_do_not_drop_it(spark):
+    story = "<h1>Head</h1><p>The whole story of the page, told at length</p>"
+    names = ["with-sidebar", "no-sidebar", "content widget-area", "page-search-result", "layout-nav-left", "sidebar"]
+    pages = [(k, f"http://h{k}.example/", f'<body><div class="{n}"><article>{story}</article><div class="related"><article>Other</article></div></div></body>')
+             for k, n in enumerate(names)]
+    pages += [(10 + k, f"http://g{k}.example/", f'<body><div class="{n}">{story}</div><div class="sidebar-left">Links</div></body>') for k, n in enumerate(names[:5])]
+    pages += [(20, "http://i.example/", f'<body><article><div class="no-sidebar">{story}</div></article></body>'),
+              (21, "http://j.example/", f'<body><article>{story}<div class="comment-list">{"<p>I say</p>" * 40}</div></article><div class="widget-area">{"Much " * 90}</div></body>')]
+    got = texts(spark, pages)
+    assert set(got.values()) == {"Head\nThe whole story of the page, told at length"}
