@@ -1,10 +1,13 @@
 """Mixing sources to target weights by iterative proportional fitting (raking).
 
 Documents are summed to cells of (source, lang, topic). The cells' token weights are scaled in turn
-to the target share of each source, each language and each topic; ``rounds`` rounds of this rake
-the weights to all three marginals. A document of a cell is then kept with the probability that
-makes the expected tokens of the cell follow its weight and those of the whole sample follow the
-budget; probabilities that would pass one are set to one and the rest of the budget is shared anew.
+to the target share of each source, each language and each topic; rounds of this rake
+the weights to all three marginals. A cell never weighs more than its tokens: each step finds the factor under which
+the cells of a value, some of them at that bound, meet the target. A document of a cell is then kept with the probability that
+makes the expected tokens of the cell follow its weight and those of the whole sample the budget.
+A value cannot give more tokens than it has; what its target asks beyond that goes to the other values of the
+dimension. ``attained`` lists wanted, reachable and attained shares. The query ``op1_source_mixture`` alone keeps to its SQL
+twin, which rakes without the bound, sets probabilities above one to one and shares the rest by the old weights.
 Whether a document is kept depends on its id and the seed alone.
 
 Only DataFrame operations are used. Cells are sums, so a source with a third of all rows is combined
@@ -31,6 +34,8 @@ TEMPER = 0.5
 SEED = "mix"
 DIMS = ("__source", "__lang", "__topic")
 CELLS_A_TASK = 200_000
+BOUNDED_ROUNDS = 40
+CLOSE = 1e-6
 
 
 def topic_of(text: Column) -> Column:
@@ -86,6 +91,69 @@ def raked(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
     return cells.drop(*[f"{dim}_t" for dim in targets])
 
 
+def filled(weight: Column, cap: Column, target: Column, keys: list[str]) -> Column:
+    """Whether a row is at its cap under the factor f of its group with sum(min(cap, weight * f)) equal to the
+    target, and the factor that takes it there. Rows are met in the order of these factors.
+    """
+    full = cap / weight
+    upto = Window.partitionBy(*keys).orderBy(full).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = Window.partitionBy(*keys)
+    reached = F.sum(cap).over(upto) + full * (F.sum(weight).over(whole) - F.sum(weight).over(upto))
+    return F.struct((reached <= target * (1 + 1e-12)).alias("at_cap"), full.alias("full"))
+
+
+def stepped(cells: DataFrame, keys: list[str], target: str, weight: str = "weight", cap: str = "tokens") -> DataFrame:
+    """``cells`` with ``weight`` times the factor f of ``filled``; where all caps together fall short, f takes every row to its cap."""
+    w, c = F.col(weight), F.col(cap).cast("double")
+    cells = cells.withColumn("__f", filled(w, c, F.col(target), keys))
+    whole = Window.partitionBy(*keys)
+    free = ~F.col("__f.at_cap")
+    rest = F.sum(F.when(free, w)).over(whole)
+    room = F.col(target) - F.coalesce(F.sum(F.when(~free, c)).over(whole), F.lit(0.0))
+    factor = F.when(rest > 0, F.greatest(room / rest, F.lit(1e-9))).otherwise(F.max("__f.full").over(whole))
+    return cells.withColumn("__g", factor).withColumn(weight, w * F.col("__g")).drop("__f", "__g")
+
+
+def reachable(cells: DataFrame, targets: dict[str, DataFrame], budget: float) -> dict[str, DataFrame]:
+    """For each dimension (value, wanted, target): tokens that the targets ask for, and those that the input can give.
+
+    No value can give more tokens than it has; what such a value leaves open goes to the others in
+    proportion to their targets.
+    """
+    out = {}
+    for dim, target in targets.items():
+        sums = cells.where("tokens > 0").groupBy(dim).agg(F.sum("tokens").alias("tokens"))
+        sums = sums.join(target.select(dim, F.col("target").alias("__w")), dim, "left").where(F.col("__w") > 0)
+        # windows over one group: the values of a dimension among the cells
+        sums = sums.withColumns({"__all": F.lit(0), "__goal": F.lit(float(budget)), "wanted": F.col("__w") * budget / F.sum("__w").over(Window.partitionBy())})
+        sums = stepped(sums, ["__all"], "__goal", "__w")
+        out[dim] = written(sums.select(dim, "wanted", F.least(F.col("tokens").cast("double"), F.col("__w")).alias("target")))
+    return out
+
+
+def bounded(cells: DataFrame, targets: dict[str, DataFrame], budget: float, rounds: int = BOUNDED_ROUNDS) -> DataFrame:
+    """``cells`` with tokens with a ``weight`` of at most their tokens, raked to all ``targets`` of ``reachable``.
+
+    Each step finds the factor under which a value's cells, none above its tokens, add up to its target. Rounds
+    end when all marginals are met to ``CLOSE`` of the budget or after ``rounds``.
+    """
+    cells = cells.where("tokens > 0").withColumn("weight", F.col("tokens").cast("double"))
+    for dim, target in targets.items():
+        cells = cells.join(target.select(dim, F.col("target").alias(f"{dim}_t")), dim, "inner")
+    cells = written(cells)
+    tasks = 1 + cells.count() // CELLS_A_TASK
+    held = F.least(F.col("weight"), F.col("tokens").cast("double"))
+    for _ in range(rounds):
+        cells = cells.coalesce(tasks)
+        for dim in targets:
+            cells = stepped(cells, [dim], f"{dim}_t")
+        cells = written(cells)
+        gaps = [cells.groupBy(dim).agg(F.abs(F.sum(held) - F.first(f"{dim}_t")).alias("gap")) for dim in targets]
+        if all((gap.agg(F.max("gap")).first()[0] or 0.0) <= CLOSE * budget for gap in gaps):
+            break
+    return cells.withColumn("weight", held).drop(*[f"{dim}_t" for dim in targets])
+
+
 def probabilities(cells: DataFrame, budget: float) -> DataFrame:
     """``cells`` with ``probability``: min(1, scale * weight / tokens), so that expected tokens meet the budget."""
     cells = written(cells)
@@ -102,26 +170,50 @@ def probabilities(cells: DataFrame, budget: float) -> DataFrame:
 
 
 def mixed_rows(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", lang_col: str = "lang",
-               text_col: str = "text", share: float = SHARE, targets=None, seed: str = SEED) -> DataFrame:
+               text_col: str = "text", share: float = SHARE, targets=None, seed: str = SEED, within: bool = True) -> DataFrame:
     """One row per document: doc_id, source, lang, topic, n_tokens, probability, kept.
 
     ``targets`` gives for the cells a DataFrame (value, target) for each of DIMS; by default the
     present shares are tempered. ``share`` is the part of all tokens that the sample should have.
+    Without ``within`` the bound on probabilities comes after the raking, as in the SQL twin.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = written(docs.select(F.col(id_col).alias("doc_id"), *dims(source_col, lang_col, text_col), n_words(text).alias("n_tokens")))
-    chances = chances_of(slim, share, targets)
+    chances = chances_of(slim, share, targets, within).drop("tokens")
     found = slim.join(chances, list(DIMS), "left").withColumn("probability", F.coalesce("probability", F.lit(share)))
     return found.select(
         "doc_id", F.col(DIMS[0]).alias("source"), F.col(DIMS[1]).alias("lang"), F.col(DIMS[2]).alias("topic"), "n_tokens",
         F.round("probability", 9).alias("probability"), (draw("doc_id", seed) < F.round("probability", 9)).alias("kept"))
 
 
-def chances_of(slim: DataFrame, share: float, targets) -> DataFrame:
+def cells_of(slim: DataFrame, share: float) -> tuple[DataFrame, float]:
+    """Cells with their tokens, and the budget."""
     cells = written(slim.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")))
-    budget = share * float(cells.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0])
-    weighted = raked(cells, (targets or tempered)(cells))
-    return written(probabilities(weighted, budget).select(*DIMS, "probability"))
+    return cells, share * float(cells.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0])
+
+
+def chances_of(slim: DataFrame, share: float, targets, within: bool = True) -> DataFrame:
+    cells, budget = cells_of(slim, share)
+    wanted = (targets or tempered)(cells)
+    weighted = bounded(cells, reachable(cells, wanted, budget), budget) if within else raked(cells, wanted)
+    return written(probabilities(weighted, budget).select(*DIMS, "tokens", "probability"))
+
+
+def attained(docs: DataFrame, *, source_col: str = "source", lang_col: str = "lang", text_col: str = "text",
+             share: float = SHARE, targets=None, within: bool = True) -> DataFrame:
+    """One row per value of each dimension: dimension, value, wanted, reachable, attained, as shares of the budget."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    slim = written(docs.select(*dims(source_col, lang_col, text_col), n_words(text).alias("n_tokens")))
+    chances = chances_of(slim, share, targets, within)
+    cells, budget = cells_of(slim, share)
+    out = None
+    for dim, goal in reachable(cells, (targets or tempered)(cells), budget).items():
+        got = chances.groupBy(dim).agg(F.sum(F.col("tokens") * F.col("probability")).alias("got"))
+        rows = goal.join(got, dim, "left").select(
+            F.lit(dim.strip("_")).alias("dimension"), F.col(dim).alias("value"), (F.col("wanted") / budget).alias("wanted"),
+            (F.col("target") / budget).alias("reachable"), (F.coalesce("got", F.lit(0.0)) / budget).alias("attained"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def sample_to_targets(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", lang_col: str = "lang",
@@ -129,9 +221,9 @@ def sample_to_targets(docs: DataFrame, *, id_col: str = "doc_id", source_col: st
     """The rows of ``docs`` that the mixture keeps; all columns stay."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = dims(source_col, lang_col, text_col)
-    chances = chances_of(docs.select(*own, n_words(text).alias("n_tokens")), share, targets)
+    chances = chances_of(docs.select(*own, n_words(text).alias("n_tokens")), share, targets).select(*DIMS, F.col("probability").alias("__chance"))
     found = docs.select("*", *own).join(chances, list(DIMS), "left")
-    chance = F.round(F.coalesce("probability", F.lit(share)), 9)
+    chance = F.round(F.coalesce("__chance", F.lit(share)), 9)
     return found.where(draw(id_col, seed) < chance).select(docs.columns)
 
 
@@ -170,4 +262,4 @@ SELECT *, CAST(('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR)
 
 @named("op1_source_mixture", oracle())
 def op1_source_mixture(spark, sf_dir):
-    return mixed_rows(table(spark, sf_dir, "documents"))
+    return mixed_rows(table(spark, sf_dir, "documents"), within=False)  # its SQL twin bounds after raking
