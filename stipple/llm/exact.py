@@ -58,11 +58,16 @@ def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """``docs`` without copies: of equal texts the row with the largest id stays, once; all columns stay."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     groups = written(copy_groups(docs, id_col=id_col, text_col=text_col))
-    keyed = docs.select("*", *cheap_keys(text), full_key(text))
-    single = keyed.join(groups, ["__len", "__head", "__full"], "left_anti").select(docs.columns)
-    chosen = (keyed.join(groups, ["__len", "__head", "__full"])
+    heads = groups.select("__len", "__head").distinct()
+    keyed = docs.select("*", *cheap_keys(text))
+    apart = keyed.join(heads, ["__len", "__head"], "left_anti").select(docs.columns)
+    alive = keyed.join(heads, ["__len", "__head"], "left_semi")
+    # never null, or the planner would ask for hashes that are not null before the semi join
+    alive = alive.select("*", F.coalesce(full_key(text), F.lit("")).alias("__full"))
+    single = alive.join(groups, ["__len", "__head", "__full"], "left_anti").select(docs.columns)
+    chosen = (alive.join(groups, ["__len", "__head", "__full"])
               .where(F.col(id_col).eqNullSafe(F.col("keep_id"))).dropDuplicates(["__len", "__head", "__full"]))
-    return single.unionByName(chosen.select(docs.columns))
+    return apart.unionByName(single).unionByName(chosen.select(docs.columns))
 
 
 @named("op6_exact_dedup", """
