@@ -82,9 +82,10 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, *, bits: int = BITS, alpha:
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, *, id_col: str, text_col: str, label_col: str,
           max_rows: int = MAX_ROWS, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, float]:
-    """Weights fitted in one task on the labelled documents with the smallest id hashes among ``usable`` ones."""
+    """Weights fitted in one task on the labelled documents with the smallest id hashes among ``usable`` ones; labels without a document take no place."""
     marks = (labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y"))
              .where(F.col("__y").isin(0, 1) & F.col("__id").isNotNull()).groupBy("__id").agg(F.max("__y").alias("__y")))
+    marks = marks.join(docs.select(F.col(id_col).alias("__id")), "__id", "left_semi")
     chosen = (marks.where(usable).withColumn("__h", F.xxhash64("__id")).orderBy("__h", "__id").limit(max_rows))
     own = with_short_batches(docs).select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
 
