@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("exact", "packing", "hamming", "toxicity", "mixture", "divergence", "templates", "recompression", "fuzzy_lines", "suffixes", "whitening", "prefix_trie", "pipeline_query")
+MODULES = ("exact", "packing", "hamming", "toxicity", "mixture", "divergence", "templates", "recompression", "fuzzy_lines", "suffixes", "whitening", "prefix_trie", "small_world", "pipeline_query")
 
 
 @dataclass(frozen=True)
