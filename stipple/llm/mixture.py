@@ -2,21 +2,22 @@
 
 Documents are summed to cells of (source, lang, topic). The cells' token weights are scaled in turn
 to the target share of each source, each language and each topic; rounds of this rake
-the weights to all three marginals. A cell never weighs more than its tokens: each step finds the factor under which
-the cells of a value, some of them at that bound, meet the target. A document of a cell is then kept with the probability that
-makes the expected tokens of the cell follow its weight and those of the whole sample the budget.
+the weights to all three marginals. A cell never weighs more than its tokens: the factor of a value is the target less what its
+cells at that bound weigh, over what its free cells weigh, a Newton step on a concave sum, so rounds settle on the factors under
+which the bounded cells meet the target. A document of a cell is kept with the probability weight over tokens, which
+gives the cell its weight in expected tokens and the sample its budget.
 A value cannot give more tokens than it has; what its target asks beyond that goes to the other values of the
-dimension. ``attained`` lists wanted, reachable and attained shares. The query ``op1_source_mixture`` alone keeps to its SQL
-twin, which rakes without the bound, sets probabilities above one to one and shares the rest by the old weights.
+dimension. ``attained`` lists wanted, reachable and attained shares, the rounds and whether they settled: rounds end at ``CLOSE`` of
+the budget, when they no longer gain, or after ``MAX_ROUNDS``. Targets that no weights can meet together end so.
 Whether a document is kept depends on its id and the seed alone.
 
 Only DataFrame operations are used. Cells are sums, so a source with a third of all rows is combined
-before it moves; the raking works on the cells, whose number is that of the combinations present,
-in as many tasks as their measured number needs.
+before it moves. Up to ``CELLS_A_TASK`` cells (measured) are raked in one job, as arrays of cells by value in a fold over the rounds; more are raked
+by a grouping by value and a join of the values' sums for each step, so a topic of any number of cells stays spread.
 
 Null and empty texts have no tokens and belong to the topic ``empty``; their cell weighs nothing and
-its documents are dropped with probability one minus the sampled share of all tokens. Null sources
-and languages are values of their own, ``(none)``. A null doc_id is drawn as the empty id. Repeated
+its documents are kept with the sampled share of all tokens as probability. Null sources
+and languages are values of their own, ``(none)``. Values without a target or with one of zero are left out of the sample. A null doc_id is drawn as the empty id. Repeated
 rows are drawn alike. Other columns are never looked at. An empty table gives an empty result.
 """
 
@@ -28,14 +29,15 @@ from pyspark.sql import functions as F
 from stipple.llm.registry import named, table
 from stipple.llm.shared import written
 
-ROUNDS = 12
 SHARE = 0.5
 TEMPER = 0.5
 SEED = "mix"
 DIMS = ("__source", "__lang", "__topic")
-CELLS_A_TASK = 200_000
-BOUNDED_ROUNDS = 40
-CLOSE = 1e-6
+CELLS_A_TASK = 50_000
+MAX_ROUNDS = 240
+CLOSE = 1e-12
+SETTLED = 1e-6  # share of the budget that counts as met
+DIGITS = 6
 
 
 def topic_of(text: Column) -> Column:
@@ -76,144 +78,163 @@ def tempered(cells: DataFrame, temper: float = TEMPER) -> dict[str, DataFrame]:
     return out
 
 
-def raked(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
-    """``cells`` with tokens with a raked ``weight``; values without a target keep weight zero."""
-    cells = cells.where("tokens > 0").withColumn("weight", F.col("tokens").cast("double"))
-    for dim, target in targets.items():
-        cells = cells.join(target.select(dim, F.col("target").alias(f"{dim}_t")), dim, "left").fillna(0.0, [f"{dim}_t"])
-    cells = written(cells)
-    tasks = 1 + cells.count() // CELLS_A_TASK
-    cells = cells.coalesce(tasks)
-    for _ in range(rounds):
-        for dim in targets:
-            total = F.sum("weight").over(Window.partitionBy(dim))
-            cells = cells.withColumn("weight", F.when(total > 0, F.col("weight") * F.col(f"{dim}_t") / total).otherwise(0.0))
-    return cells.drop(*[f"{dim}_t" for dim in targets])
-
-
-def filled(weight: Column, cap: Column, target: Column, keys: list[str]) -> Column:
-    """Whether a row is at its cap under the factor f of its group with sum(min(cap, weight * f)) equal to the
-    target, and the factor that takes it there. Rows are met in the order of these factors.
-    """
-    full = cap / weight
-    upto = Window.partitionBy(*keys).orderBy(full).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*keys)
-    reached = F.sum(cap).over(upto) + full * (F.sum(weight).over(whole) - F.sum(weight).over(upto))
-    return F.struct((reached <= target * (1 + 1e-12)).alias("at_cap"), full.alias("full"))
-
-
-def stepped(cells: DataFrame, keys: list[str], target: str, weight: str = "weight", cap: str = "tokens") -> DataFrame:
-    """``cells`` with ``weight`` times the factor f of ``filled``; where all caps together fall short, f takes every row to its cap."""
-    w, c = F.col(weight), F.col(cap).cast("double")
-    cells = cells.withColumn("__f", filled(w, c, F.col(target), keys))
-    whole = Window.partitionBy(*keys)
-    free = ~F.col("__f.at_cap")
-    rest = F.sum(F.when(free, w)).over(whole)
-    room = F.col(target) - F.coalesce(F.sum(F.when(~free, c)).over(whole), F.lit(0.0))
-    factor = F.when(rest > 0, F.greatest(room / rest, F.lit(1e-9))).otherwise(F.max("__f.full").over(whole))
-    return cells.withColumn("__g", factor).withColumn(weight, w * F.col("__g")).drop("__f", "__g")
-
-
-def reachable(cells: DataFrame, targets: dict[str, DataFrame], budget: float) -> dict[str, DataFrame]:
-    """For each dimension (value, wanted, target): tokens that the targets ask for, and those that the input can give.
+def reachable(cells: DataFrame, targets: dict[str, DataFrame], budget: float) -> DataFrame:
+    """(dim, value, wanted, target): tokens that the targets ask for, and those that the input can give.
 
     No value can give more tokens than it has; what such a value leaves open goes to the others in
-    proportion to their targets.
+    proportion to their targets. Each step adds the values that are now full; three rows come to the driver.
     """
-    out = {}
-    for dim, target in targets.items():
-        sums = cells.where("tokens > 0").groupBy(dim).agg(F.sum("tokens").alias("tokens"))
-        sums = sums.join(target.select(dim, F.col("target").alias("__w")), dim, "left").where(F.col("__w") > 0)
-        # windows over one group: the values of a dimension among the cells
-        sums = sums.withColumns({"__all": F.lit(0), "__goal": F.lit(float(budget)), "wanted": F.col("__w") * budget / F.sum("__w").over(Window.partitionBy())})
-        sums = stepped(sums, ["__all"], "__goal", "__w")
-        out[dim] = written(sums.select(dim, "wanted", F.least(F.col("tokens").cast("double"), F.col("__w")).alias("target")))
+    values = None
+    for k, (dim, target) in enumerate(targets.items()):
+        sums = cells.where("tokens > 0").groupBy(dim).agg(F.sum("tokens").cast("double").alias("tokens"))
+        rows = sums.join(target.select(dim, F.col("target").cast("double").alias("w")), dim).where(F.col("w") > 0)
+        rows = rows.select(F.lit(k).alias("dim"), F.col(dim).alias("value"), "tokens", "w")
+        values = rows if values is None else values.unionByName(rows)
+    values = written(values)
+    scale, first, full = {}, {}, None
+    while True:
+        at = F.lit(False) if full is None else F.col("w") * by_dim(scale) >= F.col("tokens")
+        sums = {r["dim"]: r for r in values.groupBy("dim").agg(
+            F.sum(F.when(at, F.col("tokens")).otherwise(0.0)).alias("full"), F.sum(F.when(at, 0.0).otherwise(F.col("w"))).alias("w"),
+            F.count(F.when(at, 1)).alias("n")).collect()}
+        if full is not None and full == [r["n"] for _, r in sorted(sums.items())]:
+            break
+        full = [r["n"] for _, r in sorted(sums.items())]
+        scale = {k: max(0.0, budget - r["full"]) / r["w"] if r["w"] else scale.get(k, 0.0) for k, r in sums.items()}
+        first = first or scale
+    at = F.col("w") * by_dim(scale) >= F.col("tokens")
+    return written(values.select("dim", "value", (F.col("w") * by_dim(first)).alias("wanted"),
+                                 F.when(at, F.col("tokens")).otherwise(F.col("w") * by_dim(scale)).alias("target")))
+
+
+def by_dim(numbers: dict[int, float]) -> Column:
+    out = F.lit(0.0)
+    for k, number in numbers.items():
+        out = F.when(F.col("dim") == k, F.lit(float(number))).otherwise(out)
     return out
 
 
-def bounded(cells: DataFrame, targets: dict[str, DataFrame], budget: float, rounds: int = BOUNDED_ROUNDS) -> DataFrame:
-    """``cells`` with tokens with a ``weight`` of at most their tokens, raked to all ``targets`` of ``reachable``.
-
-    Each step finds the factor under which a value's cells, none above its tokens, add up to its target. Rounds
-    end when all marginals are met to ``CLOSE`` of the budget or after ``rounds``.
-    """
-    cells = cells.where("tokens > 0").withColumn("weight", F.col("tokens").cast("double"))
-    for dim, target in targets.items():
-        cells = cells.join(target.select(dim, F.col("target").alias(f"{dim}_t")), dim, "inner")
+def factor(target: Column, full: Column, free: Column) -> Column:
+    """A Newton step towards the factor of a value, or the plain ratio where its full cells alone pass the target."""
+    return F.when((free > 0) & (target > full), (target - full) / F.when(free > 0, free)).otherwise(
+        target / F.when(full + free > 0, full + free))
+
+
+def joined_step(cells: DataFrame, dim: str) -> DataFrame:
+    at = F.col("weight") >= F.col("tokens")
+    sums = cells.groupBy(dim).agg(F.sum(F.when(at, F.col("tokens").cast("double")).otherwise(0.0)).alias("__full"),
+                                  F.sum(F.when(at, 0.0).otherwise(F.col("weight"))).alias("__free"))
+    scaled = F.col("weight") * factor(F.col(f"{dim}_t"), F.col("__full"), F.col("__free"))
+    return written(cells.join(sums, dim).withColumn("weight", scaled).drop("__full", "__free"))
+
+
+def folded(cells: DataFrame, rounds: int) -> DataFrame:
+    """``cells`` after ``rounds``, in one job: a row holds the cells by value of each dimension, the state is a factor for each value."""
+    for k, dim in enumerate(DIMS):
+        cells = cells.withColumn(f"c{k}", F.dense_rank().over(Window.orderBy(dim)) - 1)  # a measured, small number of cells
+    cell = F.struct(F.col("tokens").cast("double").alias("tokens"), "weight", "c0", "c1", "c2", F.struct(*[c for c in cells.columns if c not in ("weight", "c0", "c1", "c2")]).alias("own"))
+    cells = written(cells.select(cell.alias("cell"), *[F.col(f"{d}_t").alias(f"t{k}") for k, d in enumerate(DIMS)]))
+    lists = None
+    for k in range(3):
+        rows = cells.groupBy(F.lit(k).alias("dim"), F.col(f"cell.c{k}").alias("code")).agg(F.first(f"t{k}").alias("target"), F.collect_list("cell").alias("cells"))
+        lists = rows if lists is None else lists.unionByName(rows)
+    by = [F.sort_array(F.collect_list(F.when(F.col("dim") == k, F.struct("code", "target", "cells")))).alias(f"v{k}") for k in range(3)]
+    row = written(lists.groupBy().agg(*by))
+
+    def weight(c, state):
+        return c["weight"] * F.get(state["f0"], c["c0"]) * F.get(state["f1"], c["c1"]) * F.get(state["f2"], c["c2"])
+
+    def summed(state):
+        def add(acc, c):
+            at = weight(c, state) >= c["tokens"]
+            return F.struct((acc["full"] + F.when(at, c["tokens"]).otherwise(0.0)).alias("full"),
+                            (acc["free"] + F.when(at, 0.0).otherwise(weight(c, state))).alias("free"))
+        return add
+
+    def scaled(k, state):
+        zero = F.struct(F.lit(0.0).alias("full"), F.lit(0.0).alias("free"))
+        sums = F.transform(f"v{k}", lambda v: F.struct(v["target"].alias("target"), F.aggregate(v["cells"], zero, summed(state)).alias("s")))
+        grown = F.transform(sums, lambda v: factor(v["target"], v["s"]["full"], v["s"]["free"]))
+        return F.zip_with(state[f"f{k}"], grown, lambda f, g: f * g)
+
+    start = F.struct(*[F.transform(f"v{k}", lambda v: F.lit(1.0)).alias(f"f{k}") for k in range(3)])
+    one = lambda state, i: F.struct(*[F.when(i % 3 == k, scaled(k, state)).otherwise(state[f"f{k}"]).alias(f"f{k}") for k in range(3)])
+    end = row.select("v0", F.aggregate(F.sequence(F.lit(0), F.lit(3 * rounds - 1)), start, one).alias("end"))
+    each = end.select(F.explode("v0.cells").alias("cells"), "end").select(F.explode("cells").alias("c"), "end")
+    return each.select("c.own.*", weight(F.col("c"), F.col("end")).alias("weight"))
+
+
+def gap(cells: DataFrame) -> float:
+    """The largest difference of a marginal from its target, in tokens."""
+    held = F.least(F.col("weight"), F.col("tokens").cast("double")).alias("held")
+    each = F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).alias("value"), F.col(f"{d}_t").alias("t"), held) for d in DIMS])
+    sums = cells.select(F.inline(each)).groupBy("dim", "value").agg(F.abs(F.sum("held") - F.first("t")).alias("gap"))
+    return sums.agg(F.max("gap")).first()[0] or 0.0
+
+
+def raked(cells: DataFrame, goals: DataFrame, budget: float, cells_a_task: int = CELLS_A_TASK) -> tuple[DataFrame, dict]:
+    """``cells`` with tokens and targets with a ``weight`` raked to all ``goals``, and {rounds, gap, settled}."""
+    cells = cells.where("tokens > 0").withColumn("weight", F.col("tokens") * F.lit(float(budget)) / F.lit(max(1.0, float(total_of(cells)))))
+    for k, dim in enumerate(DIMS):
+        cells = cells.join(goals.where(F.col("dim") == k).select(F.col("value").alias(dim), F.col("target").alias(f"{dim}_t")), dim)
     cells = written(cells)
-    tasks = 1 + cells.count() // CELLS_A_TASK
+    if cells.count() <= cells_a_task:
+        names = [c for c in cells.columns if c != "weight"]
+        cells = written(folded(cells.select(*names, "weight"), MAX_ROUNDS).select(*names, "weight"))
+        rounds, now = MAX_ROUNDS, gap(cells) / max(budget, 1e-300)
+    else:
+        rounds, now, last = 0, float("inf"), float("inf")
+        while rounds < MAX_ROUNDS and now > CLOSE and not (now <= SETTLED and now > 0.5 * last):
+            for dim in DIMS:
+                cells = joined_step(cells, dim)
+            rounds, last, now = rounds + 1, now, gap(cells) / max(budget, 1e-300)
     held = F.least(F.col("weight"), F.col("tokens").cast("double"))
-    for _ in range(rounds):
-        cells = cells.coalesce(tasks)
-        for dim in targets:
-            cells = stepped(cells, [dim], f"{dim}_t")
-        cells = written(cells)
-        gaps = [cells.groupBy(dim).agg(F.abs(F.sum(held) - F.first(f"{dim}_t")).alias("gap")) for dim in targets]
-        if all((gap.agg(F.max("gap")).first()[0] or 0.0) <= CLOSE * budget for gap in gaps):
-            break
-    return cells.withColumn("weight", held).drop(*[f"{dim}_t" for dim in targets])
+    return cells.withColumn("weight", held).drop(*[f"{d}_t" for d in DIMS]), {"rounds": rounds, "gap": now, "settled": now <= SETTLED}
 
 
-def probabilities(cells: DataFrame, budget: float) -> DataFrame:
-    """``cells`` with ``probability``: min(1, scale * weight / tokens), so that expected tokens meet the budget."""
-    cells = written(cells)
-    scale, full = None, -1
-    while True:
-        at_one = F.lit(False) if scale is None else F.col("weight") * scale >= F.col("tokens")
-        row = cells.agg(
-            F.coalesce(F.sum(F.when(at_one, F.col("tokens"))), F.lit(0)), F.sum(F.when(at_one, 1).otherwise(0)),
-            F.sum(F.when(~at_one, F.col("weight")))).first()
-        if not row[2] or row[1] == full:
-            break
-        full, scale = row[1], max(0.0, budget - row[0]) / row[2]
-    return cells.withColumn("probability", F.least(F.lit(1.0), F.col("weight") * F.lit(scale or 0.0) / F.col("tokens")))
+def total_of(cells: DataFrame) -> int:
+    return cells.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+
+
+def chances_of(slim: DataFrame, share: float, targets, cells_a_task: int = CELLS_A_TASK) -> tuple[DataFrame, DataFrame, dict]:
+    """Cells with their probability; goals; how the rounds ended. Cells without tokens keep ``share``, those without a target nothing."""
+    cells = written(slim.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")))
+    budget = share * float(total_of(cells))
+    goals = reachable(cells, (targets or tempered)(cells), budget)
+    weighted, end = raked(cells, goals, budget, cells_a_task)
+    found = cells.join(weighted.select(*DIMS, "weight"), list(DIMS), "left")
+    chance = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.coalesce("weight", F.lit(0.0)) / F.col("tokens"))).otherwise(F.lit(share))
+    return written(found.select(*DIMS, "tokens", F.round(chance, DIGITS).alias("probability"))), goals, end | {"budget": budget}
 
 
 def mixed_rows(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", lang_col: str = "lang",
-               text_col: str = "text", share: float = SHARE, targets=None, seed: str = SEED, within: bool = True) -> DataFrame:
+               text_col: str = "text", share: float = SHARE, targets=None, seed: str = SEED) -> DataFrame:
     """One row per document: doc_id, source, lang, topic, n_tokens, probability, kept.
 
     ``targets`` gives for the cells a DataFrame (value, target) for each of DIMS; by default the
     present shares are tempered. ``share`` is the part of all tokens that the sample should have.
-    Without ``within`` the bound on probabilities comes after the raking, as in the SQL twin.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = written(docs.select(F.col(id_col).alias("doc_id"), *dims(source_col, lang_col, text_col), n_words(text).alias("n_tokens")))
-    chances = chances_of(slim, share, targets, within).drop("tokens")
-    found = slim.join(chances, list(DIMS), "left").withColumn("probability", F.coalesce("probability", F.lit(share)))
+    chances, _, _ = chances_of(slim, share, targets)
+    found = slim.join(chances.drop("tokens"), list(DIMS), "left")
     return found.select(
         "doc_id", F.col(DIMS[0]).alias("source"), F.col(DIMS[1]).alias("lang"), F.col(DIMS[2]).alias("topic"), "n_tokens",
-        F.round("probability", 9).alias("probability"), (draw("doc_id", seed) < F.round("probability", 9)).alias("kept"))
-
-
-def cells_of(slim: DataFrame, share: float) -> tuple[DataFrame, float]:
-    """Cells with their tokens, and the budget."""
-    cells = written(slim.groupBy(*DIMS).agg(F.sum("n_tokens").alias("tokens")))
-    return cells, share * float(cells.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0])
-
-
-def chances_of(slim: DataFrame, share: float, targets, within: bool = True) -> DataFrame:
-    cells, budget = cells_of(slim, share)
-    wanted = (targets or tempered)(cells)
-    weighted = bounded(cells, reachable(cells, wanted, budget), budget) if within else raked(cells, wanted)
-    return written(probabilities(weighted, budget).select(*DIMS, "tokens", "probability"))
+        "probability", (draw("doc_id", seed) < F.col("probability")).alias("kept"))
 
 
 def attained(docs: DataFrame, *, source_col: str = "source", lang_col: str = "lang", text_col: str = "text",
-             share: float = SHARE, targets=None, within: bool = True) -> DataFrame:
-    """One row per value of each dimension: dimension, value, wanted, reachable, attained, as shares of the budget."""
+             share: float = SHARE, targets=None) -> DataFrame:
+    """One row per value of each dimension: dimension, value, wanted, reachable, attained (shares of the budget), rounds, settled."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = written(docs.select(*dims(source_col, lang_col, text_col), n_words(text).alias("n_tokens")))
-    chances = chances_of(slim, share, targets, within)
-    cells, budget = cells_of(slim, share)
-    out = None
-    for dim, goal in reachable(cells, (targets or tempered)(cells), budget).items():
-        got = chances.groupBy(dim).agg(F.sum(F.col("tokens") * F.col("probability")).alias("got"))
-        rows = goal.join(got, dim, "left").select(
-            F.lit(dim.strip("_")).alias("dimension"), F.col(dim).alias("value"), (F.col("wanted") / budget).alias("wanted"),
-            (F.col("target") / budget).alias("reachable"), (F.coalesce("got", F.lit(0.0)) / budget).alias("attained"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    chances, goals, end = chances_of(slim, share, targets)
+    each = F.array(*[F.struct(F.lit(k).alias("dim"), F.col(d).alias("value"), (F.col("tokens") * F.col("probability")).alias("got")) for k, d in enumerate(DIMS)])
+    got = chances.where("tokens > 0").select(F.inline(each)).groupBy("dim", "value").agg(F.sum("got").alias("got"))
+    name = F.get(F.array(*[F.lit(d.strip("_")) for d in DIMS]), F.col("dim"))
+    return goals.join(got, ["dim", "value"], "left").select(
+        name.alias("dimension"), "value", (F.col("wanted") / end["budget"]).alias("wanted"), (F.col("target") / end["budget"]).alias("reachable"),
+        (F.coalesce("got", F.lit(0.0)) / end["budget"]).alias("attained"), F.lit(end["rounds"]).alias("rounds"), F.lit(end["settled"]).alias("settled"))
 
 
 def sample_to_targets(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", lang_col: str = "lang",
@@ -221,45 +242,50 @@ def sample_to_targets(docs: DataFrame, *, id_col: str = "doc_id", source_col: st
     """The rows of ``docs`` that the mixture keeps; all columns stay."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = dims(source_col, lang_col, text_col)
-    chances = chances_of(docs.select(*own, n_words(text).alias("n_tokens")), share, targets).select(*DIMS, F.col("probability").alias("__chance"))
-    found = docs.select("*", *own).join(chances, list(DIMS), "left")
-    chance = F.round(F.coalesce("__chance", F.lit(share)), 9)
-    return found.where(draw(id_col, seed) < chance).select(docs.columns)
+    chances, _, _ = chances_of(docs.select(*own, n_words(text).alias("n_tokens")), share, targets)
+    rows = docs.select(F.struct("*").alias("__row"), draw(id_col, seed).alias("__draw"), *own)  # columns of the rows can't clash inside
+    found = rows.join(chances.drop("tokens"), list(DIMS), "left")
+    return found.where(F.col("__draw") < F.col("probability")).select("__row.*")
 
 
 def oracle() -> str:
-    """The same in SQL: raking and the budget written out step by step."""
-    steps = []
-    n = 0
-    for _ in range(ROUNDS):
-        for dim in ("source", "lang", "topic"):
-            steps.append(f"w{n + 1} AS MATERIALIZED (SELECT * REPLACE (w * {dim}_t / sum(w) OVER (PARTITION BY {dim}) AS w) FROM w{n})")
-            n += 1
-    steps.append(f"s0 AS (SELECT {SHARE} * (SELECT sum(tokens) FROM cells) / sum(w) AS s FROM w{n})")
-    for k in range(10):
-        steps.append(f"s{k + 1} AS MATERIALIZED (SELECT greatest(0, {SHARE} * (SELECT sum(tokens) FROM cells) - coalesce(sum(tokens) FILTER (w * s >= tokens), 0))"
-                     f" / sum(w) FILTER (NOT w * s >= tokens) AS s FROM w{n}, s{k})")
+    """The same in SQL: reachable targets by the order in which values fill up, then a recursive query of MAX_ROUNDS rounds."""
+    goals = []
+    for dim, power in (("source", TEMPER), ("lang", TEMPER), ("topic", 0.0)):
+        goals.append(f"""
+{dim}_v AS (SELECT {dim}, CAST(sum(tokens) AS DOUBLE) AS tok, power(CAST(sum(tokens) AS DOUBLE), {power}) AS w FROM live GROUP BY 1),
+{dim}_o AS (SELECT *, sum(tok) OVER upto + tok / w * (sum(w) OVER () - sum(w) OVER upto) <= (SELECT b FROM budget) * (1 + 1e-12) AS is_full
+  FROM {dim}_v WINDOW upto AS (ORDER BY tok / w RANGE UNBOUNDED PRECEDING)),
+{dim}_g AS (SELECT {dim}, CASE WHEN is_full THEN tok ELSE w * ((SELECT b FROM budget) - coalesce((SELECT sum(tok) FROM {dim}_o WHERE is_full), 0))
+  / (SELECT sum(w) FROM {dim}_o WHERE NOT is_full) END AS {dim}_t FROM {dim}_o)""")
+    step = "rounds"
+    for dim in ("source", "lang", "topic"):
+        full = f"sum(CASE WHEN w >= tokens THEN tokens ELSE 0 END) OVER (PARTITION BY {dim})"
+        free = f"sum(CASE WHEN w >= tokens THEN 0 ELSE w END) OVER (PARTITION BY {dim})"
+        where = f" WHERE r < {MAX_ROUNDS}" if step == "rounds" else ""
+        step = (f"(SELECT r, source, lang, topic, tokens, source_t, lang_t, topic_t, w * CASE WHEN free > 0 AND {dim}_t > filled THEN ({dim}_t - filled) / free"
+                f" ELSE {dim}_t / (filled + free) END AS w FROM (SELECT *, {full} AS filled, {free} AS free FROM {step}{where}))")
     return rf"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang, coalesce(text, '') AS t FROM documents),
 slim AS (
   SELECT doc_id, source, lang, CASE WHEN t = '' THEN 'empty' WHEN contains(t, ' | ') THEN 'tabular'
     WHEN contains(lower(t), 'licensed under') OR contains(lower(t), 'copyright') THEN 'legal'
     WHEN contains(t, '@') OR contains(t, 'http') THEN 'contact'
     WHEN contains(t, '###') OR contains(t, '%%%') THEN 'symbolic' ELSE 'prose' END AS topic,
-    CAST(len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens FROM d),
+    CAST(len(regexp_extract_all(t, '[^ 	-
+]+')) AS BIGINT) AS n_tokens FROM d),
 cells AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM slim GROUP BY ALL),
-live AS (SELECT * FROM cells WHERE tokens > 0),
-a AS (SELECT source, sqrt(CAST(sum(tokens) AS DOUBLE)) AS source_t FROM live GROUP BY 1),
-b AS (SELECT lang, sqrt(CAST(sum(tokens) AS DOUBLE)) AS lang_t FROM live GROUP BY 1),
-c AS (SELECT DISTINCT topic, CAST(1 AS DOUBLE) AS topic_t FROM live),
-w0 AS (SELECT *, CAST(tokens AS DOUBLE) AS w FROM live JOIN a USING (source) JOIN b USING (lang) JOIN c USING (topic)),
-{', '.join(steps)},
-p AS (SELECT source, lang, topic, least(1.0, w * s / tokens) AS p FROM w{n}, s10),
-r AS (SELECT slim.*, round(coalesce(p, {SHARE}), 9) AS probability FROM slim LEFT JOIN p USING (source, lang, topic))
-SELECT *, CAST(('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) / 4503599627370496.0 < probability AS kept FROM r"""
+live AS (SELECT source, lang, topic, CAST(tokens AS DOUBLE) AS tokens FROM cells WHERE tokens > 0),
+budget AS (SELECT {SHARE} * sum(tokens) AS b FROM live), {','.join(goals)},
+rounds AS (SELECT 0 AS r, source, lang, topic, tokens, source_t, lang_t, topic_t, tokens * {SHARE} AS w
+    FROM live JOIN source_g USING (source) JOIN lang_g USING (lang) JOIN topic_g USING (topic)
+  UNION ALL SELECT r + 1, source, lang, topic, tokens, source_t, lang_t, topic_t, w FROM {step}),
+p AS (SELECT source, lang, topic, round(least(1.0, w / tokens), {DIGITS}) AS p FROM rounds WHERE r = {MAX_ROUNDS}),
+x AS (SELECT slim.*, CASE WHEN p IS NOT NULL THEN p ELSE {SHARE} END AS probability FROM slim LEFT JOIN p USING (source, lang, topic))
+SELECT *, CAST(('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) / 4503599627370496.0 < probability AS kept FROM x"""
 
 
 @named("op1_source_mixture", oracle())
 def op1_source_mixture(spark, sf_dir):
-    return mixed_rows(table(spark, sf_dir, "documents"), within=False)  # its SQL twin bounds after raking
+    return mixed_rows(table(spark, sf_dir, "documents"))

@@ -119,3 +119,54 @@ def quality_base(text: str | None) -> tuple[int, int, int, int, int]:
         if count[tuple(w[i : i + 5])] > 1:
             inside[i : i + 5] = [True] * 5
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), sum(inside)
+
+
+def topic(text):
+    low = text.lower()
+    if not text:
+        return "empty"
+    for name, found in (("tabular", " | " in text), ("legal", "licensed under" in low or "copyright" in low),
+                        ("contact", "@" in text or "http" in text), ("symbolic", "###" in text or "%%%" in text)):
+        if found:
+            return name
+    return "prose"
+
+
+def met(target, rows, least):
+    """The factor under which min(tokens, factor * weight) of the rows adds up to the target, by halving."""
+    if least([t for t, _ in rows], [w * 1e12 for _, w in rows]) <= target:
+        return 1e12
+    lo, hi = 0.0, 1e12
+    for _ in range(200):
+        mid = (lo + hi) / 2 if hi < 1 else (max(lo, 1e-12) * hi) ** 0.5
+        lo, hi = (mid, hi) if least([t for t, _ in rows], [w * mid for _, w in rows]) < target else (lo, mid)
+    return hi
+
+
+def mixture(rows, share=0.5, rounds=400):
+    """Probability by (source, lang, topic) of a bounded rake: every step solves a value's factor by halving."""
+    cells = {}
+    for _, text, lang, source, *_ in rows:
+        key = (source or "(none)", lang or "(none)", topic(text or ""))
+        cells[key] = cells.get(key, 0) + len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+    cells = {k: n for k, n in cells.items() if n}
+    least = lambda caps, ws: sum(min(a, b) for a, b in zip(caps, ws))
+    budget, goals = share * sum(cells.values()), []
+    for d, power in enumerate((0.5, 0.5, 0)):
+        own = {}
+        for k, n in cells.items():
+            own[k[d]] = own.get(k[d], 0) + n
+        f = met(budget, [(n, n**power) for n in own.values()], least)
+        goals.append({v: min(n, f * n**power) for v, n in own.items()})
+    weight = dict(cells)
+    for _ in range(rounds):
+        for d in range(3):
+            for v, goal in goals[d].items():
+                mine = [k for k in cells if k[d] == v]
+                f = met(goal, [(cells[k], weight[k]) for k in mine], least)
+                for k in mine:
+                    weight[k] *= min(f, 1e6)
+        gap = max(abs(sum(min(cells[k], weight[k]) for k in cells if k[d] == v) - goal) for d in range(3) for v, goal in goals[d].items())
+        if gap < 1e-9 * budget:
+            break
+    return {k: min(1.0, weight[k] / n) for k, n in cells.items()}
