@@ -240,16 +240,19 @@ def relabel_invariance(t):
     return lb.relabel_invariance(pr.derived_totals(movie_counts(t)), pr.derived_totals(movie_counts(t, other_labeling(t))))
 
 
-QCOLS = ("x_se_nm", "y_se_nm", "photons_e")
+# background and widths of the fit stand in from other columns of the points
+WIDTHS = {"bg_e_per_pixel": "y_se_px * 10 + x_se_px", "sx_px": "1 + x_um / 10", "sy_px": "1 + y_um / 10"}
+QCOLS = ("x_se_nm", "y_se_nm", "photons_e", *WIDTHS)
 SCOPE_STATS = f"""st AS (SELECT sample_id, grp, scope, count(*) AS points_n, {', '.join(f"quantile_cont({c}, 0.1) AS {c}_q10, quantile_cont({c}, 0.5) AS {c}_median, quantile_cont({c}, 0.9) AS {c}_q90" for c in QCOLS)}
-  FROM movies JOIN scopes ON frame >= start AND frame < stop WHERE grp <> 'unknown' GROUP BY ALL)"""
+  FROM (SELECT *, {', '.join(f"{e} AS {c}" for c, e in WIDTHS.items())} FROM movies) JOIN scopes ON frame >= start AND frame < stop WHERE grp <> 'unknown' GROUP BY ALL)"""
 QNAMES = [f"{c}_{q}" for c in QCOLS for q in ("q10", "median", "q90")]
 
 
 def scope_statistics(t):
-    """Exact quantiles of several columns per sample, group and frame range."""
+    """Exact quantiles of six columns per sample, group and frame range."""
     frames = scopes(t).select("scope", F.explode(F.sequence("start", F.col("stop") - 1)).alias("frame"))
     rows = t.movies.where("grp <> 'unknown'").join(F.broadcast(frames), "frame")  # four ranges of a fixed 360 frames
+    rows = rows.withColumns({c: F.expr(e) for c, e in WIDTHS.items()})
     long = rows.unpivot(KEYS, list(QCOLS), "metric", "value")
     q = exact_quantiles(long, [*KEYS, "metric"], "value", [0.1, 0.5, 0.9])
     name = F.when(F.col("prob") == 0.1, "q10").when(F.col("prob") == 0.5, "median").otherwise("q90")

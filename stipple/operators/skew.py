@@ -65,26 +65,43 @@ def exact_quantiles(
     Values are counted by (key, value). A group of more than ``ordered`` distinct values is cut
     into equal slices whose counts locate the wanted ranks, and only slices that hold such a rank stay, as
     groups of the next round. Each round narrows the range ``slices`` times, so far outliers cost
-    a round and no task ever orders more than ``ordered`` values of a group.
+    a round and no task ever orders more than ``ordered`` values of a group. The smallest and the largest value of
+    a group fall into different slices, so every round leaves fewer values and rounds end.
+
+    Infinities stand at their ends and NaN above them, as in a sort; they take their ranks without entering a slice. A quantile
+    between two values of which one is infinite or NaN is that one, unless its rank is whole.
     """
     keys = list(keys)
+    slices = max(2, slices)
     counted = cut_lineage(df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(
         F.count("*").alias("__w")).withColumn("__g", F.lit(0).cast("bigint")))
-    totals = counted.groupBy(*keys).agg(F.sum("__w").alias("__n"))
+    real = counted.schema["__v"].dataType.typeName() in ("double", "float")
+    ends = {"__nan": F.isnan("__v"), "__top": F.col("__v") == F.lit(float("inf")), "__low": F.col("__v") == F.lit(float("-inf"))} if real else {}
+    odd = {n: F.coalesce(F.sum(F.when(c, F.col("__w"))), F.lit(0)) if ends else F.lit(0).cast("bigint") for n, c in ends.items()}
+    odd = odd or {n: F.max(F.lit(0).cast("bigint")) for n in ("__nan", "__top", "__low")}
+    totals = counted.groupBy(*keys).agg(F.sum("__w").alias("__n"), *[c.alias(n) for n, c in odd.items()])
+    if real:
+        counted = counted.where(~F.isnan("__v") & (F.abs("__v") < F.lit(float("inf"))))
     place = [(F.col("__n") - 1) * F.lit(float(p)) for p in probs]
     wanted = F.array(*[F.struct(F.lit(float(p)).alias("prob"), h.alias("at"), F.floor(h).alias("lo"), F.ceil(h).alias("hi"))
                        for p, h in zip(probs, place)])
-    asked = totals.select(*keys, F.inline(wanted))
-    ranks = asked.select(*keys, F.explode(F.array("lo", "hi")).alias("__rank")).distinct()
-    targets = ranks.withColumns({"__g": F.lit(0).cast("bigint"), "__base": F.lit(0).cast("bigint")})
+    asked = totals.select(*keys, F.inline(wanted), "__n", *odd)
+    inside_ranks = (F.col("__rank") >= F.col("__low")) & (F.col("__rank") < F.col("__n") - F.col("__nan") - F.col("__top"))
+    ranks = asked.select(*keys, "__n", *odd, F.explode(F.array("lo", "hi")).alias("__rank")).distinct()
+    named = F.when(F.col("__rank") < F.col("__low"), F.lit(float("-inf"))).when(
+        F.col("__rank") < F.col("__n") - F.col("__nan"), F.lit(float("inf"))).otherwise(F.lit(float("nan")))
+    outside = ranks.where(~inside_ranks).select(*keys, "__rank", named.alias("__v"))
+    targets = ranks.where(inside_ranks).select(*keys, "__rank", F.lit(0).cast("bigint").alias("__g"), F.col("__low").alias("__base"))
     group = [*keys, "__g"]
     while True:
         spread = counted.groupBy(*group).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.count("*").alias("__d"))
         largest = spread.agg(F.max("__d")).first()[0] or 0
         if largest <= ordered:
             break
-        step = (F.col("__hi") - F.col("__lo")) / F.lit(float(slices))
-        part = F.when(step > 0, F.least(F.floor((F.col("__v") - F.col("__lo")) / step), F.lit(slices - 1))).otherwise(F.lit(0)).cast("int")
+        # each term is divided first: the difference of two very large values has no double
+        low, width = F.col("__lo") / F.lit(float(slices)), F.col("__hi") / F.lit(float(slices)) - F.col("__lo") / F.lit(float(slices))
+        part = F.when(F.col("__v") >= F.col("__hi"), F.lit(slices - 1)).when(F.col("__v") <= F.col("__lo"), F.lit(0)).when(
+            width > 0, F.least(F.floor((F.col("__v") / F.lit(float(slices)) - low) / width * slices), F.lit(slices - 1))).otherwise(F.lit(0)).cast("int")
         sliced = counted.join(spread, group).withColumn("__s", part)
         sums = sliced.groupBy(*group, "__s").agg(F.sum("__w").alias("__sw"))
         upto = Window.partitionBy(*group).orderBy("__s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -97,11 +114,16 @@ def exact_quantiles(
             *keys, inner.alias("__g"), "__v", "__w"))
         targets = targets.select(*keys, inner.alias("__g"), "__rank", "__base")
     inside = Window.partitionBy(*group).orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = counted.withColumn("__e", F.sum("__w").over(inside))
+    upto = counted.withColumn("__e", F.sum("__w").over(inside))
     rank = F.col("__rank") - F.col("__base")
-    found = targets.join(ends, group).where((rank < F.col("__e")) & (rank >= F.col("__e") - F.col("__w"))).select(*keys, "__rank", "__v")
+    found = targets.join(upto, group).where((rank < F.col("__e")) & (rank >= F.col("__e") - F.col("__w"))).select(*keys, "__rank", "__v")
+    found = found.unionByName(outside) if real else found
     low = found.select(*keys, F.col("__rank").alias("lo"), F.col("__v").alias("__l"))
     high = found.select(*keys, F.col("__rank").alias("hi"), F.col("__v").alias("__h"))
     both = asked.join(low, [*keys, "lo"]).join(high, [*keys, "hi"])
     part = F.col("at") - F.col("lo")
-    return both.select(*keys, "prob", (F.col("__l") + (F.col("__h") - F.col("__l")) * part).alias("quantile"))
+    between = F.col("__l") + (F.col("__h") - F.col("__l")) * part
+    if real:
+        endless = lambda c: F.isnan(c) | (F.abs(c) == F.lit(float("inf")))
+        between = F.when((part == 0) | endless("__l") & ~endless("__h"), F.col("__l")).when(endless("__h"), F.col("__h")).otherwise(between)
+    return both.select(*keys, "prob", between.alias("quantile"))

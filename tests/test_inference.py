@@ -69,6 +69,74 @@ def test_exact_quantiles_match_numpy(spark, slices):
             assert got[(k, p)] == pytest.approx(np.quantile(vs, p))
 
 
+@pytest.mark.parametrize("slices", [1, 3, 4096])
+def test_exact_quantiles_with_endless_values(spark, slices):
+    """NaN, infinities and ranges beyond a double in groups that are cut into slices."""
+    inf, nan = float("inf"), float("nan")
+    data = {"nan": [float(i) for i in range(60)] + [nan], "ends": [-inf, -inf, *map(float, range(40)), inf], "wide": [(-1.7e308, 1.7e308)[i % 2] * (1 - i / 99) for i in range(60)],
+            "all": [inf, nan, -inf], "close": [1.0 + i * 2.0**-52 for i in range(50)], "none": [nan] * 3}
+    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
+    df = spark.createDataFrame([(k, v) for k, vs in data.items() for v in vs], "k string, v double")
+    got = {(r["k"], r["prob"]): r["quantile"] for r in skew.exact_quantiles(df, ["k"], "v", probs, slices=slices, ordered=10).collect()}
+    for k, vs in data.items():
+        vs = sorted(vs, key=lambda v: (v != v, v))
+        for p in probs:
+            at = (len(vs) - 1) * p
+            low, high = vs[int(np.floor(at))], vs[int(np.ceil(at))]
+            want = low if at == np.floor(at) or not np.isfinite(low) and np.isfinite(high) else high if not np.isfinite(high) else low + (high - low) * (at - np.floor(at))
+            assert got[(k, p)] == pytest.approx(want, nan_ok=True)
+    ints = spark.createDataFrame([(i,) for i in range(101)], "v long")
+    assert [r["quantile"] for r in skew.exact_quantiles(ints, [], "v", [0.5], ordered=10).collect()] == [50.0]
+
+
+def test_drawn_counts_equal_numpy(spark):
+    """Draws as arrays against weights times blocks, with a last stratum cut short and a component that is missing."""
+    rng = np.random.default_rng(4)
+    lengths, frames, draws = [5, 2], 27, 40
+    rows = [("s", g, c, f, b, int(rng.integers(0, 90))) for g in ("On", "Not-on") for c in ("total", "background") for f in range(frames) for b in range(4)
+            if not (g == "On" and c == "background" and b == 3)]
+    counts = spark.createDataFrame(rows, "sample_id string, grp string, component string, frame int, bin int, n long")
+    blocks = rs.block_sums(counts, length=5).withColumn("length", F.lit(5)).unionByName(rs.block_sums(counts, length=2).withColumn("length", F.lit(2)))
+    plan = {"last_frame": F.lit(frames - 1), "stratum_frames": 10, "lengths": lengths, "draws": draws, "seed": 3}
+    picks = {(r["length"], r["stratum"]): r["picks"] for r in rs.block_picks(spark, **plan).collect()}
+    assert {k: len(v[0]) for k, v in picks.items()} == {(5, 0): 2, (5, 1): 2, (5, 2): 2, (2, 0): 5, (2, 1): 5, (2, 2): 4}
+    drawn = rs.drawn_counts(blocks, rs.block_picks(spark, **plan), ["sample_id", "grp"], stratum_frames=10)
+    for r in drawn.collect():
+        for side, component in (("t", "total"), ("b", "background")):
+            want = np.zeros(draws, int)
+            for stratum in range(3) if r["scope"] == "full" else [int(r["scope"][1:])]:
+                for d, chosen in enumerate(picks[r["length"], stratum]):
+                    for k in chosen:
+                        first = stratum * 10 + k * r["length"]
+                        want[d] += sum(n for _, g, c, f, b, n in rows if (g, c, b) == (r["grp"], component, r["bin"]) and first <= f < first + r["length"]
+                                       and (c != "total" or f % r["length"] != r["length"] - 1))
+            assert r[side] == want.tolist()
+    splits = rs.drawn_splits(drawn, ["sample_id", "grp", "length", "scope"], n_bins=6, width=0.1).collect()
+    assert len(splits) == 16 and all(len(r["bins"]) == 6 and len(r["fit"]) == draws for r in splits)
+    for r in splits:
+        t, b = np.array([x["t"] for x in r["bins"]], float), np.array([x["b"] for x in r["bins"]], float)
+        t, b = t / t.sum(axis=0), b / b.sum(axis=0)
+        beta = np.clip((t[4:] * b[4:]).sum(axis=0) / np.where((b[4:] ** 2).sum(axis=0) > 0, (b[4:] ** 2).sum(axis=0), np.nan), 0, 1)
+        for d, fit in enumerate(r["fit"]):
+            assert fit["beta"] is None or fit["beta"] == pytest.approx(beta[d])
+
+
+def test_bootstrap_groups_equal_numpy(spark):
+    rng = np.random.default_rng(5)
+    cells = [(g, f"{g}:{c % 2}", c) for g, n in (("a", 9), ("b", 1)) for c in range(100 * (g == "b"), 100 * (g == "b") + n)]
+    curves = [(g, c, b, float(rng.normal()), None if c == 3 else float(rng.normal())) for g, _, c in cells for b in range(3)]
+    w = rs.cell_weights(spark.createDataFrame([(s, c) for _, s, c in cells], "stratum string, cell int"), stratum="stratum", cell="cell", draws=30, seed=2)
+    weights = {r["cell"]: np.array(r["w"]) for r in w.collect()}
+    own = spark.createDataFrame([(g, c) for g, _, c in cells], "grp string, cell int")
+    got = rs.bootstrap_groups(spark.createDataFrame(curves, "grp string, cell int, bin int, x double, y double"), w.join(own, "cell"), group="grp", cell="cell",
+                              values=["x", "y"], cells_a_block=4).collect()
+    assert len(got) == 12 and all(sum(weights[c].sum() for g, _, c in cells if g == name) == 30 * n for name, n in (("a", 9), ("b", 1)))
+    for r in got:
+        at = 3 if r["name"] == "x" else 4
+        mine = [(weights[c[1]], c[at]) for c in curves if (c[0], c[2]) == (r["grp"], r["bin"]) and c[at] is not None]
+        assert r["means"] == pytest.approx((sum(w * v for w, v in mine) / sum(w for w, _ in mine)).tolist())
+
+
 def test_numbered_is_a_dense_order_for_one_hot_key(spark):
     df = spark.createDataFrame([("hot", i * 37 % 1009) for i in range(1009)] + [("b", 5), ("b", 1)], "k string, v int").repartition(7)
     out = skew.numbered(df, ["k"], ["v"]).orderBy("k", "v").collect()
