@@ -13,7 +13,7 @@ from stipple.session import cut_lineage
 
 EPSILON = 2.220446049250313e-16
 STATE_ROUNDS = 4  # values added between two written tables of states
-EXACT = "decimal(28,9)"
+EXACT = "decimal(28,9)"  # sums have decimal(30,9): a sum of decimals of 38 digits would lose its last digit
 
 
 def planned_comparisons(means: DataFrame) -> DataFrame:
@@ -35,45 +35,66 @@ def planned_comparisons(means: DataFrame) -> DataFrame:
     return pairs.withColumn("comparison_id", name)
 
 
-def exact_permutation(comparisons: DataFrame, key: str = "comparison_id") -> DataFrame:
-    """Two-sided exact permutation p of the difference of means over all partitions, for any number of values.
+def half_states(c: DataFrame, key: str) -> DataFrame:
+    """(key, half, size, left, n): how many subsets of a half of the values have a size and an exact sum.
 
-    Partitions are not listed but counted: value by value, each state (how many went left, their
-    exact sum) either takes the value or leaves it, and equal states are added up. Lists of equal or
-    rounded values thus stay small, and the states of one comparison are spread over tasks.
-    p = min(1, 2 * smaller tail) with a relative tolerance on ties; equal exact sums are ties.
+    Value by value each state either takes the value or leaves it, and equal states are added up: 2 ** (n / 2) rows at most.
     """
-    c = comparisons.select(
-        key, F.size("values_a").alias("na"), F.size("values_b").alias("nb"),
-        F.transform(F.concat("values_a", "values_b"), lambda v: F.round(v, 9).cast(EXACT)).alias("v"))
-    c = cut_lineage(c)
-    longest = c.agg(F.coalesce(F.max(F.size("v")), F.lit(0))).first()[0]
-    zero, wide = F.lit(0).cast("decimal(38,9)"), "decimal(38,9)"
-    states = c.select(key, F.lit(0).alias("size"), zero.alias("left"), F.lit(1).cast("decimal(38,0)").alias("n"))
-    values = c.select(key, "na", "v")
+    zero, wide = F.lit(0).cast("decimal(30,9)"), "decimal(30,9)"
+    middle = F.ceil(F.size("v") / 2).cast("int")
+    values = c.select(key, "na", "v", middle.alias("h"))
+    states = values.select(key, F.explode(F.array(F.lit(0), F.lit(1))).alias("half"), F.lit(0).alias("size"), zero.alias("left"),
+                           F.lit(1).cast("decimal(38,0)").alias("n"))
+    longest = values.agg(F.coalesce(F.max("h"), F.lit(0))).first()[0]
     for i in range(longest):
-        value = F.get("v", F.lit(i))
+        value = F.when(F.col("half") == 1, F.get("v", F.col("h") + i)).otherwise(F.when(F.col("h") > i, F.get("v", F.lit(i))))
         take = F.struct((F.col("size") + 1).alias("size"), (F.col("left") + value).cast(wide).alias("left"))
         leave = F.struct(F.col("size").alias("size"), F.col("left").alias("left"))
         grown = states.join(values, key).select(
-            key, "n", F.inline(F.when(value.isNull(), F.array(leave)).when(F.col("size") < F.col("na"), F.array(leave, take)).otherwise(F.array(leave))))
-        states = grown.groupBy(key, "size", "left").agg(F.sum("n").cast("decimal(38,0)").alias("n"))
+            key, "half", "n", F.inline(F.when(value.isNotNull() & (F.col("size") < F.col("na")), F.array(leave, take)).otherwise(F.array(leave))))
+        states = grown.groupBy(key, "half", "size", "left").agg(F.sum("n").cast("decimal(38,0)").alias("n"))
         if i % STATE_ROUNDS == STATE_ROUNDS - 1:
             states = cut_lineage(states)
+    return states
+
+
+def exact_permutation(comparisons: DataFrame, key: str = "comparison_id") -> DataFrame:
+    """Two-sided exact permutation p of the difference of means over all partitions.
+
+    Partitions are not listed: the effect grows with the exact sum of the values on the left, so a tail is the number of
+    subsets up to a sum. The subsets of each half of the values are counted by (size, sum), and the halves meet in the middle: for each subset of
+    one half a running count over the other, ordered by sum, gives the subsets that stay below the bound with it.
+    Rows are 2 ** (n / 2) at most instead of 2 ** n, and no running count spans more than the subsets of one size of a half.
+    p = min(1, 2 * smaller tail) with a relative tolerance on ties; equal exact sums are ties.
+    """
+    c = comparisons.select(
+        key, F.size("values_a").alias("na"), F.size("values_b").alias("nb"),
+        F.transform(F.concat("values_a", "values_b"), lambda v: F.round(v, 9).cast(EXACT)).alias("v"))
+    c = cut_lineage(c)
+    zero, wide = F.lit(0).cast("decimal(30,9)"), "decimal(30,9)"
     add = lambda s, v: (s + v).cast(wide)
     whole = c.withColumn("all", F.aggregate("v", zero, add)).withColumn("seen", F.aggregate(F.slice("v", F.lit(1), F.col("na")), zero, add))
-    ends = states.join(whole.drop("v"), key).where(F.col("size") == F.col("na"))
     na, nb = F.col("na").cast("double"), F.col("nb").cast("double")
-    effect = lambda s: s.cast("double") / na - (F.col("all") - s).cast("double") / nb
-    ends = ends.withColumn("x", effect(F.col("left"))).withColumn("obs", effect(F.col("seen")))
-    tol = F.lit(100 * EPSILON) * F.greatest(F.abs("obs"), F.lit(1.0))
-    tie = F.col("left") == F.col("seen")
-    some = lambda ok: F.sum(F.when(ok, F.col("n")).otherwise(0)).cast("double")
-    out = ends.groupBy(key).agg(
-        F.max("obs").alias("difference"), F.sum("n").cast("long").alias("partitions"),
-        some((F.col("x") <= F.col("obs") + tol) | tie).alias("lower"), some((F.col("x") >= F.col("obs") - tol) | tie).alias("upper"),
-        F.sum("n").cast("double").alias("__n"))
-    return out.select(key, "difference", "partitions", F.least(F.lit(1.0), 2.0 * F.least("lower", "upper") / F.col("__n")).alias("p_raw"))
+    obs = F.col("seen").cast("double") / na - (F.col("all") - F.col("seen")).cast("double") / nb
+    whole = whole.where("na > 0 and nb > 0").withColumn("difference", obs)
+    # the tolerance on the effect as a tolerance on sums, which are multiples of 1e-9
+    slack = F.lit(100 * EPSILON) * F.greatest(F.abs("difference"), F.lit(1.0)) / (1 / na + 1 / nb)
+    whole = cut_lineage(whole.select(key, "na", "difference", "seen", (F.floor(slack * 1e9).cast(wide) * F.lit("0.000000001").cast("decimal(10,9)")).cast(wide).alias("slack")))
+    states = cut_lineage(half_states(c, key))
+    count = "decimal(19,0)"
+    left = states.where("half = 0").select(key, "size", F.col("left").alias("at"), F.lit(0).alias("asks"), F.col("n").cast(count).alias("n"), F.lit(0).cast(count).alias("times"))
+    right = states.where("half = 1").join(whole, key).where(F.col("size") <= F.col("na"))
+    bounds = F.array(*[F.struct(F.lit(k).alias("asks"), b.cast(wide).alias("at")) for k, b in (
+        (1, F.col("seen") + F.col("slack") - F.col("left")), (2, F.col("seen") - F.col("slack") - F.lit("0.000000001").cast("decimal(10,9)") - F.col("left")),
+        (3, F.lit("9" * 20).cast(wide)))])
+    asked = right.select(key, (F.col("na") - F.col("size")).alias("size"), F.inline(bounds), F.lit(0).cast(count).alias("n"), F.col("n").cast(count).alias("times"))
+    upto = Window.partitionBy(key, "size").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = left.unionByName(asked.select(left.columns)).withColumn("below", F.sum("n").over(upto).cast(count)).where("asks > 0")
+    some = lambda k: F.coalesce(F.sum(F.when(F.col("asks") == k, F.col("below") * F.col("times")).cast("decimal(38,0)")), F.lit(0)).cast("decimal(38,0)")
+    out = met.groupBy(key).agg(some(1).alias("lower"), some(2).alias("under"), some(3).alias("all")).join(whole, key)
+    upper = F.col("all") - F.col("under")
+    tail = F.least(F.col("lower").cast("double"), upper.cast("double")) / F.col("all").cast("double")
+    return out.select(key, "difference", F.col("all").cast("long").alias("partitions"), F.least(F.lit(1.0), 2.0 * tail).alias("p_raw"))
 
 
 def holm(tests: DataFrame, p: str = "p_raw", key: str = "comparison_id", *, family: Sequence[str] = ()) -> DataFrame:

@@ -1,5 +1,6 @@
 """Exact tests, multiplicity, bootstrap units and quantiles."""
 
+import itertools
 import random
 
 import numpy as np
@@ -22,6 +23,32 @@ def test_exact_permutation(spark):
     assert nf.exact_permutation(comparison(spark, [1.0, 1.0, 1.0], [1.0, 1.0, 1.0])).first()["p_raw"] == 1.0
 
 
+def brute_p(a, b):
+    """Every partition, in whole multiples of 1e-9."""
+    values, na = [round(v * 10**9) for v in (*a, *b)], len(a)
+    seen, total, tails = sum(values[:na]), sum(values), [0, 0, 0]
+    for chosen in itertools.combinations(values, na):
+        s = sum(chosen)
+        tails[0] += s <= seen
+        tails[1] += s >= seen
+        tails[2] += 1
+    return seen / 1e9 / na - (total - seen) / 1e9 / len(b), tails[2], min(1.0, 2 * min(tails[:2]) / tails[2])
+
+
+def test_exact_permutation_meets_in_the_middle(spark):
+    """Sums that all differ, ties, lists of unequal length; the state table stays at 2 ** (n / 2)."""
+    rng = random.Random(6)
+    cases = [([round(rng.random(), 9) for _ in range(na)], [round(rng.random() * k, 9) for _ in range(nb)]) for na, nb, k in ((9, 9, 1.3), (3, 12, 1), (7, 10, 2), (1, 1, 1), (1, 8, 3))]
+    cases += [([1.0, 2.0, 2.0, 3.0], [2.0, 2.0, 5.0]), ([0.5] * 6, [0.5] * 5), ([-4.0, 1.5], [2.25, -7.0, 3.0]), ([1e6 + 0.1, 2e6], [3e6 + 0.3])]
+    df = spark.createDataFrame([(str(i), a, b) for i, (a, b) in enumerate(cases)], "comparison_id string, values_a array<double>, values_b array<double>")
+    for r in nf.exact_permutation(df).collect():
+        difference, partitions, p = brute_p(*cases[int(r["comparison_id"])])
+        assert r["partitions"] == partitions and r["p_raw"] == pytest.approx(p, rel=1e-12) and r["difference"] == pytest.approx(difference, rel=1e-9, abs=1e-9)
+    c = spark.createDataFrame([("x", 20, [round(rng.random(), 9) for _ in range(20)])], "comparison_id string, na int, v array<double>")
+    assert nf.half_states(c.withColumn("v", F.col("v").cast("array<decimal(28,9)>")), "comparison_id").count() == 2 * 2**10
+    assert nf.exact_permutation(df.limit(0)).collect() == []
+
+
 def test_holm(spark):
     df = spark.createDataFrame(list(zip("abcd", [0.01, 0.04, 0.03, 0.2])), "comparison_id string, p_raw double")
     assert [r["p_holm"] for r in nf.holm(df).orderBy("comparison_id").collect()] == pytest.approx([0.04, 0.09, 0.09, 0.2])
