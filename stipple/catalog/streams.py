@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from stipple.catalog.registry import R, query
@@ -67,6 +69,34 @@ def stream_distinct_events(t):
     return t.spark.read.parquet(folder).groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids"))
 
 
+FILES = 4
+
+
+def in_files(t, repeated: bool):
+    """The events as a stream of FILES files, one a batch. With ``repeated`` some ids stand twice in their file and some again in the next one."""
+    events = t.raw("events").withColumn("ts", F.col("ts").cast("timestamp"))
+    own = (F.col("event_id") % FILES).cast("int")
+    folder = scratch_folder(t.spark)
+    for k in range(FILES):
+        part = events.where(own == k)
+        if repeated:
+            part = part.unionByName(part.where("event_id % 7 = 0")).unionByName(events.where((own == k - 1) & (F.col("event_id") % 5 == 0)))
+        part.coalesce(1).write.parquet(f"{folder}/f{k}")
+    return st.read_events(t.spark, f"{folder}/*", events.schema, files_per_batch=1)
+
+
+@query("stream_duplicate_counts", "STR-3",
+       f"""WITH e AS (SELECT event_id, CAST(event_id % {FILES} AS BIGINT) AS batch FROM events), a AS (SELECT * FROM e UNION ALL SELECT * FROM e WHERE event_id % 7 = 0
+         UNION ALL SELECT event_id, batch + 1 FROM e WHERE event_id % 5 = 0 AND batch < {FILES - 1}),
+       f AS (SELECT event_id, min(batch) AS batch, count(*) FILTER (batch IS NOT NULL) AS n FROM a GROUP BY 1)
+       SELECT batch, arrived, kept, 0 AS late, arrived - kept AS duplicates FROM (SELECT batch, count(*) AS arrived FROM a GROUP BY 1) JOIN (SELECT batch, count(*) AS kept FROM f GROUP BY 1) USING (batch)""")
+def stream_duplicate_counts(t):
+    """Duplicates of every batch of a stream of several files, within a file and across files."""
+    stream = st.counted_distinct_events(in_files(t, True), delay="3650 days")
+    counts = st.run_counted(stream, scratch_folder(t.spark), f"duplicates-{uuid.uuid4().hex}")
+    return t.spark.createDataFrame(counts, "batch long, arrived long, kept long, late long, duplicates long")
+
+
 @query("stream_lag_pair_histogram", "STR-4",
        f"""WITH {HOURS} SELECT a.user_id % 12 AS sample_id, CAST(least(floor(abs(a.value - b.value) / 10.0), 29) AS INTEGER) AS bin, count(*) AS n
        FROM h a JOIN h b ON a.user_id % 12 = b.user_id % 12 AND a.frame + 1 = b.frame WHERE abs(a.value - b.value) <= 300 GROUP BY ALL""")
@@ -95,6 +125,6 @@ def stream_class_counts(t):
        f"""WITH c AS (SELECT user_id % 12 AS node, user_id AS sample, avg(value) AS m FROM events GROUP BY ALL) SELECT node, {R('avg(m)')} AS mean, count(*) AS samples FROM c GROUP BY 1""")
 def stream_node_refresh(t):
     folder = scratch_folder(t.spark)
-    p = live(t).select((F.col("user_id") % 12).alias("node"), F.col("user_id").alias("sample"), "value")
-    st.run_available(p, folder, sink=st.node_refresh_sink(f"{folder}-partials", folder, sample="sample", node="node", value="value"))
-    return st.latest_version(t.spark, folder, ["node"]).select("node", rounded(F.col("mean")).alias("mean"), "samples")
+    p = in_files(t, False).select((F.col("user_id") % 12).alias("node"), F.col("user_id").alias("sample"), "value")
+    st.run_available(p, folder, sink=st.keyed_refresh_sink(f"{folder}-state", f"{folder}-nodes", sample="sample", node="node", value="value"))
+    return t.spark.read.parquet(f"{folder}-nodes").select("node", rounded(F.col("mean")).alias("mean"), "samples")

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from time import sleep
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from stipple.functions.columns import bin_index
+from stipple.session import cut_lineage
 
 
 def read_events(spark: SparkSession, folder: str, schema, *, pattern: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -71,7 +74,7 @@ def pair_histogram_sink(folder: str, *, n_bins: int, upper: float) -> Callable[[
 
 
 def class_counts(points: DataFrame, *, time: str = "ts", delay: str = "1 hour", frame_length: str = "1 hour") -> DataFrame:
-    """Running counts per sample, frame and class; conserved at any time. For update mode.
+    """Running counts per sample, frame and class, conserved over the rows that come within the watermark. For update mode.
 
     A frame belongs to one time window, so its state is dropped once the watermark has passed the window.
     """
@@ -123,6 +126,86 @@ def node_refresh_sink(partials: str, nodes: str, *, sample: str, node: str, valu
     return sink
 
 
+def counted_distinct_events(events: DataFrame, *, key: str = "event_id", time: str = "ts", delay: str = "1 hour") -> DataFrame:
+    """``distinct_events`` with two observed metrics, rows that arrive and rows that are kept, for ``DuplicateCounter``."""
+    arrived = events.observe("arrived", F.count(F.lit(1)).alias("n"))
+    return distinct_events(arrived, key=key, time=time, delay=delay).observe("kept", F.count(F.lit(1)).alias("n"))
+
+
+class DuplicateCounter(StreamingQueryListener):
+    """Listener: per batch the rows that arrived, were kept, came behind the watermark, and the duplicates that remain."""
+
+    def __init__(self, name: str):
+        self.name, self.batches = name, {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        if p.name != self.name or "arrived" not in p.observedMetrics:
+            return
+        late = sum(op.numRowsDroppedByWatermark for op in p.stateOperators)
+        arrived, kept = p.observedMetrics["arrived"]["n"], p.observedMetrics["kept"]["n"]
+        if arrived or p.batchId not in self.batches:  # a batch without data may follow under the same number
+            self.batches[p.batchId] = (arrived, kept, late, arrived - kept - late)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+def run_counted(stream: DataFrame, folder: str, name: str) -> list[tuple[int, int, int, int, int]]:
+    """Process everything available; (batch, arrived, kept, late, duplicates) for each batch with rows."""
+    spark, counter = stream.sparkSession, DuplicateCounter(name)
+    spark.streams.addListener(counter)
+    try:
+        writer = stream.writeStream.queryName(name).outputMode("append").option("checkpointLocation", f"{folder}-checkpoint")
+        query = writer.trigger(availableNow=True).format("parquet").option("path", folder).start()
+        query.awaitTermination()
+        wanted = {p.batchId for p in query.recentProgress if p.numInputRows}
+        for _ in range(100):  # events arrive after the query has ended
+            if wanted <= set(counter.batches):
+                break
+            sleep(0.1)
+    finally:
+        spark.streams.removeListener(counter)
+    return [(b, *n) for b, n in sorted(counter.batches.items()) if n[0]]
+
+
+def keyed_refresh_sink(state: str, nodes: str, *, sample: str, node: str, value: str, buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """Equal-weight node means from running sums per (node, sample), kept by bucket of the node.
+
+    A batch reads and rewrites only the buckets of its own nodes. A bucket holds one row for each (node, sample) whatever the number of
+    batches, so what a batch reads does not grow with the stream. Each bucket names the last batch that it holds; a replayed
+    batch leaves such buckets as they are. ``nodes`` has the current mean of every node.
+    """
+
+    def sink(rows: DataFrame, batch: int) -> None:
+        spark = rows.sparkSession
+        bucket = F.pmod(F.xxhash64(node), F.lit(buckets)).cast("int").alias("bucket")
+        sums = cut_lineage(rows.groupBy(bucket, node, sample).agg(F.sum(value).alias("s"), F.count(value).alias("n")))
+        touched = [r["bucket"] for r in sums.select("bucket").distinct().collect()]  # at most ``buckets``
+        if not touched:
+            return
+        schema = ", ".join(f"`{c}` {sums.schema[c].dataType.simpleString()}" for c in (node, sample)) + ", s double, n long, batch long"
+        if batch == 0:
+            spark.createDataFrame([], schema + ", bucket int").write.mode("append").partitionBy("bucket").parquet(state)
+        stored = cut_lineage(spark.read.schema(schema + ", bucket int").parquet(state).where(F.col("bucket").isin(touched)))
+        done = stored.groupBy("bucket").agg(F.max("batch").alias("held")).where(F.col("held") >= batch).select("bucket")
+        new = sums.join(done, "bucket", "left_anti").select("bucket", node, sample, F.col("s").cast("double"), "n")
+        merged = stored.select("bucket", node, sample, "s", "n").unionByName(new).groupBy("bucket", node, sample).agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+        merged = cut_lineage(merged.withColumn("batch", F.lit(batch).cast("long")))
+        cells = merged.where("n > 0").groupBy("bucket", node, sample).agg((F.sum("s") / F.sum("n")).alias("mean"))
+        fresh = cells.groupBy("bucket", node).agg(F.avg("mean").alias("mean"), F.count("*").alias("samples"))
+        for rows_, folder in ((fresh, nodes), (merged, state)):  # the state last: it says that the batch is done
+            rows_.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(folder)
+
+    return sink
+
+
 def run_available(stream: DataFrame, folder: str, *, sink: Callable[[DataFrame, int], None] | None = None, mode: str = "append") -> None:
     """Process everything available and stop. The checkpoint beside the output makes restarts exact."""
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}-checkpoint").trigger(availableNow=True)

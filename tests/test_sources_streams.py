@@ -1,6 +1,7 @@
 """Readers, writers and streaming jobs in several micro-batches."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,3 +110,28 @@ def test_only_touched_nodes_are_refreshed(spark, tmp_path):
     versions = {(r["grp"], r["batch"]) for r in spark.read.parquet(out).collect()}
     assert len([v for v in versions if v[0] == "B"]) == 1 and len([v for v in versions if v[0] == "A"]) == 2
     assert {r["grp"]: (r["mean"], r["samples"]) for r in st.latest_version(spark, out, ["grp"]).collect()} == {"A": (2.0, 2), "B": (5.0, 1)}
+
+
+def test_refresh_reads_the_nodes_of_its_batch_only(spark, tmp_path):
+    """Rows held by a bucket do not grow with batches; a replayed batch changes nothing; untouched buckets keep their files."""
+    rng = random.Random(3)
+    state, nodes = f"{tmp_path}/state", f"{tmp_path}/nodes"
+    sink = st.keyed_refresh_sink(state, nodes, sample="sample", node="node", value="value", buckets=8)
+    seen, sizes = [], []
+    for batch in range(5):
+        rows = [(n, n * 10 + rng.randrange(3), rng.random()) for n in ([0, 1, 2, 3, 4, 5] if batch < 2 else [1, 2]) for _ in range(20)]
+        seen += rows
+        frame = spark.createDataFrame(rows, "node int, sample int, value double")
+        for _ in range(2 if batch in (1, 3) else 1):
+            sink(frame, batch)
+        sizes.append(spark.read.parquet(state).count())
+    assert sizes == [18] * 5
+    means = {}
+    for n, s, v in seen:
+        means.setdefault(n, {}).setdefault(s, []).append(v)
+    got = {r["node"]: (r["mean"], r["samples"]) for r in spark.read.parquet(nodes).collect()}
+    assert got == {n: (pytest.approx(sum(sum(v) / len(v) for v in m.values()) / len(m)), len(m)) for n, m in means.items()}
+    held = {r["node"]: r["batch"] for r in spark.read.parquet(state).collect()}
+    assert held[1] == held[2] == 4
+    touched = {r["bucket"] for r in spark.read.parquet(state).where("node in (1, 2)").select("bucket").collect()}
+    assert all(r["batch"] == 1 for r in spark.read.parquet(state).collect() if r["bucket"] not in touched)
