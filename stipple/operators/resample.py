@@ -19,6 +19,7 @@ from stipple.session import cut_lineage
 
 PERCENTILES = (0.025, 0.5, 0.975)  # Fixed value: reported percentiles of the draws.
 CELLS_A_BLOCK = 500
+BIN_PARTS = 8  # tasks over which the bins of a block of cells are spread
 PLAN_ROWS = 200  # rows of the block plan (100 KB each for 1,000 draws) up to which it is broadcast
 MIN_VALID = 0.95  # Fixed value: share of valid draws an interval needs.
 
@@ -62,18 +63,20 @@ def bootstrap_groups(curves: DataFrame, weights: DataFrame, *, group: str, cell:
     placed = weights.join(sizes, group).select(group, cell, "w", F.pmod(F.xxhash64(cell), "__n").alias("__b"))
     placed = cut_lineage(placed)
     matrix = placed.groupBy(group, "__b").agg(F.sort_array(F.collect_list(F.struct(F.col(cell).alias("c"), "w"))).alias("ws"))
+    matrix = matrix.select(group, "__b", F.col("ws.w").alias("ws"), F.explode(F.sequence(F.lit(0), F.lit(BIN_PARTS - 1))).alias("__s"))
     long = curves.select(group, cell, "bin", F.inline(F.array(*[F.struct(F.lit(v).alias("name"), F.col(v).cast("double").alias("v")) for v in values])))
     lists = long.join(placed.select(group, cell, "__b"), [group, cell]).groupBy(group, "__b", "name", "bin").agg(
         F.sort_array(F.collect_list(F.struct(F.col(cell).alias("c"), "v"))).alias("vs"))
-    both = F.zip_with("vs", "ws", lambda v, w: F.struct(v["v"].alias("v"), w["w"].alias("w")))
-    zero = F.transform(F.get("ws", F.lit(0))["w"], lambda w: F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n")))
-    add = lambda a, x: F.zip_with(a, x["w"], lambda p, w: F.struct(
-        (p["s"] + F.coalesce(x["v"], F.lit(0.0)) * w).alias("s"), (p["n"] + F.when(x["v"].isNotNull(), w).otherwise(0)).alias("n")))
-    parts = lists.join(matrix, [group, "__b"]).select(group, "name", "bin", F.aggregate(both, zero, add).alias("p"))
+    lists = lists.select(group, "__b", "name", "bin", F.col("vs.v").alias("vs"), F.pmod(F.xxhash64("name", "bin"), F.lit(BIN_PARTS)).cast("int").alias("__s"))
+    zero = F.transform(F.get("ws", F.lit(0)), lambda w: F.lit(0.0))
+    pairs = F.zip_with("vs", "ws", lambda v, w: F.struct(v.alias("v"), w.alias("w")))
+    there = F.filter(pairs, lambda x: x["v"].isNotNull())
+    num = F.aggregate(there, zero, lambda a, x: F.zip_with(a, x["w"], lambda p, w: p + x["v"] * w))
+    den = F.aggregate(there, zero, lambda a, x: F.zip_with(a, x["w"], lambda p, w: p + w))
+    parts = lists.join(matrix, [group, "__b", "__s"]).select(group, "name", "bin", F.struct(num.alias("s"), den.alias("n")).alias("p"))
     joined = parts.groupBy(group, "name", "bin").agg(F.collect_list("p").alias("ps"))
-    total = F.aggregate(F.slice("ps", 2, 1 << 30), F.get("ps", F.lit(0)), lambda a, x: F.zip_with(
-        a, x, lambda p, q: F.struct((p["s"] + q["s"]).alias("s"), (p["n"] + q["n"]).alias("n"))))
-    return joined.select(group, "name", "bin", F.transform(total, lambda p: F.when(p["n"] > 0, p["s"] / p["n"])).alias("means"))
+    total = lambda c: F.aggregate(F.slice("ps", 2, 1 << 30), F.get("ps", F.lit(0))[c], lambda a, x: F.zip_with(a, x[c], lambda p, q: p + q))
+    return joined.select(group, "name", "bin", F.zip_with(total("s"), total("n"), lambda s, n: F.when(n > 0, s / n)).alias("means"))
 
 
 def draw_percentiles(draws: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float] = PERCENTILES) -> DataFrame:
