@@ -313,12 +313,12 @@ final AS (SELECT block, y, x, false AS filled FROM kept UNION ALL SELECT block,
 
 @query("large_regions", "PIX-1", f"{P}, {FLOOD} SELECT * FROM kept")
 def large_regions(t):
-    return rg.keep_large(mask(t), ["block"], width=GRID, minimum=MIN_PX)
+    return rg.keep_large(mask(t), ["block"], width=GRID, height=GRID, minimum=MIN_PX)
 
 
 @query("filled_holes", "PIX-2", f"{P}, {FLOOD} SELECT * FROM holes")
 def filled_holes(t):
-    kept = rg.keep_large(mask(t), ["block"], width=GRID, minimum=MIN_PX)
+    kept = rg.keep_large(mask(t), ["block"], width=GRID, height=GRID, minimum=MIN_PX)
     return rg.enclosed_holes(kept, ["block"], height=GRID, width=GRID, limit=HOLE_PX)
 
 

@@ -81,6 +81,37 @@ def test_region_and_hole_limits(spark):
     assert rg.enclosed_holes(mask_of(spark, ring), ["block"], height=12, width=12).count() == 63
 
 
+@pytest.mark.parametrize("tile,side", [(2, 21), (8, 40)])
+def test_regions_of_many_tiles(spark, tile, side):
+    """Random images and a spiral that winds through every tile: labels equal those of a flood fill, whatever the tile."""
+    rng = np.random.default_rng(side)
+    spiral = np.zeros((side, side), bool)
+    y, x, dy, dx = 0, 0, 0, 1
+    for _ in range(side * side):
+        spiral[y, x] = True
+        ahead, beyond = (y + dy, x + dx), (y + 2 * dy, x + 2 * dx)
+        blocked = not (0 <= ahead[0] < side and 0 <= ahead[1] < side)
+        if blocked or (0 <= beyond[0] < side and 0 <= beyond[1] < side and spiral[beyond]):
+            dy, dx = dx, -dy
+            if not (0 <= y + dy < side and 0 <= x + dx < side) or spiral[y + dy, x + dx]:
+                break
+            continue
+        y, x = ahead
+    images = [rng.random((side, side)) < d for d in (0.3, 0.45, 0.6)] + [spiral]
+    for diagonal in (True, False):
+        rows = [(b, int(i), int(j)) for b, image in enumerate(images) for i, j in np.argwhere(image)]
+        mask = spark.createDataFrame(rows, "block int, y int, x int")
+        for height in (side, None) if diagonal else (side,):
+            got = rg.label_runs(rg.row_runs(mask, ["block"]), ["block"], width=side, height=height, diagonal=diagonal, tile=tile)
+            found = {(r.block, r.y, x): r.component for r in got.collect() for x in range(r.x0, r.x1 + 1)}
+            want = {}
+            for b, image in enumerate(images):
+                for region in flood(image, EIGHT if diagonal else FOUR):
+                    smallest = min(i * side + j for i, j in region)
+                    want.update({(b, i, j): smallest for i, j in region})
+            assert found == want
+
+
 def test_incomplete_window_is_unknown_not_empty(spark):
     frames = spark.createDataFrame([(0, 0, True), (1, 0, True), (2, 1, True), (3, 1, False)], "frame int, block int, participating boolean")
     b = px.block_validity(frames, window=2)
