@@ -6,7 +6,7 @@ import importlib
 
 from stipple.catalog.registry import ENTRIES, Entry
 
-MODULES = ("displacement", "hierarchy", "groups", "metrics", "pixels", "geometry", "inference", "sources", "streams")
+MODULES = ("displacement", "hierarchy", "saved", "groups", "metrics", "pixels", "geometry", "inference", "sources", "streams")
 
 
 def load() -> dict[str, Entry]:
