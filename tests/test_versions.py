@@ -71,7 +71,7 @@ def test_replicas_of_an_empty_and_a_faulty_group(spark):
     check = lambda df: vs.replica_violations(df, ["g"], replica="id", schema="v", config=["tau"], calibration=["dt"], positive=["dt"])
     got = {(r.g, r.id): r.message.split(";") for r in check(spark.createDataFrame(rows, schema)).collect()}
     assert got == {
-        (2, "x"): ["incomplete_config", "invalid_calibration", "invalid_sha256", "sha256_mismatch", "size_mismatch", "duplicate_input"],
+        (2, "x"): ["incomplete_config", "invalid_calibration", "invalid_sha256", "sha256_mismatch", "size_mismatch", "duplicate_input", "invalid_edges"],
         (2, "y"): ["incompatible_config", "parameter_mismatch", "invalid_calibration", "incompatible_calibration", "duplicate_input",
                    "invalid_edges", "incompatible_edges"]}
     assert check(spark.createDataFrame([], schema)).count() == 0
