@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from stipple.functions.columns import bin_index, finite
 from stipple.operators.skew import broadcast_if_small
+from stipple.session import cut_lineage
 
-HOT_FRAME_POINTS = 20_000
+HOT_TILE_POINTS = 20_000
 SAMPLE = "sample_id"
 FRAME_KEYS = [SAMPLE, "frame"]
 
@@ -44,38 +45,48 @@ def collapse(points: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 @dataclass(frozen=True)
 class Layout:
-    """What the pair join must know about the points: their extent and their dense frames."""
+    """What the pair join must know about the points: their extent, and the frames large enough to hold a full tile."""
 
     box: tuple[float, float, float, float]
     hot: DataFrame | None
+    hot_points: int
 
 
-def measure(points: DataFrame, *, hot_points: int = HOT_FRAME_POINTS) -> Layout:
-    """One aggregate pass: bounding box and largest frame; dense frames are listed only if there are any."""
+def measure(points: DataFrame, *, hot_points: int = HOT_TILE_POINTS) -> Layout:
+    """One aggregate pass: bounding box and largest frame; large frames are listed only if there are any."""
     sizes = points.where(has_place()).groupBy(*FRAME_KEYS).agg(
         F.count("*").alias("n"), F.min("x_um").alias("x0"), F.max("x_um").alias("x1"), F.min("y_um").alias("y0"), F.max("y_um").alias("y1"))
     top, *box = sizes.agg(F.max("n"), F.min("x0"), F.max("x1"), F.min("y0"), F.max("y1")).first()
     hot = None
     if (top or 0) > hot_points:
-        dense = sizes.where(F.col("n") > hot_points)
-        hot = broadcast_if_small(dense.select(
-            SAMPLE, F.col("frame").alias("hot_frame"), F.ceil(F.col("n") / hot_points).cast("int").alias("salts")))
-    return Layout(tuple(0.0 if v is None else v for v in box), hot)
+        hot = broadcast_if_small(sizes.where(F.col("n") > hot_points).select(SAMPLE, "frame"))
+    return Layout(tuple(0.0 if v is None else v for v in box), hot, hot_points)
 
 
-def _salts(df: DataFrame, hot: DataFrame, frame: Column, name: str) -> DataFrame:
-    picked = hot.select(F.col(SAMPLE).alias("__s"), F.col("hot_frame").alias("__f"), F.col("salts").alias(name))
-    joined = df.join(picked, (F.col(SAMPLE) == F.col("__s")) & (frame == F.col("__f")), "left")
-    return joined.drop("__s", "__f").withColumn(name, F.coalesce(F.col(name), F.lit(1)))
+TILE_KEYS = [SAMPLE, "f", "gx", "gy"]
 
 
-def near_pairs(spots: DataFrame, layout: Layout, *, lags: Sequence[int], max_distance: float) -> DataFrame:
-    """Pairs of collapsed points at most ``max_distance`` apart, frame f against f+lag for each lag.
+def full_tiles(a: DataFrame, b: DataFrame, layout: Layout) -> DataFrame:
+    """(sample, f, gx, gy, sa, sb): into how many parts the two sides of each full tile are cut.
+
+    Only points of large frames are counted; the counts combine before they move.
+    """
+    def counted(side: DataFrame, frame: Column, name: str) -> DataFrame:
+        large = layout.hot.select(F.col(SAMPLE).alias("__s"), F.col("frame").alias("__f"))
+        inside = side.join(large, (F.col(SAMPLE) == F.col("__s")) & (frame == F.col("__f")), "left_semi")
+        return inside.groupBy(*TILE_KEYS).agg(F.ceil(F.count("*") / layout.hot_points).cast("int").alias(name)).where(F.col(name) > 1)
+
+    both = counted(a, F.col("f"), "sa").join(counted(b, F.col("f") + F.col("lag"), "sb"), TILE_KEYS, "full")
+    return cut_lineage(both.select(*TILE_KEYS, F.coalesce("sa", F.lit(1)).alias("sa"), F.coalesce("sb", F.lit(1)).alias("sb")))
+
+
+def tiled_sides(spots: DataFrame, layout: Layout, *, lags: Sequence[int], max_distance: float) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides of the pair join and its keys.
 
     One join serves all lags: a right point is offered to each source frame it belongs to.
     Tiles have twice the reach as edge, so a point visits at most four, and none outside the
-    data's own extent. Dense frames are cut on both sides; each left part meets each right
-    part once. Right columns carry the suffix ``2``; join keys are made non-NULL so that both
+    data's own extent. Only a full tile is cut, on both sides: each left part meets each right
+    part once, and no point of another tile is copied. Right columns carry the suffix ``2``; join keys are made non-NULL so that both
     sides read the same collapsed shuffle.
     """
     edge = 2.0 * max_distance
@@ -94,18 +105,24 @@ def near_pairs(spots: DataFrame, layout: Layout, *, lags: Sequence[int], max_dis
     a = spots.withColumns({"f": source, "gx": tile(F.col("x_um")), "gy": tile(F.col("y_um"))}).drop("frame")
     b = spots.withColumn("lag", F.explode(F.array(*[F.lit(k) for k in lags])))
     b = b.withColumn("f", source - F.col("lag")).drop("frame").withColumn("gx", visits("x_um", x0, x1)).withColumn("gy", visits("y_um", y0, y1))
-    keys = [SAMPLE, "f", "gx", "gy"]
+    keys = list(TILE_KEYS)
     if layout.hot is not None:
         place = F.xxhash64("x_um", "y_um")
-        a = _salts(a, layout.hot, F.col("f"), "sa")
-        for i, k in enumerate(lags):
-            a = _salts(a, layout.hot, F.col("f") + k, f"sb{i}")
-        a = a.withColumn("sb", F.greatest(F.lit(1), *[F.col(f"sb{i}") for i in range(len(lags))])).drop(*[f"sb{i}" for i in range(len(lags))])
-        b = _salts(_salts(b, layout.hot, F.col("f"), "sa"), layout.hot, F.col("f") + F.col("lag"), "sb")
-        every_a, every_b = F.sequence(F.lit(0), F.col("sa") - 1), F.sequence(F.lit(0), F.col("sb") - 1)
-        a = a.withColumn("sa", F.pmod(place, "sa").cast("int")).withColumn("sb", F.explode(every_b))
-        b = b.withColumn("sb", F.pmod(place, "sb").cast("int")).withColumn("sa", F.explode(every_a))
+        tiles = broadcast_if_small(full_tiles(a, b, layout))
+
+        def cut(side: DataFrame, own: str, other: str) -> DataFrame:
+            parts = {c: F.coalesce(F.col(c), F.lit(1)) for c in (own, other)}
+            known = side.join(tiles, TILE_KEYS, "left").withColumns(parts)
+            return known.withColumn(own, F.pmod(place, own).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+
+        a, b = cut(a, "sa", "sb"), cut(b, "sb", "sa")
         keys += ["sa", "sb"]
+    return a, b, keys
+
+
+def near_pairs(spots: DataFrame, layout: Layout, *, lags: Sequence[int], max_distance: float) -> DataFrame:
+    """Pairs of collapsed points at most ``max_distance`` apart, frame f against f+lag for each lag."""
+    a, b, keys = tiled_sides(spots, layout, lags=lags, max_distance=max_distance)
     b = b.withColumnsRenamed({c: f"{c}2" for c in b.columns if c not in (*keys, "lag")})
     dx, dy = F.col("x_um") - F.col("x_um2"), F.col("y_um") - F.col("y_um2")
     # a sort-merge join spills and lets skewed partitions be split; file sizes say little about either side
@@ -124,7 +141,7 @@ def pair_counts(
     components: Sequence[str] = ("total", "background"),
     by_frame: bool = True,
     lag: int = 1,
-    hot_points: int = HOT_FRAME_POINTS,
+    hot_points: int = HOT_TILE_POINTS,
 ) -> DataFrame:
     """Distance histograms (sample_id, component, [frame,] bin, n), no zero rows.
 
@@ -189,7 +206,7 @@ def grouped_pair_counts(
     n_bins: int,
     valid_frames: DataFrame | None = None,
     groups: tuple[str, str] = ("On", "Not-on"),
-    hot_points: int = HOT_FRAME_POINTS,
+    hot_points: int = HOT_TILE_POINTS,
 ) -> DataFrame:
     """Per-frame pair counts split by group, from one lag join and one same-frame join.
 

@@ -113,3 +113,19 @@ def test_histogram_edges(spark):
     df = spark.createDataFrame([(i * edge,) for i in range(301)], "d double")
     got = [r[0] for r in df.select(bin_index(F.col("d"), 300, 3.0)).collect()]
     assert got[:300] == list(range(300)) and got[300] == 299
+
+
+def test_a_full_tile_copies_no_other_tile(spark):
+    """A dense spot in a wide, sparse field: only rows of tiles that it reaches are repeated, and the pairs stay the same."""
+    rng = random.Random(4)
+    data = [(1, f, rng.uniform(0, 60), rng.uniform(0, 60)) for f in range(3) for _ in range(150)]
+    data += [(1, f, rng.uniform(24.5, 25.5), rng.uniform(24.5, 25.5)) for f in (1, 2) for _ in range(90)]
+    df = points(spark, data)
+    spots = pr.collapse(df, pr.FRAME_KEYS)
+    plain, split = (pr.tiled_sides(spots, pr.measure(df, hot_points=h), lags=[1, 0], max_distance=1.0) for h in (10**6, 40))
+    near, dense = "gx between 11 and 13 and gy between 11 and 13", "gx = 12 and gy = 12"
+    for k in (0, 1):
+        assert split[k].where(f"not ({near})").count() == plain[k].where(f"not ({near})").count()
+        assert split[k].where(dense).count() > 2 * plain[k].where(dense).count()
+    tables = [pr.pair_counts(df, max_distance=1.0, n_bins=4, hot_points=h).collect() for h in (10**6, 40)]
+    assert sorted(map(tuple, tables[0])) == sorted(map(tuple, tables[1]))
