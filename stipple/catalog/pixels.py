@@ -81,6 +81,34 @@ def time_contract_violations(t):
     return px.contract_violations(faulty)
 
 
+@query("support_participants", "PRJ-28",
+       f"""{P}, q AS (SELECT block, frame FROM frame_map UNION ALL SELECT block + 1, frame FROM frame_map WHERE frame % 240 = 23),
+       u AS (SELECT CASE WHEN frame % 200 = 101 THEN block + 1 ELSE block END AS block, frame FROM frame_map WHERE frame % 90 <> 7 AND block % 8 <> 6
+         UNION ALL SELECT block, frame FROM frame_map WHERE frame % 150 = 31 AND frame % 90 <> 7 AND block % 8 <> 6),
+       o AS (SELECT coalesce(x.block, y.block) AS block, x.frame AS f, uses, y.frame AS asked, requests, m.frame AS mapped FROM
+         (SELECT block, frame, (SELECT count(*) FROM u v WHERE v.frame = u.frame) AS uses FROM u GROUP BY ALL) x
+         FULL JOIN (SELECT block, frame, (SELECT count(*) FROM q v WHERE v.frame = q.frame) AS requests FROM q GROUP BY ALL) y ON x.block = y.block AND x.frame = y.frame
+         LEFT JOIN frame_map m ON m.block = x.block AND m.frame = x.frame),
+       c AS (SELECT block, count(f) AS present, count(*) FILTER (f IS NULL) AS missing, count(*) FILTER (asked IS NULL) AS extra,
+         count(*) FILTER (uses > 1) AS repeated, count(*) FILTER (f IS NOT NULL AND mapped IS NULL) AS unmapped, count(*) FILTER (requests > 1) AS overlapping FROM o GROUP BY 1),
+       d AS (SELECT *, block % 9 <> 4 AS v, CASE WHEN block % 9 = 4 AND block % 2 = 0 THEN 'drift' ELSE '' END AS r, missing + extra > 0 OR present = 0 AS bad
+         FROM c WHERE block IN (SELECT block FROM frame_map))
+       SELECT block, present, missing, extra, repeated, unmapped, overlapping, v AND NOT bad AS valid,
+         CASE WHEN r <> '' THEN r WHEN bad THEN 'incomplete_support_block' WHEN NOT v THEN 'invalid_support_block' ELSE '' END AS reason,
+         concat_ws(';', CASE WHEN repeated > 0 THEN 'frame_repeated' END, CASE WHEN unmapped > 0 THEN 'map_disagrees' END, CASE WHEN overlapping > 0 THEN 'windows_overlap' END) AS message FROM d""")
+def support_participants(t):
+    """Frames that really took part, with some lost, some doubled, some under a wrong block and some windows that overlap."""
+    m = t.frame_map.select("block", "frame")
+    moved = F.when(F.col("frame") % 200 == 101, F.col("block") + 1).otherwise(F.col("block"))
+    here = m.where("frame % 90 <> 7 and block % 8 <> 6")
+    participants = here.withColumn("block", moved).unionByName(here.where("frame % 150 = 31"))
+    requested = m.unionByName(m.where("frame % 240 = 23").withColumn("block", F.col("block") + 1))
+    b = F.col("block")
+    declared = m.select("block").distinct().withColumns({
+        "valid": b % 9 != 4, "reason": F.when((b % 9 == 4) & (b % 2 == 0), "drift").otherwise("")})
+    return px.support_contract(m, participants, requested, declared)
+
+
 @query("support_counts", "AGG-16", f"{P} SELECT CAST(block AS INTEGER) AS block, y, x, support FROM sup")
 def support_counts(t):
     return support(t)

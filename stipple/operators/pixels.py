@@ -12,8 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stipple.functions.columns import ratio, remap_16bit
-from stipple.operators.skew import exact_quantiles
+from stipple.functions.columns import ratio, reasons, remap_16bit
+from stipple.operators.skew import exact_quantiles, with_totals
 
 PX_UM = 0.117  # Fixed value: pixel pitch in micrometres.
 MAD_SCALE = 0.6744897501960817  # Fixed value: normal consistency factor of the MAD.
@@ -261,3 +261,34 @@ def crop_box(region: DataFrame, *, height: int, width: int, margin: int = 10, by
     return region.groupBy(*by).agg(
         F.greatest(F.lit(0), F.min("x") - margin).alias("x0"), F.greatest(F.lit(0), F.min("y") - margin).alias("y0"),
         F.least(F.lit(width), F.max("x") + margin + 1).alias("x1"), F.least(F.lit(height), F.max("y") + margin + 1).alias("y1"))
+
+
+def support_contract(
+    frame_map: DataFrame, participants: DataFrame, requested: DataFrame, declared: DataFrame, *, by: Sequence[str] = ()
+) -> DataFrame:
+    """The verdict on each declared block (by, block): its frames against the map and the request, its validity and reason.
+
+    ``frame_map``, ``participants`` and ``requested`` hold (by, block, frame), ``declared`` (by, block, valid, reason). A block without all
+    its requested frames, or without any, is invalid whatever was declared, and an invalid block always has a reason.
+    """
+    keys = [*by, "block", "frame"]
+    frames = [*by, "frame"]
+    seen = with_totals(participants.select(*keys), frames, uses=F.count("*"))
+    asked = with_totals(requested.select(*keys), frames, requests=F.count("*"))
+    mapped = frame_map.select(*keys).distinct().withColumn("mapped", F.lit(True))
+    one = seen.groupBy(*keys).agg(F.max("uses").alias("uses")).join(mapped, keys, "left").join(
+        asked.groupBy(*keys).agg(F.max("requests").alias("requests")), keys, "full")
+    counted = one.groupBy(*by, "block").agg(
+        F.count("uses").alias("present"), F.count_if(F.col("uses").isNull()).alias("missing"), F.count_if(F.col("requests").isNull()).alias("extra"),
+        F.count_if(F.col("uses") > 1).alias("repeated"), F.count_if(F.col("uses").isNotNull() & F.col("mapped").isNull()).alias("unmapped"),
+        F.count_if(F.col("requests") > 1).alias("overlapping"))
+    n = {c: F.coalesce(c, F.lit(0)) for c in ("present", "missing", "extra", "repeated", "unmapped", "overlapping")}
+    out = declared.join(counted, [*by, "block"], "left").withColumns(n)
+    incomplete = (F.col("missing") > 0) | (F.col("extra") > 0) | (F.col("present") == 0)
+    valid = F.coalesce("valid", F.lit(False)) & ~incomplete
+    given = F.nullif(F.trim("reason"), F.lit(""))
+    reason = F.when(valid, F.coalesce(given, F.lit(""))).otherwise(
+        F.coalesce(given, F.when(incomplete, "incomplete_support_block").otherwise("invalid_support_block")))
+    broken = reasons([("frame_repeated", F.col("repeated") > 0), ("map_disagrees", F.col("unmapped") > 0),
+                      ("windows_overlap", F.col("overlapping") > 0), ("validity_not_declared", F.col("valid").isNull())])
+    return out.select(*by, "block", *n, valid.alias("valid"), reason.alias("reason"), F.array_join(broken, ";").alias("message"))
