@@ -337,6 +337,36 @@ def localization_table_violations(t):
     return ck.violation_counts(fits.join(detections, "uid", "left"), lb.table_expectations(), ["sample_id"])
 
 
+@query("detection_match_violations", "PRJ-14 JOIN-9 JOIN-10",
+       f"""WITH {POINTS}, k AS (SELECT *, CAST(split_part(uid, '-', 1) AS BIGINT) AS k FROM points)
+       SELECT sample_id, count(*) AS rows_n, "check", CASE "check" WHEN 'uid_suffix' THEN count(*) FILTER (k % 17 = 3)
+         WHEN 'detection_exists' THEN count(*) FILTER (k % 13 = 2) WHEN 'same_frame' THEN count(*) FILTER (k % 13 = 2 OR k % 11 = 4)
+         WHEN 'same_position' THEN count(*) FILTER (k % 13 = 2 OR k % 7 IN (2, 3)) ELSE count(*) FILTER (k % 19 = 5 AND NOT qc) END AS violations
+       FROM k CROSS JOIN (VALUES ('uid_suffix'), ('detection_exists'), ('same_frame'), ('same_position'), ('selected_implies_qc')) c("check") GROUP BY sample_id, c."check" """)
+def detection_match_violations(t):
+    """Fits against a detection table of its own: rows missing, frames moved, places off by more and by less than the tolerance."""
+    k = F.split("uid", "-")[0].cast("bigint")
+    off = F.when(k % 7 == 1, 5e-11).when(k % 7 == 2, 5e-10).otherwise(0.0)
+    detections = t.points.where(k % 13 != 2).select(
+        "uid", F.when(k % 11 == 4, F.col("frame") + 1).otherwise(F.col("frame")).alias("d_frame"), (F.col("x_px") + off).alias("d_x_px"),
+        (F.col("y_px") - F.when(k % 7 == 3, 2e-10).otherwise(0.0)).alias("d_y_px"))
+    fits = t.points.withColumns({
+        "spot_id": F.when(k % 17 == 3, "none").otherwise(F.element_at(F.split("uid", "-"), -1)), "selected": F.col("qc") | (k % 19 == 5)})
+    return ck.violation_counts(fits.join(detections, "uid", "left"), lb.table_expectations(), ["sample_id"])
+
+
+@query("flag_text_violations", "PRJ-5",
+       f"""WITH {POINTS}, q AS (SELECT sample_id, CASE CAST(split_part(uid, '-', 1) AS BIGINT) % 6 WHEN 0 THEN 'True' WHEN 1 THEN ' false ' WHEN 2 THEN 'yes' WHEN 3 THEN '' WHEN 4 THEN '1' ELSE 'no?' END AS flag FROM points)
+       SELECT sample_id, count(*) FILTER (flag IN ('True', '1')) AS true_n, count(*) FILTER (flag = ' false ') AS false_n,
+         count(*) FILTER (flag IN ('yes', '', 'no?')) AS bad_n FROM q GROUP BY 1""")
+def flag_text_violations(t):
+    """Flags as text in several spellings; what is neither true nor false is counted, not guessed."""
+    texts = F.array(*[F.lit(x) for x in ("True", " false ", "yes", "", "1", "no?")])
+    flag = strict_bool(F.get(texts, (F.split("uid", "-")[0].cast("bigint") % 6).cast("int")))
+    return t.points.groupBy("sample_id").agg(
+        F.count_if(flag).alias("true_n"), F.count_if(~flag).alias("false_n"), F.count_if(flag.isNull()).alias("bad_n"))
+
+
 FRAMES = f"""WITH {POINTS}, f AS (SELECT unnest(range(min(frame), max(frame) + 1)) AS frame FROM points),
   m AS (SELECT sample_id % 20 AS sample_id, frame, grp, qc, x_um, y_um, photons_e FROM points), s AS (SELECT DISTINCT sample_id FROM m),
   fc AS (SELECT s.sample_id, f.frame, count(*) FILTER (qc AND grp = 'On') AS "on", count(*) FILTER (qc AND grp = 'Not-on') AS not_on,
