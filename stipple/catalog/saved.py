@@ -11,7 +11,12 @@ from stipple.operators.curves import positive_summary
 from stipple.sources import versions as vs
 from stipple.sources.tables import scratch_folder
 
-LEFT, RIGHT = F.col("bin") / 64, (F.col("bin") + 1) / 64
+
+def edge(step: int = 0):
+    """The left edge of a bin, or with 1 the right one."""
+    return (F.col("bin") + step) / 64
+
+
 LAYOUTS = [
     vs.Layout("curve-v4", "/curves_v4/", "cell bigint, bin int, density double, left_um double, right_um double",
               {"cell": "cell", "bin": "bin", "mass": "density * (right_um - left_um)", "left_um": "left_um", "right_um": "right_um"},
@@ -33,13 +38,13 @@ def saved_curves(t) -> str:
     declared = F.when(F.col("cell") % 40 == 4, "curve-v3").otherwise(version)
     c = c.withColumn("schema_version", declared)
     own = lambda k: c.where(F.col("cell") % 4 == k)
-    right = F.when((F.col("cell") % 44 == 8) & (F.col("bin") == 7), LEFT).otherwise(RIGHT)
+    right = F.when((F.col("cell") % 44 == 8) & (F.col("bin") == 7), edge()).otherwise(edge(1))
     tables = {
         "curves_v4": own(0).where("not (cell % 36 = 12 and bin = 63)").select(
-            "cell", "bin", (F.col("mass") * 64).alias("density"), LEFT.alias("left_um"), right.alias("right_um"), "schema_version"),
+            "cell", "bin", (F.col("mass") * 64).alias("density"), edge().alias("left_um"), right.alias("right_um"), "schema_version"),
         "curves_v3": own(1).select(
             "cell", F.col("bin").alias("idx"), F.when(~((F.col("cell") % 28 == 5) & (F.col("bin") == 3)), F.col("mass")).alias("mass"),
-            (LEFT * 1000).alias("left_nm"), (RIGHT * 1000).alias("right_nm"), "schema_version"),
+            (edge() * 1000).alias("left_nm"), (edge(1) * 1000).alias("right_nm"), "schema_version"),
         "curves": own(2).select("cell", (F.col("bin") + 1).alias("number"), "mass", F.lit(1 / 64).alias("step_um"), "schema_version"),
         "curves_old": own(3).select("cell", "bin", "mass", "schema_version"),
     }
@@ -107,7 +112,7 @@ def summary_fallback(t):
     old.write.json(f"{folder}/old_summary")
     rows, _ = vs.read_layouts(t.spark, folder, SUMMARIES)
     saved = vs.newest_saved(rows, ["cell"], ["summary-v2", "summary-v1"])
-    curves = t.curves.select("cell", "bin", "value", LEFT.alias("left_um"), RIGHT.alias("right_um"), ((F.col("bin") + 0.5) / 64).alias("mid_um"))
+    curves = t.curves.select("cell", "bin", "value", edge().alias("left_um"), edge(1).alias("right_um"), ((F.col("bin") + 0.5) / 64).alias("mid_um"))
     again = positive_summary(curves.join(saved.select("cell"), "cell", "left_anti"), ["cell"], "value").select("cell", *SUMMARY)
     out = vs.completed(saved, again, ["cell"])
     return out.withColumns({c: F.round(c, 6) + 0.0 for c in SUMMARY})
