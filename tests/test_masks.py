@@ -199,3 +199,20 @@ def test_overlap_counts(spark):
     a, b = mask_of(spark, np.array([[1, 1, 0]])), mask_of(spark, np.array([[0, 1, 1]]))
     r = px.overlap(a, b, ["block"]).first()
     assert (r["intersection"], r["union"], r["added"], r["removed"]) == (1, 3, 1, 1) and r["iou"] == pytest.approx(1 / 3) and r["dice"] == 0.5
+
+
+def test_support_contract_names_each_fault(spark):
+    """Block 0 whole, 1 without a frame, 2 with a frame of another block, 3 with a doubled frame and no validity, 4 empty, 5 declared invalid."""
+    table = lambda rows: spark.createDataFrame(rows, "block int, frame int")
+    whole = [(b, 2 * b + i) for b in range(6) for i in (0, 1)]
+    used = [r for r in whole if r not in ((1, 3), (4, 8), (4, 9))] + [(2, 3), (3, 6)]
+    declared = spark.createDataFrame([(b, {3: None, 5: False}.get(b, True), " " if b else "") for b in range(6)], "block int, valid boolean, reason string")
+    got = {r.block: (r.missing, r.extra, r.valid, r.reason, r.message) for r in
+           px.support_contract(table(whole), table(used), table(whole + [(1, 0)]), declared).collect()}
+    bad = "incomplete_support_block"
+    assert got == {
+        0: (0, 0, True, "", "windows_overlap"), 1: (2, 0, False, bad, "windows_overlap"), 2: (0, 1, False, bad, "map_disagrees"),
+        3: (0, 0, False, "invalid_support_block", "frame_repeated;validity_not_declared"), 4: (2, 0, False, bad, ""),
+        5: (0, 0, False, "invalid_support_block", "")}
+    none = px.support_contract(*[table([])] * 3, declared.limit(0))
+    assert none.count() == 0
