@@ -120,6 +120,63 @@ def written(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def dealt(members: DataFrame, keys: list[str], block: int) -> DataFrame:
+    """The members of each key in pairs of blocks of about ``block`` rows, each pair of blocks once; ``n`` is the key's rows.
+
+    Adds i <= j, the pair, and own, the member's block of the two. ``id`` must name the member.
+    """
+    parts = F.ceil(F.col("n") / F.lit(block)).cast("int")
+    own = F.pmod(F.xxhash64(F.lit("block"), "id"), parts).cast("int")
+    spread = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    spread = spread.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "n")
+    return spread.repartition(*keys, "i", "j").sortWithinPartitions(*keys, "i", "j", "id")
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows with equal numbers in ``keys``, across batches."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = np.stack([batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False).astype(np.int64) for k in keys])
+        cut = np.r_[0, np.flatnonzero((values[:, 1:] != values[:, :-1]).any(axis=0)) + 1, batch.num_rows]
+        for first, end in zip(cut[:-1], cut[1:]):
+            key = tuple(values[:, first])
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(first, end - first))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+class Trees:
+    """Union-find over the labels that meet in one block."""
+
+    def __init__(self, labels: list):
+        order = {}
+        self.of = [order.setdefault(x, len(order)) for x in labels]
+        self.up = np.arange(len(order))
+
+    def roots(self) -> np.ndarray:
+        while (self.up[self.up] != self.up).any():
+            self.up = self.up[self.up]
+        return self.up[self.of]
+
+    def root(self, k: int) -> int:
+        x = self.of[k]
+        while self.up[x] != x:
+            x = self.up[x]
+        return int(x)
+
+    def join(self, k: int, m: int) -> bool:
+        """Whether the two were apart."""
+        x, y = self.root(k), self.root(m)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of the undirected links ``a``, ``b``; component is its smallest node.
 
