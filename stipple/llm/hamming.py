@@ -8,11 +8,11 @@ near signatures always share a key. Sets with a similarity of 0.75 differ in 16
 with a deviation of 3.5; more than 31 happens about once in 50,000 such pairs.
 
 Equal sets are one representative from the start. Within a key, all members are compared with the
-member that shares most keys with others, first; then, ROUNDS times, those of other components with a
-member drawn by hash, another one in each key; components that are left are then compared with
-one another in blocks of bounded size, so that only members of different components still meet and
-no task holds a whole key. Every candidate within the distance is confirmed on the full sets.
-Nothing is capped: what the first comparisons leave open, the blocks finish.
+member that shares most keys with others. Keys whose members are then in several components are dealt into
+blocks, and each two blocks meet in one group: no task holds a whole key. A pair of different components is looked at in
+the first key it shares; 16 bits of each shingle bound the intersection from above, so few pairs that are
+no links are left, and candidates are given as trees. Every candidate is confirmed on the full sets; where one is
+no link, its blocks meet once more and give all candidates that are still apart. Nothing is capped.
 
 Null texts and texts without words have no shingles and link to nothing. A null doc_id cannot be
 named as a partner: such rows are kept and stand alone with a null component. Rows repeated in
@@ -25,20 +25,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stipple.llm.registry import named, table
-from stipple.llm.shared import LOWER, byte_values, Prefixes, components, mixed, slices, with_short_batches, word_bounds, written
+from stipple.llm.shared import (LOWER, Prefixes, Trees, byte_values, components, dealt, groups, mixed, slices, with_short_batches,
+                                word_bounds, written)
 
 WORDS = 5
 SYMBOLS = 64
 CHUNK = 4
 MAX_DISTANCE = SYMBOLS // CHUNK * 2 - 1
 BLOCK = 512
-ROUNDS = 2
 _MULTIPLIERS = np.random.default_rng(7).integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEPS = np.random.default_rng(8).integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -118,6 +117,7 @@ def filed(reps: DataFrame) -> DataFrame:
                     for k in range(CHUNK):
                         if k != left_out:
                             key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, chunk * CHUNK + k])
+                    key = key & ~np.uint64(SYMBOLS - 1) | np.uint64(chunk * CHUNK + left_out)  # the symbol left out can be read
                     keys.append(key.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.tile(rep, len(keys)))],
                                              names=["key", "rep"])
@@ -141,6 +141,12 @@ def near_signatures(pairs: DataFrame, reps: DataFrame, max_distance: int) -> Dat
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(near, "a long, b long")
 
 
+def of_sets(wanted: DataFrame, docs: DataFrame, one: DataFrame) -> DataFrame:
+    """id, text and set hash of the documents in question; of repeated ids every text comes."""
+    keyed = wanted.join(one, wanted["id"] == one["doc_id"]).select("id", "n_shingles", "hash_a", "hash_b")
+    return docs.join(keyed, docs["__id"] == keyed["id"]).select("id", "__text", "n_shingles", "hash_a", "hash_b")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, one: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs with 100 * intersection >= percent * union, on the whole shingle sets.
 
@@ -167,9 +173,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, one: DataFrame, percent: int) -
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    keyed = wanted.join(one, wanted["id"] == one["doc_id"]).select("id", "n_shingles", "hash_a", "hash_b")
-    texts = docs.join(keyed, docs["__id"] == keyed["id"]).select("id", "__text", "n_shingles", "hash_a", "hash_b")
-    made = written(texts.mapInArrow(sets, "id long, set binary"))
+    made = written(of_sets(wanted, docs, one).mapInArrow(sets, "id long, set binary"))
     left = made.select(F.col("id").alias("a"), F.col("set").alias("x"))
     right = made.select(F.col("id").alias("b"), F.col("set").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
@@ -186,10 +190,117 @@ def labelled(members: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def still_open(members: DataFrame, found: DataFrame) -> DataFrame:
-    """key, rep, n, component of the keys whose members are in more than one component."""
+    """key, id, n, component of the keys whose members are in more than one component."""
     placed = labelled(members.select("key", "rep", "n"), found)
     split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    return written(placed.join(split.select("key"), "key", "left_semi"))
+    return written(placed.join(split.select("key"), "key", "left_semi").withColumnRenamed("rep", "id"))
+
+
+def digests(members: DataFrame, docs: DataFrame, one: DataFrame) -> DataFrame:
+    """id and 16 bits of every shingle of the members' sets, in order: they bound an intersection from above."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, at in slices(batch, "__text"):
+                values = list(shingle_sets(data, at))
+                chosen = [set_hash(v) == k for v, k in zip(values, zip(*(part.column(i).to_pylist() for i in (2, 3, 4))))]
+                short = [(v >> np.uint64(48)).astype(np.uint16).tobytes() for v in values]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(short, pa.binary())], names=["id", "digest"]).filter(
+                    pa.array(chosen, pa.bool_()))
+
+    return written(of_sets(members.select("id").distinct(), docs, one).mapInArrow(cut, "id long, digest binary").dropDuplicates(["id"]))
+
+
+def first_slot(differs: np.ndarray) -> np.ndarray:
+    """Per pair the symbol left out in the first key that both share; SYMBOLS where they share none."""
+    per_chunk = differs.reshape(len(differs), -1, CHUNK)
+    few = per_chunk.sum(axis=2) <= 1
+    chunk = few.argmax(axis=1)
+    slot = chunk * CHUNK + per_chunk[np.arange(len(differs)), chunk].argmax(axis=1)
+    return np.where(few.any(axis=1), slot, SYMBOLS)
+
+
+def counted(short: np.ndarray) -> np.ndarray:
+    """The values of a sorted array, equal ones told apart by their count."""
+    first = np.r_[True, short[1:] != short[:-1]]
+    at = np.flatnonzero(first)
+    nth = np.arange(len(short)) - np.repeat(at, np.diff(np.r_[at, len(short)]))
+    return short.astype(np.int64) << 32 | nth
+
+
+def met_in_blocks(blocks: DataFrame, percent: int, max_distance: int, trees: bool) -> DataFrame:
+    """Candidate pairs of different components with the blocks (key, i, j) they met in.
+
+    A pair is a candidate in the first key it shares, within ``max_distance``, where the digests
+    don't rule out the similarity. With ``trees`` a pair whose members are already joined by other
+    candidates of the same blocks is left out; that stands if those candidates are confirmed.
+    """
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, ["key", "i", "j"]):
+            group = group.combine_chunks()
+            key, i, j = (group[c][0].as_py() for c in ("key", "i", "j"))
+            slot = key & (SYMBOLS - 1)
+            ids, own = group["id"].to_numpy(), group["own"].to_numpy()
+            sig = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+            short = [np.frombuffer(x, np.uint16) for x in group["digest"].to_pylist()]
+            sizes = np.array([len(x) for x in short])
+            joined, counts, single = Trees(group["component"].to_pylist()), None, {}
+            roots, a, b = joined.roots(), [], []
+            for k in range(len(ids) - 1):
+                rest = np.arange(k + 1, len(ids))
+                rest = rest[(roots[rest] != roots[k]) & ((own[rest] != own[k]) | (i == j))]
+                rest = rest[100 * np.minimum(sizes[rest], sizes[k]) >= percent * np.maximum(sizes[rest], sizes[k])]
+                if not len(rest):
+                    continue
+                differs = sig[rest] != sig[k]
+                rest = rest[(differs.sum(axis=1) <= max_distance) & (first_slot(differs) == slot)]
+                if not len(rest):
+                    continue
+                if counts is None:
+                    counts = np.stack([np.bincount(x >> 6, minlength=1024) for x in short]).astype(np.int32)
+                most = np.minimum(counts[rest], counts[k]).sum(axis=1)
+                for m in rest[100 * most >= percent * (sizes[rest] + sizes[k] - most)].tolist():
+                    if trees and joined.root(k) == joined.root(m):
+                        continue
+                    for x in (k, m):
+                        if x not in single:
+                            single[x] = counted(short[x])
+                    both = len(np.intersect1d(single[k], single[m], assume_unique=True))
+                    if 100 * both >= percent * (sizes[k] + sizes[m] - both):
+                        a.append(ids[k])
+                        b.append(ids[m])
+                        if trees:
+                            joined.join(k, m)
+                if trees:
+                    roots = joined.roots()
+            if a:
+                fixed = [pa.array(np.full(len(a), v)) for v in (key, i, j)]
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), *fixed], names=["a", "b", "key", "i", "j"])
+
+    chosen = blocks.select("key", "i", "j", "own", "id", "component", "sig", "digest")
+    return with_short_batches(chosen).mapInArrow(meet, "a long, b long, key long, i long, j long")
+
+
+def late_links(open_: DataFrame, reps: DataFrame, docs: DataFrame, one: DataFrame, found: DataFrame, percent: int,
+               max_distance: int) -> DataFrame:
+    """Links that tie the components of each open key together; open_: key, id, component, n.
+
+    Blocks give trees of candidates, which are confirmed on full sets. Blocks with a candidate that is
+    no link meet once more and then give every candidate between components that are still apart.
+    """
+    material = digests(open_, docs, one).join(reps.select(F.col("rep").alias("id"), "sig"), "id")
+    pairs = written(met_in_blocks(dealt(open_.join(material, "id"), ["key"], BLOCK), percent, max_distance, True))
+    links = written(confirmed(pairs.select("a", "b"), docs, one, percent))
+    failed = written(pairs.join(links, ["a", "b"], "left_anti").select("key", "i", "j").distinct())
+    if failed.isEmpty():
+        return links
+    now = components(links.union(found.select("node", "component")))
+    again = labelled(open_.join(failed.select("key").distinct(), "key", "left_semi").withColumnRenamed("id", "rep").drop("component"), now)
+    again = again.withColumnRenamed("rep", "id").join(material, "id")
+    blocks = dealt(again, ["key"], BLOCK, only=failed)
+    more = written(met_in_blocks(blocks, percent, max_distance, False))
+    return links.union(confirmed(more.select("a", "b"), docs, one, percent))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75,
@@ -214,46 +325,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = written(confirmed(written(near_signatures(in_order(star), reps, max_distance)), texts, one, percent))
     found = components(links)
 
-    for turn in range(ROUNDS):
-        open_ = still_open(members, found)
-        pivot = open_.groupBy("key").agg(F.max(F.struct(
-            F.xxhash64(F.lit(turn), "key", "rep").alias("h"), F.col("rep").alias("pivot"), F.col("component").alias("of"))).alias("p"))
-        pairs = open_.join(pivot.select("key", "p.pivot", "p.of"), "key").where("component <> of")
-        pairs = in_order(pairs.select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
-        links = written(links.union(confirmed(written(near_signatures(pairs, reps, max_distance)), texts, one, percent)))
-        found = components(links)
     open_ = still_open(members, found)
-    parts = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    block = F.pmod(F.xxhash64("component", "rep"), parts).cast("int")
-    spread = open_.select("key", "rep", "component", parts.alias("parts"), block.alias("block"))
-    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    spread = spread.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                           "block", "rep", "component").join(reps.select("rep", "sig"), "rep")
-
-    def meet(group: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(group["i"].iat[0]), int(group["j"].iat[0])
-        group = group.sort_values("rep")
-        sig = np.frombuffer(b"".join(group["sig"]), np.uint16).reshape(-1, SYMBOLS)
-        rep, component, own = group["rep"].to_numpy(), group["component"].to_numpy(), group["block"].to_numpy()
-        a, b = [], []
-        for k in range(len(rep) - 1):
-            rest = slice(k + 1, None)
-            fit = component[rest] != component[k]
-            if i != j:
-                fit &= own[rest] != own[k]
-            if fit.any():
-                fit &= (sig[rest] != sig[k]).sum(axis=1) <= max_distance
-                hit = np.flatnonzero(fit) + k + 1
-                a.append(np.full(len(hit), rep[k]))
-                b.append(rep[hit])
-        if not a:
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-    late = spread.groupBy("key", "i", "j").applyInPandas(meet, "a long, b long").distinct()
-    more = written(confirmed(written(late), texts, one, percent))
+    more = written(late_links(open_, reps, texts, one, found, percent, max_distance))
     if not more.isEmpty():
-        found = components(links.union(more))
+        found = components(more.union(found.select("node", "component")))
     final = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         *by_set, F.coalesce("component", "rep").alias("of_set"))
     named_rows = one.join(final, by_set, "left").select(

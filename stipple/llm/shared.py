@@ -120,15 +120,18 @@ def written(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
-def dealt(members: DataFrame, keys: list[str], block: int) -> DataFrame:
+def dealt(members: DataFrame, keys: list[str], block: int, only: DataFrame | None = None) -> DataFrame:
     """The members of each key in pairs of blocks of about ``block`` rows, each pair of blocks once; ``n`` is the key's rows.
 
-    Adds i <= j, the pair, and own, the member's block of the two. ``id`` must name the member.
+    Adds i <= j, the pair, and own, the member's block of the two. ``id`` must name the member. ``only`` lists
+    the pairs of blocks wanted, with their keys.
     """
     parts = F.ceil(F.col("n") / F.lit(block)).cast("int")
     own = F.pmod(F.xxhash64(F.lit("block"), "id"), parts).cast("int")
     spread = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     spread = spread.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "n")
+    if only is not None:
+        spread = spread.join(only, [*keys, "i", "j"], "left_semi")
     return spread.repartition(*keys, "i", "j").sortWithinPartitions(*keys, "i", "j", "id")
 
 
