@@ -34,8 +34,9 @@ def hash_sql(*parts: str) -> str:
        SELECT condition, bin, count(*) AS draws, {R('quantile_cont(v, 0.025)')} AS p2_5, {R('quantile_cont(v, 0.5)')} AS p50, {R('quantile_cont(v, 0.975)')} AS p97_5 FROM d GROUP BY ALL""")
 def cell_bootstrap_bands(t):
     cells = t.raw("embeddings").select(F.col("vec_id").alias("cell"), F.col("label").alias("br"))
-    picks = rs.cell_draws(cells, stratum="br", cell="cell", draws=DRAWS, seed=SEED)
-    means = rs.bootstrap_mean_curves(t.curves, picks, keys=["condition"], cell="cell", value="value")
+    picks = rs.cell_picks(cells, stratum="br", cell="cell", draws=DRAWS, seed=SEED)
+    sums = rs.drawn_means(t.curves, picks, group="condition", cell="cell", keys=["bin"], value="value", draws=DRAWS)
+    means = sums.where("weight > 0").select("condition", "bin", "draw", F.when(F.col("valid") > 0, F.col("total") / F.col("weight")).alias("value"))
     return round_all(rs.draw_percentiles(means, ["condition", "bin"], "value"), "p2_5", "p50", "p97_5")
 
 
@@ -58,17 +59,17 @@ def cell_bootstrap_curves(t):
     curves = cut_lineage(curves.select("br", F.col("sample_id").alias("cell"), "bin", "total", "inter", "intra", "beta"))
     stratum = F.concat_ws(":", "br", F.col("cell") % REPLICATES).alias("stratum")
     cells = cut_lineage(curves.select("br", "cell", stratum).distinct())
-    w = cut_lineage(rs.cell_weights(cells.select("stratum", "cell"), stratum="stratum", cell="cell", draws=DRAWS, seed=SEED).join(cells, ["stratum", "cell"]))
-    means = rs.bootstrap_groups(curves, w.select("br", "cell", "w"), group="br", cell="cell", values=["total", "inter", "intra"])
-    beta = curves.groupBy("br", "cell").agg(F.max("beta").alias("beta")).withColumn("bin", F.lit(None).cast("int"))
-    means = means.unionByName(rs.bootstrap_groups(beta, w.select("br", "cell", "w"), group="br", cell="cell", values=["beta"]))
-    ends = rs.over_sorted(F.col("means"), lambda x: F.struct(F.size(x).alias("draws"), *[
-        rs.array_quantile(x, p).alias(n) for n, p in zip(("p2_5", "p50", "p97_5"), rs.PERCENTILES)]))
-    out = means.select("br", "name", "bin", ends.alias("e")).join(cells.groupBy("br").agg(F.count("*").alias("n_cells")), "br")
+    picks = rs.cell_picks(cells, stratum="stratum", cell="cell", draws=DRAWS, seed=SEED)
+    each = F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in ("total", "inter", "intra")])
+    beta = curves.groupBy("br", "cell").agg(F.max("beta").alias("value")).select("br", "cell", F.lit("beta").alias("name"), F.lit(None).cast("int").alias("bin"), "value")
+    long = curves.select("br", "cell", "bin", F.inline(each)).select("br", "cell", "name", "bin", "value").unionByName(beta)
+    sums = rs.drawn_means(long, picks, group="br", cell="cell", keys=["name", "bin"], value="value", draws=DRAWS)
+    means = sums.withColumn("m", F.when(F.col("valid") > 0, F.col("total") / F.col("valid")))
+    out = rs.draw_percentiles(means, ["br", "name", "bin"], "m").join(cells.groupBy("br").agg(F.count("*").alias("n_cells")), "br")
     many = F.col("n_cells") >= 2
-    told = {n: F.when(many, F.col(f"e.{n}")) for n in ("p2_5", "p50", "p97_5")}
+    told = {n: F.when(many, F.col(n)) for n in ("p2_5", "p50", "p97_5")}
     status = F.when(many, "cell_bootstrap").otherwise("single_cell_no_interval").alias("status")
-    return round_all(out.select("br", "n_cells", status, "name", "bin", F.when(many, F.col("e.draws")).otherwise(0).cast("long").alias("draws"),
+    return round_all(out.select("br", "n_cells", status, "name", "bin", F.when(many, F.col("draws")).otherwise(0).cast("long").alias("draws"),
                                 *[c.alias(n) for n, c in told.items()]), *told)
 
 

@@ -9,6 +9,9 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +22,7 @@ from stipple.session import cut_lineage
 
 PERCENTILES = (0.025, 0.5, 0.975)  # Fixed value: reported percentiles of the draws.
 CELLS_A_BLOCK = 500
+SLOT_TASKS = 64  # tasks that make the draws; a slot is one row until then
 BIN_PARTS = 8  # tasks over which the bins of a block of cells are spread
 PLAN_ROWS = 200  # rows of the block plan (100 KB each for 1,000 draws) up to which it is broadcast
 MIN_VALID = 0.95  # Fixed value: share of valid draws an interval needs.
@@ -29,13 +33,59 @@ def cell_draws(cells: DataFrame, *, stratum: str, cell: str, draws: int, seed: i
 
     Every stratum is resampled with replacement to its own size.
     """
+    return cell_picks(cells, stratum=stratum, cell=cell, draws=draws, seed=seed).groupBy("draw", stratum, cell).agg(F.count("*").alias("w"))
+
+
+def cell_picks(cells: DataFrame, *, stratum: str, cell: str, draws: int, seed: int) -> DataFrame:
+    """The cell that each slot of each draw picks: (draw, stratum, cell)."""
     placed = numbered(cells.select(stratum, cell), [stratum], [cell], "__i")
     size = placed.groupBy(stratum).agg(F.count("*").alias("__n"))
-    slots = placed.join(size, stratum).select(stratum, "__n", (F.col("__i") - 1).alias("slot"),
-                                              F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    slots = placed.join(size, stratum).select(stratum, "__n", (F.col("__i") - 1).alias("slot"))
+    slots = cut_lineage(slots).repartition(SLOT_TASKS).select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
     pick = (F.pmod(hash_int(F.lit(seed), F.col("draw"), F.col(stratum), F.col("slot")), "__n") + 1).alias("__i")
-    counted = slots.groupBy("draw", stratum, pick).agg(F.count("*").alias("w"))
-    return counted.join(placed, [stratum, "__i"]).select("draw", stratum, cell, "w")
+    return slots.select("draw", stratum, pick).join(placed, [stratum, "__i"]).select("draw", stratum, cell)
+
+
+def drawn_means(curves: DataFrame, picks: DataFrame, *, group: str, cell: str, keys: Sequence[str], value: str, draws: int) -> DataFrame:
+    """Sums of every draw: (group, keys, draw, total, weight, valid), with ``weight`` over all picked rows and ``valid`` over those with a value.
+
+    ``curves`` has (group, cell, keys, value), ``picks`` (draw, cell). The cells of a group are dealt into blocks of about ``CELLS_A_BLOCK``; the picks and the
+    values of a block meet in one task as two matrices, whose product is the block's part of every draw. Neither draws nor weights are
+    joined to bins, and the parts are added by Spark.
+    """
+    here = curves.select(group, cell).distinct()
+    sizes = here.groupBy(group).agg((1 + F.floor(F.count("*") / CELLS_A_BLOCK)).alias("__n"))
+    dealt = cut_lineage(here.join(sizes, group).select(group, cell, F.pmod(F.xxhash64(cell), "__n").alias("__b")))
+    left = picks.select(cell, F.col("draw").cast("int").alias("draw")).join(dealt, cell)
+    left = left.select(F.col(group).alias("__g"), F.col("__b").alias("__c"), cell, "draw")  # own names: both sides hold ``dealt``
+    right = curves.join(dealt, [group, cell]).select(group, "__b", cell, *keys, F.col(value).cast("double").alias("__v"))
+    fields = curves.select(group, *keys).schema
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", draw int, total double, weight double, valid double"
+
+    def product(key, picked, given):
+        if not picked.num_rows or not given.num_rows:
+            return pa.table([pa.array([], t) for t in (key[0].type, *[given.schema.field(k).type for k in keys], pa.int32(), *[pa.float64()] * 3)],
+                            names=[group, *keys, "draw", "total", "weight", "valid"])
+        names = pc.unique(given.column(cell))
+        weights = np.bincount(np.asarray(pc.index_in(picked.column(cell), names)).astype(np.int64) * draws + picked.column("draw").to_numpy(),
+                              minlength=len(names) * draws).reshape(len(names), draws).astype(float).T
+        at = np.zeros(given.num_rows, dtype=np.int64)
+        for k in keys:
+            values = pc.unique(given.column(k))
+            at = at * (len(values) + 1) + np.asarray(pc.index_in(given.column(k), values)).astype(np.int64)
+        _, first, column = np.unique(at, return_index=True, return_inverse=True)
+        row, v = np.asarray(pc.index_in(given.column(cell), names)).astype(np.int64), given.column("__v")
+        there = np.asarray(v.is_valid()).astype(float)
+        spot, shape = row * len(first) + column, (len(names), len(first))
+        dense = lambda w: np.bincount(spot, w, shape[0] * shape[1]).reshape(shape)
+        parts = [(weights @ dense(w)).ravel() for w in (np.asarray(v.fill_null(0.0)), np.ones(len(there)), there)]
+        tiled = np.tile(first, draws)
+        return pa.table([pa.array([key[0].as_py()] * len(tiled), key[0].type), *[given.column(k).take(pa.array(tiled)) for k in keys],
+                         pa.array(np.repeat(np.arange(draws, dtype=np.int32), len(first))), *map(pa.array, parts)],
+                        names=[group, *keys, "draw", "total", "weight", "valid"])
+
+    parts = left.groupBy("__g", "__c").cogroup(right.groupBy(group, "__b")).applyInArrow(product, out)
+    return parts.groupBy(group, *keys, "draw").agg(*[F.sum(c).alias(c) for c in ("total", "weight", "valid")])
 
 
 def bootstrap_mean_curves(curves: DataFrame, picks: DataFrame, *, keys: Sequence[str], cell: str, value: str) -> DataFrame:
