@@ -64,3 +64,25 @@ def test_dense_movies_make_no_row_per_pair(spark, hot):
                 for bin_ in np.flatnonzero(h[i, j]):
                     want[name, ("On", "Not-on")[i], k, int(bin_)] = int(h[i, j, bin_]) * (2 if name == "same_cross_background" else 1)
     assert got == want
+
+
+@pytest.mark.parametrize("ys", [np.arange(30) * 0.1, np.round(np.linspace(900, 105_000, 4_000), 2) / 35_000, np.array([0.5])])
+def test_equal_weights_are_taken_together(ys):
+    rng = np.random.default_rng(8)
+    a, b = side(rng, 700, np.arange(1, 51) * 0.06, ys), side(rng, 650, np.arange(1, 51) * 0.06, ys)
+    for left, right in ((a, b), (a, a)):
+        assert np.array_equal(dp.by_class(left, right, 30, 3.0), dp.by_point(left, right, 30, 3.0))
+    far = (b[0] + 40.0, b[1] - 40.0, b[2], b[3])
+    assert not dp.by_class(a, far, 30, 3.0).any() and np.array_equal(dp.by_class(a, b, 200, 0.7), dp.by_point(a, b, 200, 0.7))
+
+
+def test_points_move_once_and_equal_ones_meet_in_their_tile(spark):
+    rng = np.random.default_rng(9)
+    n = 900
+    x, y, f, g = rng.integers(-5, 40, n) * 0.3, rng.integers(-20, 90, n) / 10, rng.integers(-2, 7, n), rng.integers(0, 2, n)
+    rows = [(4, int(k), float(p), float(q), ("On", "Not-on")[i]) for k, p, q, i in zip(f, x, y, g)]
+    points = spark.createDataFrame(rows + rows[:300], "sample_id long, frame int, x_um double, y_um double, grp string")
+    whole, cut = (pr.grouped_pair_counts(points, max_distance=3.0, n_bins=30, hot_points=h) for h in (20_000, 100))
+    assert "Union" not in whole._jdf.queryExecution().optimizedPlan().toString()
+    got = {tuple(r) for r in whole.collect()}
+    assert got == {tuple(r) for r in cut.collect()} and len(got) > 1_000
