@@ -129,3 +129,16 @@ def test_a_full_tile_copies_no_other_tile(spark):
         assert split[k].where(dense).count() > 2 * plain[k].where(dense).count()
     tables = [pr.pair_counts(df, max_distance=1.0, n_bins=4, hot_points=h).collect() for h in (10**6, 40)]
     assert sorted(map(tuple, tables[0])) == sorted(map(tuple, tables[1]))
+
+
+def test_bins_without_an_intra_part_are_not_negative(spark):
+    """Where total and background are in proportion the intra part is zero, whatever the last bit of the doubles says."""
+    b = [2 * (7 * k % 11 + 1) for k in range(30)]
+    t = [1_000 if k == 0 else b[k] * 3 for k in range(30)]  # more at short distances, in proportion beyond
+    rows = [(s, k, c, n * m) for s, m in ((1, 1), (2, 49)) for k in range(30) for c, n in (("total", t[k]), ("background", b[k]))]
+    counts = spark.createDataFrame(rows, "sample_id long, bin int, component string, n long")
+    curves = dc.decompose(dc.dense_curves(counts, ["sample_id"], n_bins=30, width=0.1), ["sample_id"], n_bins=30)
+    points = spark.createDataFrame([(1, 0, 0.0, 0.0), (2, 0, 0.0, 0.0)], "sample_id long, frame int, x_um double, y_um double")
+    quality = dc.cell_quality(points, pr.candidate_counts(points), curves, n_bins=30).collect()
+    assert curves.where("intra < 0").count() > 0  # what the doubles say
+    assert [(r["negative_intra_bins"], r["beta_clipped"]) for r in quality] == [(0, False)] * 2
