@@ -12,6 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stipple.operators.skew import broadcast_if_small
+from stipple.session import cut_lineage
+
 TOLERANCE = 1e-12  # Fixed value: slack on the contact test.
 TILE = 32  # columns per run tile
 
@@ -33,7 +36,8 @@ def contact(
     """Smallest q = (dx/a)^2 + (dy/b)^2 between a point and the given unit pixel squares: (uid, min_q).
 
     ``pixels`` has the ``on`` columns with y and x. The closed ellipse touches the mask exactly
-    when min_q <= 1 within the tolerance; points far from any run are absent.
+    when min_q <= 1 within the tolerance; points far from any run are absent. Runs are written once; where they are few, points stay
+    in place and only the smallest q of a point moves.
     """
     grow = (1 + tol) ** 0.5
 
@@ -48,7 +52,8 @@ def contact(
     closest = F.least(F.greatest(F.rint(x), F.col("x0").cast("double")), F.col("x1").cast("double"))
     dx = F.greatest(F.abs(F.col(x) - closest) - 0.5, F.lit(0.0)) / F.col("__a")
     dy = F.greatest(F.abs(F.col(y) - F.col("py")) - 0.5, F.lit(0.0)) / F.col("__b")
-    return near.join(mask_runs(pixels, on), [*on, "py", "tile"]).groupBy(uid).agg(F.min(dx * dx + dy * dy).alias("min_q"))
+    runs = broadcast_if_small(cut_lineage(mask_runs(pixels, on)))
+    return near.join(runs, [*on, "py", "tile"]).groupBy(uid).agg(F.min(dx * dx + dy * dy).alias("min_q"))
 
 
 def proximity(points: DataFrame, pixels: DataFrame, radii: Sequence[float], *, on: Sequence[str], height: int, width: int, uid: str = "uid") -> DataFrame:
@@ -103,6 +108,7 @@ def unknown_reason(points: DataFrame, frame_map: DataFrame, blocks: DataFrame, *
     """
     fm = frame_map.select(*by, "frame", "block", "participating")
     bl = blocks.select(*by, "block", "valid", F.col("reason").alias("__why"))
+    fm, bl = (broadcast_if_small(cut_lineage(side)) for side in (fm, bl))  # few windows as keys would gather all points in as many tasks
     out = points.join(fm, [*by, "frame"], "left").join(bl, [*by, "block"], "left")
     reason = (
         F.when(F.col("block").isNull(), "missing_original_frame")

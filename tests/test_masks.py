@@ -216,3 +216,19 @@ def test_support_contract_names_each_fault(spark):
         5: (0, 0, False, "invalid_support_block", "")}
     none = px.support_contract(*[table([])] * 3, declared.limit(0))
     assert none.count() == 0
+
+
+def test_points_stay_in_place_where_the_mask_is_small(spark):
+    mask = spark.range(40).select((F.col("id") % 2).cast("int").alias("block"), (F.col("id") % 9).cast("int").alias("y"), (F.col("id") % 11).cast("int").alias("x"))
+    near = spark.range(200).select(F.col("id").cast("string").alias("uid"), (F.col("id") % 2).cast("int").alias("block"), (F.col("id") % 7 * 1.3).alias("x_px"),
+                                   (F.col("id") % 5 * 1.7).alias("y_px"), F.lit(1.0).alias("r"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # a planner that knows no sizes
+    try:
+        d = ge.contact(near, mask, "r", "r", on=["block"], height=12, width=12)
+        assert "SortMergeJoin" not in d._jdf.queryExecution().executedPlan().toString()
+        want = near.crossJoin(mask.withColumnRenamed("block", "b")).where("b = block").selectExpr(
+            "uid", "power(greatest(abs(x_px - x) - 0.5, 0), 2) + power(greatest(abs(y_px - y) - 0.5, 0), 2) as q").groupBy("uid").agg(F.min("q").alias("q")).where("q <= 1")
+        got = {r["uid"]: r["min_q"] for r in d.where("min_q <= 1").collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {r["uid"]: pytest.approx(r["q"]) for r in want.collect()} and got
