@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
+from stipple.operators import distribution as ds
 from stipple.operators import inference as nf
 from stipple.operators import labels as lb
 from stipple.operators import pairs as pr
@@ -87,3 +88,12 @@ def test_stored_tables_come_back_whole(spark):
     df = spark.createDataFrame([(1, "x y", None), (2, None, [1.5])], "a int, `b c` string, d array<double>")
     back = stored(df, by=["a"])
     assert back.schema == df.schema and sorted(back.collect(), key=str) == sorted(df.collect(), key=str)
+
+
+def test_rows_of_a_histogram_with_its_own_edges_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(ds, "ROWS_A_TASK", 50)
+    rows = spark.range(1_000).select((F.col("id") % 40).alias("k"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("g"), (F.col("id") % 97 * 0.7).alias("v"))
+    h = ds.data_edge_histogram(rows, ["k"], "g", "v", n_bins=10)
+    plan = h._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and h.rdd.getNumPartitions() >= 20
+    assert h.agg(F.sum("n")).first()[0] == 1_000 and h.where("bin < 0 or bin > 9").count() == 0
