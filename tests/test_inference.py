@@ -168,3 +168,27 @@ def test_numbered_is_a_dense_order_for_one_hot_key(spark):
     df = spark.createDataFrame([("hot", i * 37 % 1009) for i in range(1009)] + [("b", 5), ("b", 1)], "k string, v int").repartition(7)
     out = skew.numbered(df, ["k"], ["v"]).orderBy("k", "v").collect()
     assert [r["rank"] for r in out] == [1, 2, *range(1, 1010)]
+
+
+@pytest.mark.parametrize("slices", [2, 4096])
+def test_quantiles_of_large_groups_write_few_of_their_values(spark, monkeypatch, slices):
+    """With ``reread`` only values of slices with a wanted rank are counted and written; results are those of the plain way."""
+    inf, nan, rng, written = float("inf"), float("nan"), random.Random(5), []
+    data = {"big": [rng.gauss(0, 1) for _ in range(4000)], "few": [float(i % 3) for i in range(900)], "one": [4.0], "ends": [-inf, inf, nan, *map(float, range(700))], "none": [nan] * 3}
+    df = spark.createDataFrame([(k, v) for k, vs in data.items() for v in [*vs, None]], "k string, v double")
+    probs, cut = [0.0, 0.1, 0.5, 0.9, 1.0], skew.cut_lineage
+
+    def counted(rows):
+        out = cut(rows)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(skew, "cut_lineage", counted)
+    get = lambda **kw: {(r["k"], r["prob"]): r["quantile"] for r in skew.exact_quantiles(df, ["k"], "v", probs, slices=slices, ordered=500, **kw).collect()}
+    got, most = get(reread=True), max(written)
+    if slices > 2:  # a rank stands in either half
+        assert most < 1000
+    want = get()
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], nan_ok=True) for k in want)
+    ints = spark.createDataFrame([(i,) for i in range(101)], "v long")
+    assert [r["quantile"] for r in skew.exact_quantiles(ints, [], "v", [0.5], ordered=10, reread=True).collect()] == [50.0]
