@@ -86,3 +86,28 @@ def test_points_move_once_and_equal_ones_meet_in_their_tile(spark):
     assert "Union" not in whole._jdf.queryExecution().optimizedPlan().toString()
     got = {tuple(r) for r in whole.collect()}
     assert got == {tuple(r) for r in cut.collect()} and len(got) > 1_000
+
+
+@pytest.mark.parametrize("hot", [30, pr.HOT_TILE_POINTS])
+def test_two_labelings_in_one_pass_match_two_passes(spark, hot):
+    rng = np.random.default_rng(9)
+    rows = [(int(rng.integers(0, 2)), int(rng.integers(0, 3)), float(rng.integers(0, 40) * 0.25), float(rng.integers(0, 40) * 0.25),
+             str(rng.choice(["On", "Not-on"])), str(rng.choice(["On", "Not-on", "no"], p=[0.5, 0.45, 0.05]))) for _ in range(600)]
+    points = spark.createDataFrame(rows, "sample_id long, frame int, x_um double, y_um double, grp string, other string")
+    one = pr.relabeled_pair_counts(points, "other", max_distance=3.0, n_bins=12, hot_points=hot)
+    known = points.where("other <> 'no'")
+    two = (known, known.drop("grp").withColumnRenamed("other", "grp"))
+    for got, side in zip(one, two):
+        want = pr.grouped_pair_counts(side, max_distance=3.0, n_bins=12, hot_points=hot)
+        assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
+
+
+@pytest.mark.parametrize("name", ["method_curve_comparison", "relabel_invariance"])
+def test_queries_of_two_labelings_meet_their_points_once(spark, monkeypatch, name):
+    from stipple import catalog
+    from stipple.catalog.registry import runnable
+
+    calls, count = [], pr.counts_of_tiles
+    monkeypatch.setattr(pr, "counts_of_tiles", lambda *a, **k: calls.append(1) or count(*a, **k))
+    runnable(catalog.load()[name])(spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
