@@ -59,11 +59,10 @@ def cell_bootstrap_curves(t):
     curves = cut_lineage(curves.select("br", F.col("sample_id").alias("cell"), "bin", "total", "inter", "intra", "beta"))
     stratum = F.concat_ws(":", "br", F.col("cell") % REPLICATES).alias("stratum")
     cells = cut_lineage(curves.select("br", "cell", stratum).distinct())
-    picks = rs.cell_picks(cells, stratum="stratum", cell="cell", draws=DRAWS, seed=SEED)
     each = F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in ("total", "inter", "intra")])
     beta = curves.groupBy("br", "cell").agg(F.max("beta").alias("value")).select("br", "cell", F.lit("beta").alias("name"), F.lit(None).cast("int").alias("bin"), "value")
     long = curves.select("br", "cell", "bin", F.inline(each)).select("br", "cell", "name", "bin", "value").unionByName(beta)
-    sums = rs.drawn_means(long, picks, group="br", cell="cell", keys=["name", "bin"], value="value", draws=DRAWS)
+    sums = rs.cell_drawn_means(long, cells, group="br", stratum="stratum", cell="cell", keys=["name", "bin"], value="value", draws=DRAWS, seed=SEED)
     means = sums.withColumn("m", F.when(F.col("valid") > 0, F.col("total") / F.col("valid")))
     out = rs.draw_percentiles(means, ["br", "name", "bin"], "m").join(cells.groupBy("br").agg(F.count("*").alias("n_cells")), "br")
     many = F.col("n_cells") >= 2

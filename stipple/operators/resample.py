@@ -12,7 +12,7 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stipple.functions.columns import hash_int, ratio
@@ -22,6 +22,8 @@ from stipple.session import cut_lineage
 
 PERCENTILES = (0.025, 0.5, 0.975)  # Fixed value: reported percentiles of the draws.
 CELLS_A_BLOCK = 500
+PRODUCT_CELLS = 2000  # cells of a block in ``cell_drawn_means``: their weights in 2,000 draws are 32 MB
+PICKS_A_PACK = 1 << 21  # picks that a task holds while it packs them
 SLOT_TASKS = 64  # tasks that make the draws; a slot is one row until then
 BIN_PARTS = 8  # tasks over which the bins of a block of cells are spread
 PLAN_ROWS = 200  # rows of the block plan (100 KB each for 1,000 draws) up to which it is broadcast
@@ -41,51 +43,116 @@ def cell_picks(cells: DataFrame, *, stratum: str, cell: str, draws: int, seed: i
     placed = numbered(cells.select(stratum, cell), [stratum], [cell], "__i")
     size = placed.groupBy(stratum).agg(F.count("*").alias("__n"))
     slots = placed.join(size, stratum).select(stratum, "__n", (F.col("__i") - 1).alias("slot"))
+    picked = slot_picks(slots, stratum=stratum, draws=draws, seed=seed).select("draw", stratum, (F.col("__pick") + 1).alias("__i"))
+    return picked.join(beside(placed), [stratum, "__i"]).select("draw", stratum, cell)
+
+
+def slot_picks(slots: DataFrame, *, stratum: str, draws: int, seed: int) -> DataFrame:
+    """The picks of ``slots`` (stratum, __n, slot) as numbers from 0: (stratum, __n, draw, __pick), one row for each slot and draw."""
     slots = cut_lineage(slots).repartition(SLOT_TASKS).select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    pick = (F.pmod(hash_int(F.lit(seed), F.col("draw"), F.col(stratum), F.col("slot")), "__n") + 1).alias("__i")
-    return slots.select("draw", stratum, pick).join(placed, [stratum, "__i"]).select("draw", stratum, cell)
+    return slots.select(stratum, "__n", "draw", F.pmod(hash_int(F.lit(seed), F.col("draw"), F.col(stratum), F.col("slot")), "__n").alias("__pick"))
+
+
+def beside(cells: DataFrame) -> DataFrame:
+    """``cells`` for a join with exploded rows, whose number the planner can't see: it would take those for the smaller side and send them through the driver."""
+    return F.broadcast(cells) if small_enough(cells) else cells.hint("merge")
 
 
 def drawn_means(curves: DataFrame, picks: DataFrame, *, group: str, cell: str, keys: Sequence[str], value: str, draws: int) -> DataFrame:
     """Sums of every draw: (group, keys, draw, total, weight, valid), with ``weight`` over all picked rows and ``valid`` over those with a value.
 
-    ``curves`` has (group, cell, keys, value), ``picks`` (draw, cell). The cells of a group are dealt into blocks of about ``CELLS_A_BLOCK``; the picks and the
-    values of a block meet in one task as two matrices, whose product is the block's part of every draw. Neither draws nor weights are
-    joined to bins, and the parts are added by Spark.
+    ``curves`` has (group, cell, keys, value), ``picks`` (draw, cell). The cells of a group are dealt into blocks of about ``CELLS_A_BLOCK``, for
+    ``block_products``.
     """
     here = curves.select(group, cell).distinct()
     sizes = here.groupBy(group).agg((1 + F.floor(F.count("*") / CELLS_A_BLOCK)).alias("__n"))
-    dealt = cut_lineage(here.join(sizes, group).select(group, cell, F.pmod(F.xxhash64(cell), "__n").alias("__b")))
-    left = picks.select(cell, F.col("draw").cast("int").alias("draw")).join(dealt, cell)
-    left = left.select(F.col(group).alias("__g"), F.col("__b").alias("__c"), cell, "draw")  # own names: both sides hold ``dealt``
-    right = curves.join(dealt, [group, cell]).select(group, "__b", cell, *keys, F.col(value).cast("double").alias("__v"))
-    fields = curves.select(group, *keys).schema
+    dealt = here.join(sizes, group).select(group, cell, F.pmod(F.xxhash64(cell), "__n").alias("__b"))
+    block = Window.partitionBy(group, "__b")
+    dealt = cut_lineage(dealt.select(group, cell, "__b", (F.row_number().over(block.orderBy(cell)) - 1).alias("__k"), F.count("*").over(block).alias("__w")))
+    dealt = beside(dealt)
+    left = picks.select(cell, "draw").join(dealt, cell).select(F.col(group).alias("__s"), "__b", (F.col("draw") * F.col("__w") + F.col("__k")).alias("__code"))
+    right = curves.join(dealt, [group, cell]).select(F.col(group).alias("__s"), "__b", "__k", "__w", group, *keys, F.col(value).cast("double").alias("__v"))
+    return block_products(left, right, names=[group, *keys], draws=draws)
+
+
+def cell_drawn_means(
+    curves: DataFrame, cells: DataFrame, *, group: str, stratum: str, cell: str, keys: Sequence[str], value: str, draws: int, seed: int,
+    cells_a_block: int = PRODUCT_CELLS,
+) -> DataFrame:
+    """``drawn_means`` with the picks of ``cell_picks`` of ``cells`` (stratum, cell), which are never joined.
+
+    A block is a run of cells in the numbering of their stratum, so the number that a slot picks already names its block and place.
+    """
+    placed = numbered(cells.select(stratum, cell), [stratum], [cell], "__i")
+    size = placed.groupBy(stratum).agg(F.count("*").alias("__n"))
+    placed = cut_lineage(placed.join(size, stratum).select(stratum, cell, "__n", (F.col("__i") - 1).alias("slot")))
+    many = F.lit(cells_a_block)
+    width = F.least("__n", many).alias("__w")
+    run = lambda at: F.floor(at / many).alias("__b")
+    picked = slot_picks(placed.select(stratum, "__n", "slot"), stratum=stratum, draws=draws, seed=seed)
+    left = picked.select(F.col(stratum).alias("__s"), run(F.col("__pick")), (F.col("draw") * width + F.col("__pick") % many).alias("__code"))
+    own = placed.select(F.col(stratum).alias("__s"), cell, run(F.col("slot")), (F.col("slot") % many).alias("__k"), width)
+    right = curves.join(beside(own), cell).select("__s", "__b", "__k", "__w", group, *keys, F.col(value).cast("double").alias("__v"))
+    return block_products(left, right, names=[group, *keys], draws=draws)
+
+
+def block_products(left: DataFrame, right: DataFrame, *, names: Sequence[str], draws: int) -> DataFrame:
+    """Sums of every draw from picks and values dealt into blocks of cells: (names, draw, total, weight, valid).
+
+    ``left`` has (__s, __b, __code), a row for each pick, and ``right`` (__s, __b, __k, __w, names, __v). (__s, __b) is a block of ``__w`` cells, ``__k`` a
+    cell's place in it and ``__code`` draw * __w + __k. Picks are packed as numbers where they are made; those of a block and its values meet in
+    one task as two matrices, whose product is the block's part of every draw. The parts are added by Spark.
+    """
+    fields = right.select(*names).schema
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", draw int, total double, weight double, valid double"
+    sums = ["total", "weight", "valid"]
+
+    def packed(held):
+        picks = pa.Table.from_batches(held)
+        strata, block = pc.unique(picks.column("__s")), picks.column("__b").to_numpy()
+        most = int(block.max()) + 1
+        at = np.asarray(pc.index_in(picks.column("__s"), strata)).astype(np.int64) * most + block
+        order = np.argsort(at, kind="stable")
+        found, first = np.unique(at[order], return_index=True)
+        codes = np.split(picks.column("__code").to_numpy()[order].astype(np.int32), first[1:])
+        return pa.RecordBatch.from_arrays([strata.take(pa.array(found // most)), pa.array(found % most), pa.array([c.tobytes() for c in codes], pa.binary())],
+                                          names=["__s", "__b", "__p"])
+
+    def pack(batches):
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= PICKS_A_PACK:
+                yield packed(held)
+                held, rows = [], 0
+        if rows:
+            yield packed(held)
 
     def product(key, picked, given):
         if not picked.num_rows or not given.num_rows:
-            return pa.table([pa.array([], t) for t in (key[0].type, *[given.schema.field(k).type for k in keys], pa.int32(), *[pa.float64()] * 3)],
-                            names=[group, *keys, "draw", "total", "weight", "valid"])
-        names = pc.unique(given.column(cell))
-        weights = np.bincount(np.asarray(pc.index_in(picked.column(cell), names)).astype(np.int64) * draws + picked.column("draw").to_numpy(),
-                              minlength=len(names) * draws).reshape(len(names), draws).astype(float).T
+            return pa.table([pa.array([], t) for t in (*[given.schema.field(k).type for k in names], pa.int32(), *[pa.float64()] * 3)], names=[*names, "draw", *sums])
+        width = given.column("__w")[0].as_py()
+        codes = np.concatenate([np.frombuffer(p, np.int32) for p in picked.column("__p").to_pylist()])
+        weights = np.bincount(codes, minlength=draws * width).reshape(draws, width).astype(float)
         at = np.zeros(given.num_rows, dtype=np.int64)
-        for k in keys:
+        for k in names:
             values = pc.unique(given.column(k))
             at = at * (len(values) + 1) + np.asarray(pc.index_in(given.column(k), values)).astype(np.int64)
         _, first, column = np.unique(at, return_index=True, return_inverse=True)
-        row, v = np.asarray(pc.index_in(given.column(cell), names)).astype(np.int64), given.column("__v")
+        v = given.column("__v")
         there = np.asarray(v.is_valid()).astype(float)
-        spot, shape = row * len(first) + column, (len(names), len(first))
+        spot, shape = given.column("__k").to_numpy() * len(first) + column, (width, len(first))
         dense = lambda w: np.bincount(spot, w, shape[0] * shape[1]).reshape(shape)
         parts = [(weights @ dense(w)).ravel() for w in (np.asarray(v.fill_null(0.0)), np.ones(len(there)), there)]
-        tiled = np.tile(first, draws)
-        return pa.table([pa.array([key[0].as_py()] * len(tiled), key[0].type), *[given.column(k).take(pa.array(tiled)) for k in keys],
-                         pa.array(np.repeat(np.arange(draws, dtype=np.int32), len(first))), *map(pa.array, parts)],
-                        names=[group, *keys, "draw", "total", "weight", "valid"])
-
-    parts = left.groupBy("__g", "__c").cogroup(right.groupBy(group, "__b")).applyInArrow(product, out)
-    return parts.groupBy(group, *keys, "draw").agg(*[F.sum(c).alias(c) for c in ("total", "weight", "valid")])
+        tiled = pa.array(np.tile(first, draws))
+        return pa.table([*[given.column(k).take(tiled) for k in names], pa.array(np.repeat(np.arange(draws, dtype=np.int32), len(first))), *map(pa.array, parts)],
+                        names=[*names, "draw", *sums])
+
+    kind = right.schema["__s"].dataType.simpleString()
+    small = left.select("__s", F.col("__b").cast("long").alias("__b"), F.col("__code").cast("int").alias("__code")).mapInArrow(pack, f"__s {kind}, __b long, __p binary")
+    parts = small.groupBy("__s", "__b").cogroup(right.groupBy("__s", "__b")).applyInArrow(product, out)
+    return parts.groupBy(*names, "draw").agg(*[F.sum(c).alias(c) for c in sums])
 
 
 def bootstrap_mean_curves(curves: DataFrame, picks: DataFrame, *, keys: Sequence[str], cell: str, value: str) -> DataFrame:
