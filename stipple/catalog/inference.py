@@ -34,8 +34,7 @@ def hash_sql(*parts: str) -> str:
        SELECT condition, bin, count(*) AS draws, {R('quantile_cont(v, 0.025)')} AS p2_5, {R('quantile_cont(v, 0.5)')} AS p50, {R('quantile_cont(v, 0.975)')} AS p97_5 FROM d GROUP BY ALL""")
 def cell_bootstrap_bands(t):
     cells = t.raw("embeddings").select(F.col("vec_id").alias("cell"), F.col("label").alias("br"))
-    picks = rs.cell_picks(cells, stratum="br", cell="cell", draws=DRAWS, seed=SEED)
-    sums = rs.drawn_means(t.curves, picks, group="condition", cell="cell", keys=["bin"], value="value", draws=DRAWS)
+    sums = rs.cell_drawn_means(t.curves, cells, group="condition", stratum="br", cell="cell", keys=["bin"], value="value", draws=DRAWS, seed=SEED)
     means = sums.where("weight > 0").select("condition", "bin", "draw", F.when(F.col("valid") > 0, F.col("total") / F.col("weight")).alias("value"))
     return round_all(rs.draw_percentiles(means, ["condition", "bin"], "value"), "p2_5", "p50", "p97_5")
 

@@ -26,7 +26,7 @@ def test_picks_are_never_broadcast(spark):
     cells = spark.range(200).selectExpr("id % 4 AS br", "id AS cell")
     picks = rs.cell_picks(cells, stratum="br", cell="cell", draws=50, seed=1)
     assert exploded_in_broadcasts(picks) == [] and picks.count() == 200 * 50
-    for name in ("cell_bootstrap_curves",):
+    for name in ("cell_bootstrap_bands", "cell_bootstrap_curves"):
         assert exploded_in_broadcasts(runnable(load()[name])(spark, "/root/testdata/sf0.001")) == [], name
 
 
