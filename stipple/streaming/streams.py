@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from time import sleep
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
@@ -12,6 +14,9 @@ from pyspark.sql.streaming import StreamingQueryListener
 from stipple.functions.columns import bin_index
 from stipple.session import cut_lineage
 
+FRAME_VALUES = 1_000_000  # values of a frame that meet the next frame in one task
+SEARCHED_VALUES = 1 << 16  # values whose bounds of all bins are searched at once
+
 
 def read_events(spark: SparkSession, folder: str, schema, *, pattern: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
     """Parquet folder as a stream with a declared schema."""
@@ -73,6 +78,96 @@ def pair_histogram_sink(folder: str, *, n_bins: int, upper: float) -> Callable[[
     return sink
 
 
+def lag_histogram_sink(folder: str, *, n_bins: int, upper: float) -> Callable[[DataFrame, int], None]:
+    """foreachBatch sink: histogram of the distances |value - value2| of all pairs of frame f with f+1 of a sample, without a row for any pair.
+
+    The rows are points (sample_id, frame, value). A batch adds the pairs of which a side is new, so sums over batches don't depend on how the points
+    are dealt into batches, and a late point counts as any other. Values of earlier batches are kept counted beside ``folder``; of these a batch
+    reads the frames next to its own. Each batch owns one folder in both places, so a replayed batch overwrites itself.
+    """
+
+    def sink(points: DataFrame, batch: int) -> None:
+        spark, kept = points.sparkSession, f"{folder}-values"
+        here = points.where(F.col("sample_id").isNotNull() & F.col("frame").isNotNull() & (F.abs("value") < F.lit(float("inf"))))  # other values have no distance
+        here = here.groupBy("sample_id", "frame", F.col("value").cast("double").alias("value")).agg(F.count("*").alias("n"))
+        here.write.mode("overwrite").parquet(f"{kept}/batch={batch}")
+        new = spark.read.schema(here.schema).parquet(f"{kept}/batch={batch}").withColumn("fresh", F.lit(True))
+        first, last = new.agg(F.min("frame"), F.max("frame")).first()
+        if first is not None:
+            old = spark.read.parquet(kept).where((F.col("batch") < batch) & F.col("frame").between(first - 1, last + 1))
+            new = new.unionByName(old.select(*here.columns, F.lit(False).alias("fresh")))
+        lag_histogram(new, n_bins=n_bins, upper=upper).write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+
+    return sink
+
+
+def lag_histogram(values: DataFrame, *, n_bins: int, upper: float) -> DataFrame:
+    """Pairs of frame f with f+1 by sample, frame and bin of their distance, as ``bin_index`` deals them: (sample_id, frame, bin, n).
+
+    ``values`` has (sample_id, frame, value, n, fresh), finite values with their number; a pair counts if one of its sides is fresh. The values of two frames meet in
+    one task, which finds the bounds of every bin in the sorted values. A frame of more than ``FRAME_VALUES`` values is dealt into parts, and every two parts meet.
+    """
+    keys = ["sample_id", "frame", "__a", "__b"]
+    parts = values.groupBy("sample_id", "frame").agg((1 + F.floor(F.count("*") / FRAME_VALUES)).alias("__own"))
+    hot = (parts.agg(F.max("__own")).first()[0] or 1) > 1
+    parts = cut_lineage(parts) if hot else parts
+
+    def side(own: str, other: str, step: int) -> DataFrame:
+        """Points with their part and a copy for every part of the other frame."""
+        if not hot:
+            return values.withColumns({"__a": F.lit(0).cast("long"), "__b": F.lit(0).cast("long")})
+        beyond = parts.select("sample_id", (F.col("frame") - step).alias("frame"), F.col("__own").alias("__other"))
+        dealt = values.join(parts, ["sample_id", "frame"]).join(beyond, ["sample_id", "frame"])
+        dealt = dealt.withColumn(own, F.pmod(F.xxhash64("value"), "__own")).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col("__other") - 1)))
+        return dealt.drop("__own", "__other")
+
+    a = side("__a", "__b", 1).select(*keys, "value", "n", "fresh")
+    b = side("__b", "__a", -1).withColumn("frame", F.col("frame") - 1).select(*[F.col(c).alias(f"{c}2") for c in a.columns])  # own names: both sides hold ``values``
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in a.select("sample_id", "frame").schema)
+
+    def count(key, left, right):
+        x, y = [left.column(c).to_numpy() for c in ("value", "n", "fresh")], [right.column(c).to_numpy() for c in ("value2", "n2", "fresh2")]
+        n = np.zeros(n_bins, dtype=np.int64)
+        for new, others in ((x[2], np.ones(len(y[2]), dtype=bool)), (~x[2].astype(bool), y[2])):
+            new, others = new.astype(bool), others.astype(bool)
+            if new.any() and others.any():
+                n += distances_in_bins(x[0][new], x[1][new], y[0][others], y[1][others], n_bins, upper)
+        found = np.flatnonzero(n)
+        return pa.table([*[pa.array([k.as_py()] * len(found), k.type) for k in key[:2]], pa.array(found.astype(np.int32)), pa.array(n[found])],
+                        names=["sample_id", "frame", "bin", "n"])
+
+    each = a.groupBy(*keys).cogroup(b.groupBy(*[f"{k}2" for k in keys])).applyInArrow(count, fields + ", bin int, n long")
+    return each.groupBy("sample_id", "frame", "bin").agg(F.sum("n").alias("n"))
+
+
+def distances_in_bins(x, x_n, y, y_n, n_bins: int, upper: float):
+    """How many pairs of ``x`` and ``y``, values that stand ``x_n`` and ``y_n`` times, have their distance in each of ``n_bins`` equal bins of [0, upper].
+
+    Each distance is the rounded difference that a comparison of the pair would see: bounds found by a search are moved until differences agree with the edge.
+    """
+    y, place = np.unique(y, return_inverse=True)
+    upto = np.concatenate([[0], np.cumsum(np.bincount(place, y_n, len(y)).astype(np.int64))])
+    width = upper / n_bins
+    edges = np.append(np.arange(1, n_bins) * width, upper)
+    below = np.zeros(n_bins, dtype=np.int64)
+    order = np.argsort(x)
+    for start in range(0, len(x), SEARCHED_VALUES):
+        part = order[start:start + SEARCHED_VALUES]
+        v, e = x[part][:, None], edges[None, :]
+        closed = np.arange(n_bins)[None, :] == n_bins - 1  # the last bin holds its upper edge
+        inside = lambda d: (d < e) | (closed & (d == e))
+        at = lambda i: y[np.clip(i, 0, len(y) - 1)]
+        low, high = np.searchsorted(y, v - e), np.searchsorted(y, v + e)
+        for bound, stays in ((low, lambda i: inside(v - at(i))), (high, lambda i: ~inside(at(i) - v))):
+            # ``low`` is the first value inside, ``high`` the first beyond: both are the first place where ``stays`` holds
+            while (move := (bound > 0) & stays(bound - 1)).any():
+                bound -= move
+            while (move := (bound < len(y)) & ~stays(bound)).any():
+                bound += move
+        below += (x_n[part][:, None] * (upto[high] - upto[low])).sum(axis=0)
+    return np.diff(below, prepend=0)
+
+
 def class_counts(points: DataFrame, *, time: str = "ts", delay: str = "1 hour", frame_length: str = "1 hour") -> DataFrame:
     """Running counts per sample, frame and class, conserved over the rows that come within the watermark. For update mode.
 
