@@ -7,15 +7,18 @@ from time import sleep
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
 from stipple.functions.columns import bin_index
+from stipple.operators import lag_counts
 from stipple.session import cut_lineage
 
+cloudpickle.register_pickle_by_value(lag_counts)  # tasks run it where this package is not installed
+
 FRAME_VALUES = 1_000_000  # values of a frame that meet the next frame in one task
-SEARCHED_VALUES = 1 << 16  # values whose bounds of all bins are searched at once
 
 
 def read_events(spark: SparkSession, folder: str, schema, *, pattern: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -131,7 +134,7 @@ def lag_histogram(values: DataFrame, *, n_bins: int, upper: float) -> DataFrame:
         for new, others in ((x[2], np.ones(len(y[2]), dtype=bool)), (~x[2].astype(bool), y[2])):
             new, others = new.astype(bool), others.astype(bool)
             if new.any() and others.any():
-                n += distances_in_bins(x[0][new], x[1][new], y[0][others], y[1][others], n_bins, upper)
+                n += lag_counts.distances_in_bins(x[0][new], x[1][new], y[0][others], y[1][others], n_bins, upper)
         found = np.flatnonzero(n)
         return pa.table([*[pa.array([k.as_py()] * len(found), k.type) for k in key[:2]], pa.array(found.astype(np.int32)), pa.array(n[found])],
                         names=["sample_id", "frame", "bin", "n"])
@@ -140,34 +143,6 @@ def lag_histogram(values: DataFrame, *, n_bins: int, upper: float) -> DataFrame:
     return each.groupBy("sample_id", "frame", "bin").agg(F.sum("n").alias("n"))
 
 
-def distances_in_bins(x, x_n, y, y_n, n_bins: int, upper: float):
-    """How many pairs of ``x`` and ``y``, values that stand ``x_n`` and ``y_n`` times, have their distance in each of ``n_bins`` equal bins of [0, upper].
-
-    Each distance is the rounded difference that a comparison of the pair would see: bounds found by a search are moved until differences agree with the edge.
-    """
-    y, place = np.unique(y, return_inverse=True)
-    upto = np.concatenate([[0], np.cumsum(np.bincount(place, y_n, len(y)).astype(np.int64))])
-    width = upper / n_bins
-    edges = np.append(np.arange(1, n_bins) * width, upper)
-    below = np.zeros(n_bins, dtype=np.int64)
-    order = np.argsort(x)
-    for start in range(0, len(x), SEARCHED_VALUES):
-        part = order[start:start + SEARCHED_VALUES]
-        v, e = x[part][:, None], edges[None, :]
-        closed = np.arange(n_bins)[None, :] == n_bins - 1  # the last bin holds its upper edge
-        inside = lambda d: (d < e) | (closed & (d == e))
-        at = lambda i: y[np.clip(i, 0, len(y) - 1)]
-        low, high = np.searchsorted(y, v - e), np.searchsorted(y, v + e)
-        for bound, stays in ((low, lambda i: inside(v - at(i))), (high, lambda i: ~inside(at(i) - v))):
-            # ``low`` is the first value inside, ``high`` the first beyond: both are the first place where ``stays`` holds
-            while (move := (bound > 0) & stays(bound - 1)).any():
-                bound -= move
-            while (move := (bound < len(y)) & ~stays(bound)).any():
-                bound += move
-        below += (x_n[part][:, None] * (upto[high] - upto[low])).sum(axis=0)
-    return np.diff(below, prepend=0)
-
-
 def class_counts(points: DataFrame, *, time: str = "ts", delay: str = "1 hour", frame_length: str = "1 hour") -> DataFrame:
     """Running counts per sample, frame and class, conserved over the rows that come within the watermark. For update mode.
 

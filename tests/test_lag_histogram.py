@@ -1,9 +1,15 @@
 """Histograms of lag distances without pairs."""
 
 import random
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
+import numpy as np
+import pyspark
 import pytest
+from pyspark import cloudpickle
 
 from stipple.streaming import streams as st
 
@@ -74,3 +80,12 @@ def test_the_query_keeps_late_hours(spark, tmp_path, monkeypatch):
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     want = con.execute(load()["stream_lag_pair_histogram"].sql).fetchall()
     assert sorted((r["sample_id"], r["bin"], r["n"]) for r in got) == sorted(want)
+
+
+def test_tasks_need_no_installed_package(spark, tmp_path):
+    """What a task runs is sent as a whole: workers may stand in a folder from which the package can't be imported."""
+    fn, given = st.lag_counts.distances_in_bins, [np.array(v) for v in ([0.0, 1.0], [1, 2], [1.0], [1])]
+    (tmp_path / "fn").write_bytes(cloudpickle.dumps(lambda: fn(*given, 2, 2.0).tolist()))
+    code = "import sys; sys.path[:0] = sys.argv[2:]; from pyspark import cloudpickle; print(cloudpickle.loads(open(sys.argv[1], 'rb').read())())"
+    done = subprocess.run([sys.executable, "-I", "-c", code, str(tmp_path / "fn"), str(Path(pyspark.__file__).parents[1])], cwd="/", capture_output=True, text=True)
+    assert done.stdout.strip() == "[2, 1]", done.stderr
